@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, toxicity, urls
+from . import simhash, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_simhash": simhash.op2_simhash,
+        "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op6_url_filters": urls.op6_url_filters,
     }
 
