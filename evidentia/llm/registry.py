@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, suffixes, toxicity, urls
+from . import simhash, sketches, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_simhash": simhash.op2_simhash,
         "op3_suffix_dedup": suffixes.op3_suffix_dedup,
+        "op4_fingerprints": sketches.op4_fingerprints,
         "op6_url_filters": urls.op6_url_filters,
     }
 
