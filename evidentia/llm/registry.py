@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, sketches, suffixes, toxicity, urls
+from . import mixing, simhash, sketches, suffixes, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,9 @@ def queries() -> dict[str, Query]:
         "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op4_fingerprints": sketches.op4_fingerprints,
         "op6_url_filters": urls.op6_url_filters,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.SQL}
+    return {"op6_url_filters": urls.SQL, "op10_mixing": mixing.SQL}
