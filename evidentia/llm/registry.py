@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, sketches, suffixes, toxicity, urls
+from . import mixing, simhash, sketches, suffixes, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,10 +17,11 @@ def queries() -> dict[str, Query]:
         "op2_simhash": simhash.op2_simhash,
         "op3_suffix_dedup": suffixes.op3_suffix_dedup,
         "op4_fingerprints": sketches.op4_fingerprints,
+        "op5_topk": topk.op5_topk,
         "op6_url_filters": urls.op6_url_filters,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urls.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op10_mixing": mixing.SQL}
