@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, sketches, suffixes, topk, toxicity, urls
+from . import contexts, mixing, simhash, sketches, suffixes, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_fingerprints": sketches.op4_fingerprints,
         "op5_topk": topk.op5_topk,
         "op6_url_filters": urls.op6_url_filters,
+        "op7_lm_scoring": contexts.op7_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
     }
 
