@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import simhash, toxicity
+from evidentia.llm import mixing, pieces, simhash, suffixes, toxicity
 from evidentia.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -14,6 +14,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity.stage),
     ("simhash_near_dedup", simhash.stage),
+    ("suffix_dedup", suffixes.stage),
+    ("mixing", mixing.stage),
+    ("sentencepiece", pieces.stage),
 ]
 
 #: SQL can't express the fitted classifier of the first stage; tests hold the pipeline against a brute-force version.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contexts, mixing, simhash, sketches, suffixes, topk, toxicity, urls
+from . import contexts, mixing, pieces, simhash, sketches, suffixes, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op5_topk": topk.op5_topk,
         "op6_url_filters": urls.op6_url_filters,
         "op7_lm_scoring": contexts.op7_lm_scoring,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_mixing": mixing.op10_mixing,
     }
 

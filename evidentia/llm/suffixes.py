@@ -333,5 +333,44 @@ def dedup(documents: DataFrame) -> DataFrame:
     return single.unionByName(copied)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their repeated passages; `n_chars` follows the text.
+
+    Every document stays, though its text may become empty.  Where a cut falls inside a character, what is
+    left of that character goes too.
+    """
+    rows, texts, spans = repeated_spans(docs)
+    joined_spans = texts.join(spans, "did").select("k1", "k2", "spans")
+    by_row = rows.select(_row_id(F.col("doc_id")).alias("row_id"), "k1", "k2", ((F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)).alias("gone"))
+    wanted = by_row.join(joined_spans, ["k1", "k2"], "left").where("gone OR spans IS NOT NULL").select("row_id", "k1", "k2", "gone", "spans").dropDuplicates(["row_id", "k1", "k2"])
+    per_row = wanted.groupBy("row_id").agg(F.collect_list(F.struct("k1", "k2", "gone", "spans")).alias("__cuts"))
+    schema = docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for text, cuts in zip(batch.column("text").to_pylist(), batch.column("__cuts").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                key = xxhash.xxh3_128_digest(raw)
+                mine = (int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True))
+                for c in cuts or ():
+                    if (c["k1"], c["k2"]) == mine:
+                        text = "" if c["gone"] else without(raw, joined([(s["a"], s["b"]) for s in c["spans"]])).decode("utf-8", "ignore")
+                kept.append(text)
+            columns = []
+            for field in schema.fields:
+                if field.name == "text":
+                    columns.append(pa.array(kept, pa.string()))
+                elif field.name == "n_chars":
+                    columns.append(pa.array([None if t is None else len(t) for t in kept], batch.column("n_chars").type))
+                else:
+                    columns.append(batch.column(field.name))
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    small_batches(spark)
+    with_cuts = docs.withColumn("__row", _row_id(F.col("doc_id"))).join(per_row.withColumnRenamed("row_id", "__row"), "__row", "left").drop("__row")
+    return with_cuts.mapInArrow(cut, schema)
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
