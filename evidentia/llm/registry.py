@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contexts, mixing, pieces, simhash, sketches, suffixes, topk, toxicity, urls
+from . import contexts, mixing, pieces, quotes, simhash, sketches, suffixes, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +20,11 @@ def queries() -> dict[str, Query]:
         "op5_topk": topk.op5_topk,
         "op6_url_filters": urls.op6_url_filters,
         "op7_lm_scoring": contexts.op7_lm_scoring,
+        "op8_quotation_linking": quotes.op8_quotation_linking,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op8_quotation_linking": quotes.SQL, "op10_mixing": mixing.SQL}
