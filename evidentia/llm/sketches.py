@@ -100,7 +100,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     order = next_ids(rows.select("id"))
     # one shuffle of the texts by id serves both joins: both read the same three columns
     dealt = rows.repartition("id")
-    asked = dealt.select("id", F.char_length("text").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    asked = rows.select("id", F.char_length("text").alias("n")).groupBy("id").agg(F.max("n").alias("n"))
     asked = asked.join(order, "id").select(F.col("id").alias("asker"), F.col("next_id").alias("id"), F.expr("n div 3").alias("most"))
     first_text = F.expr("row_number() OVER (PARTITION BY id ORDER BY text, doc_id) AS nth")
     one = dealt.select("doc_id", "id", "text", first_text).where("nth = 1")
