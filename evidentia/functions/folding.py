@@ -43,25 +43,29 @@ def fold(value: Column, unicode: bool = False) -> Column:
 
 
 def expand_shorthand(text: Column) -> Column:
-    """Number words to digits, maj and min to their full words, E-flat to Eb."""
-    for word, number in NUMBER_WORDS.items():
-        text = F.regexp_replace(text, rf"(?i)\b{word}\b", str(number))
+    """maj and min to their full words, E-flat to Eb."""
     text = F.regexp_replace(text, r"(?i)\bmaj\b\.?", "major")
     text = F.regexp_replace(text, r"(?i)\b(?:min|mi)\b\.?", "minor")
     text = F.regexp_replace(text, r"(?i)\b([a-g])\s*[-\s]?flat\b", "$1b")
     return F.regexp_replace(text, r"(?i)\b([a-g])\s*[-\s]?sharp\b", "$1#")
 
 
+def digits(folded: Column) -> Column:
+    """Number words of a folded text to digits."""
+    numbers = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, str(n))])
+    return F.array_join(F.transform(F.split(folded, " "), lambda w: F.coalesce(F.try_element_at(numbers, w), w)), " ")
+
+
 def fold_title(value: Column, unicode: bool = False) -> Column:
     """`fold` for titles: No. 1, Nr 1 and #1 become n1, shorthand is written out."""
     text = F.coalesce(value.cast("string"), F.lit(""))
     text = F.regexp_replace(text, r"(?i)\b(?:number|num|nr|no)\b\.?\s*(\d+)", " n$1 ")
     text = F.regexp_replace(text, r"#\s*(\d+)", " n$1 ")
-    return fold(expand_shorthand(text), unicode)
+    return digits(fold(expand_shorthand(text), unicode))
 
 
 def fold_key(value: Column, unicode: bool = False) -> Column:
-    return fold(expand_shorthand(F.coalesce(value.cast("string"), F.lit(""))), unicode)
+    return digits(fold(expand_shorthand(F.coalesce(value.cast("string"), F.lit(""))), unicode))
 
 
 #: How the values of a field are folded; fields not named here by `fold`.

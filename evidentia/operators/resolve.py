@@ -43,6 +43,11 @@ def noisy_or(weight: Column) -> Column:
     return F.least(F.lit(1.0) - F.product(F.lit(1.0) - weight), F.lit(CERTAIN))
 
 
+def rounded(sure: Column) -> Column:
+    """Four decimals, halves up: the little that is added makes the order of a product's factors irrelevant."""
+    return F.round(sure + 1e-9, 4)
+
+
 def best_per_source(candidates: DataFrame, folds: dict = FOLDS) -> DataFrame:
     """piece_id, field, key, source, weight, value (longest spelling, first of equals) and seq (first seen)."""
     keyed = candidates.withColumn("key", fold_by_field(F.col("field"), F.col("value"), folds)).where("key <> ''")
@@ -101,7 +106,7 @@ def resolve_fields(candidates: DataFrame, folds: dict = FOLDS, merge: bool = Tru
     order = Window.partitionBy("piece_id", "field").orderBy(F.col("score").desc(), "seq")
     ranked = values.withColumn("rank", F.row_number().over(order)).where("rank <= 4")
     pick = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
-    row = F.struct("rank", F.col("shown.value").alias("value"), F.round("score", 4).alias("score"), "sources")
+    row = F.struct("rank", F.col("shown.value").alias("value"), rounded(F.col("score")).alias("score"), "sources")
     fields = ranked.groupBy("piece_id", "field").agg(
         F.max(F.when(F.col("rank") == 1, F.col("shown.value"))).alias("value"),
         pick("score", 1).alias("score"),
@@ -111,7 +116,7 @@ def resolve_fields(candidates: DataFrame, folds: dict = FOLDS, merge: bool = Tru
     )
     conflict = F.coalesce(F.col("rival") >= F.col("score") * CONFLICT_RATIO, F.lit(False))
     sure = F.when(conflict, F.least("score", F.lit(CONFLICT_CAP))).otherwise(F.col("score"))
-    return fields.select("piece_id", "field", "value", F.round(sure, 4).alias("confidence"), conflict.alias("conflict"), "sources", "alternatives")
+    return fields.select("piece_id", "field", "value", rounded(sure).alias("confidence"), conflict.alias("conflict"), "sources", "alternatives")
 
 
 def combine(fields: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
@@ -129,7 +134,7 @@ def combine(fields: DataFrame, required: Sequence[str] = REQUIRED_FIELDS) -> Dat
         F.when(F.size("conflicted") > 0, F.concat(F.lit("signals disagree on "), F.array_join("conflicted", ", "))),
         F.when(F.size("damaged") > 0, F.concat(F.lit("unreadable characters in "), F.array_join("damaged", ", "))),
     ))
-    return pieces.select("piece_id", F.round(sure, 4).alias("confidence"), "conflicted", "missing", notes.alias("notes"))
+    return pieces.select("piece_id", rounded(sure).alias("confidence"), "conflicted", "missing", notes.alias("notes"))
 
 
 def route(confidence: Column, auto_accept: Column | float = AUTO_ACCEPT, review_floor: Column | float = REVIEW_FLOOR) -> Column:

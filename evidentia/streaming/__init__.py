@@ -1 +1 @@
-
+"""Structured Streaming forms of ingest and curation."""
