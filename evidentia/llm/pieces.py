@@ -23,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ GIANT, CHUNK, FANOUT = 1 << 18, 1 << 16, 64
 SPACE = "▁"
 #: A byte piece costs as much as the worst piece and this much more, a byte.
 UNKNOWN = 10.0
-MEMO = 400_000
+MEMO = 500_000
 #: Stands for a literal space mark of a text while its spaces are marks; decoding gives no such code point.
 LITERAL = "\ud800"
 NEVER = float("-inf")
@@ -94,6 +95,10 @@ class Vocabulary:
     names: list[bytes]
     #: every beginning of a piece -> (ids, score) of the piece it is, or None
     starts: dict[str, tuple[tuple[int, ...], float] | None]
+    #: every ending of a piece -> the same
+    ends: dict[str, tuple[tuple[int, ...], float] | None]
+    #: score of each id; of a byte what it costs to need it
+    costs: list[float]
     longest: int
     unknown: float
 
@@ -112,16 +117,19 @@ class Vocabulary:
             else:
                 names.append(p.encode() if kind in (1, 4) else b"")
         starts: dict[str, tuple[tuple[int, ...], float] | None] = {p[:n]: None for p in ids for n in range(1, len(p))}
-        starts |= {p: ((i,), s) for p, (i, s) in ids.items()}
-        return cls(ids, bytes_, names, starts, max(map(len, ids), default=1), min((s for _, s in ids.values()), default=0.0) - UNKNOWN)
-
-    def best(self, text: str, start: int) -> tuple[list[float], list[int], list[tuple[int, ...]]]:
-        """Best score from `start` to every place of the text, and start and ids of the piece that ends there."""
+        ends: dict[str, tuple[tuple[int, ...], float] | None] = {p[n:]: None for p in ids for n in range(1, len(p))}
+        whole = {p: ((i,), s) for p, (i, s) in ids.items()}
+        unknown = min((s for _, s in ids.values()), default=0.0) - UNKNOWN
+        costs = [s if kind in (1, 4) else unknown for _, s, kind in pieces]
+        return cls(ids, bytes_, names, starts | whole, ends | whole, costs, max(map(len, ids), default=1), unknown)
+
+    def best(self, text: str, start: int) -> list[float]:
+        """Best score from `start` to every place of the text."""
         if SPACE in text:
             text = text.replace(SPACE, LITERAL)
         text = text.replace(" ", SPACE)
         n = len(text)
-        score, back, last = [NEVER] * (n + 1), [-1] * (n + 1), [()] * (n + 1)
+        score = [NEVER] * (n + 1)
         score[start] = 0.0
         get, longest = self.starts.get, self.longest
         for a in range(start, n):
@@ -130,43 +138,93 @@ class Vocabulary:
                 continue
             if not get(text[a]):  # no piece of one character
                 raw = (SPACE if text[a] == LITERAL else text[a]).encode("utf-8", "surrogateescape")
-                s = base + self.unknown * len(raw)
-                if s > score[a + 1]:
-                    score[a + 1], back[a + 1], last[a + 1] = s, a, tuple(self.bytes_[x] for x in raw)
+                score[a + 1] = max(score[a + 1], base + self.unknown * len(raw))
             for b in range(a + 1, min(n, a + longest) + 1):
                 found = get(text[a:b], 0)
                 if found:
-                    s = base + found[1]
-                    if s > score[b]:
-                        score[b], back[b], last[b] = s, a, found[0]
+                    score[b] = max(score[b], base + found[1])
                 elif found == 0:
                     break
-        return score, back, last
+        return score
 
-    @staticmethod
-    def trace(back: list[int], last: list[tuple[int, ...]], start: int, end: int) -> list[int]:
-        out: list[tuple[int, ...]] = []
-        while end > start:
-            out.append(last[end])
-            end = back[end]
-        return [i for ids in reversed(out) for i in ids]
 
+class Words:
+    """The pieces of units (spaces and the word after them), remembered in two generations.
 
-class Words(dict):
-    """unit (spaces and the word after them) -> (its pieces, their score)."""
+    Units met for the first time are segmented in sorted order: scores up to the end of a common beginning are
+    those of the unit before, so they are worked out once.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
-
-    def __missing__(self, unit: str) -> tuple[list[int], float]:
-        if len(self) > MEMO:
-            self.clear()
-        score, back, last = self.vocabulary.best(unit, 0)
-        out = self.vocabulary.trace(back, last, 0, len(unit)), score[-1]
-        if len(unit) < 64:
-            self[unit] = out
-        return out
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def learn(self, units_: set[str]) -> None:
+        if len(self.young) + len(units_) > MEMO:
+            self.old, self.young = self.young, {}
+        new = units_ - self.young.keys()
+        if self.old:
+            known = new & self.old.keys()
+            self.young.update((u, self.old[u]) for u in known)
+            new -= known
+        self._segment(sorted(new))
+
+    def _segment(self, new: list[str]) -> None:
+        v, young = self.vocabulary, self.young
+        get, longest = v.ends.get, v.longest
+        score, back, last = [0.0], [0], [()]
+        before = ""
+        for unit in new:
+            text = (unit.replace(SPACE, LITERAL) if SPACE in unit else unit).replace(" ", SPACE)
+            same, most = 0, min(len(text), len(before))
+            while same < most and text[same] == before[same]:
+                same += 1
+            del score[same + 1 :], back[same + 1 :], last[same + 1 :]
+            for b in range(same + 1, len(text) + 1):
+                found = get(text[b - 1])
+                if found:
+                    best, at, ids = score[b - 1] + found[1], b - 1, found[0]
+                else:
+                    raw = (SPACE if text[b - 1] == LITERAL else text[b - 1]).encode("utf-8", "surrogateescape")
+                    best, at, ids = score[b - 1] + v.unknown * len(raw), b - 1, tuple(v.bytes_[x] for x in raw)
+                for a in range(b - 2, max(-1, b - longest - 1), -1):
+                    found = get(text[a:b], 0)
+                    if found:
+                        s = score[a] + found[1]
+                        if s >= best:
+                            best, at, ids = s, a, found[0]
+                    elif found == 0:
+                        break
+                score.append(best)
+                back.append(at)
+                last.append(ids)
+            out, at = [], len(text)
+            while at:
+                out.append(last[at])
+                at = back[at]
+            out.reverse()
+            young[unit] = tuple(i for ids in out for i in ids)
+            before = text
+
+    def ids(self, units_: list[str]) -> list[int]:
+        """The ids of units that have been learnt."""
+        return list(chain.from_iterable(map(self.young.__getitem__, units_)))
+
+    def score(self, units_: list[str]) -> float:
+        self.learn(set(units_))
+        costs = self.vocabulary.costs
+        return sum(costs[i] for i in self.ids(units_))
+
+
+#: One memory for each vocabulary in a worker, kept from task to task.
+_WORDS: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    if path not in _WORDS:
+        _WORDS[path] = Words(Vocabulary.load(path))
+    return _WORDS[path]
 
 
 def units(text: str) -> list[str]:
@@ -184,10 +242,15 @@ def encode(text: str, words: Words) -> list[int]:
 
 def encode_between(text: str, words: Words) -> list[int]:
     """The ids of what lies between two places where pieces meet."""
-    out: list[int] = []
-    for ids, _ in map(words.__getitem__, units(text)):
-        out += ids
-    return out
+    us = units(text)
+    words.learn(set(us))
+    return words.ids(us)
+
+
+def encode_all(texts: list[str], words: Words) -> list[list[int]]:
+    us = [units(" " + t) for t in texts]
+    words.learn(set(chain.from_iterable(us)))
+    return [words.ids(u) for u in us]
 
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> bytes:
@@ -211,14 +274,14 @@ def matrix(chunk: str, ahead: str, vocabulary: Vocabulary, words: Words) -> np.n
     last = cuts[-1] if cuts else None
     if first is None or last is None or last < first:
         for i in range(min(reach, len(whole) + 1)):
-            score, _, _ = vocabulary.best(whole, i)
+            score = vocabulary.best(whole, i)
             for j in range(min(reach, len(whole) - len(chunk) + 1)):
                 out[i, j] = score[len(chunk) + j] if i <= len(chunk) + j else NEVER
         return out
-    middle = sum(words[u][1] for u in units(chunk[first:last]))
-    tail, _, _ = vocabulary.best(whole[last:], 0)
+    middle = words.score(units(chunk[first:last]))
+    tail = vocabulary.best(whole[last:], 0)
     for i in range(reach):
-        head, _, _ = vocabulary.best(chunk[:first], i)
+        head = vocabulary.best(chunk[:first], i)
         for j in range(min(reach, len(whole) - len(chunk) + 1)):
             out[i, j] = head[first] + middle + tail[len(chunk) - last + j]
     return out
@@ -263,8 +326,8 @@ def _scanned(rows: DataFrame, path: str, size: int) -> DataFrame:
     parts = stored(chunks(rows, size, reach).repartition("rid", "at"), "chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.load(path)
-        words = Words(vocabulary)
+        words = words_of(path)
+        vocabulary = words.vocabulary
         for batch in batches:
             found = [matrix(_text(c), _text(a), vocabulary, words).ravel() for c, a in zip(batch.column("chunk").to_pylist(), batch.column("ahead").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("at"), pa.array(found, pa.list_(pa.float64()))], names=["rid", "at", "m"])
@@ -292,7 +355,7 @@ def _scanned(rows: DataFrame, path: str, size: int) -> DataFrame:
     inner = each.join(ends, ["rid", "block"]).groupBy("rid", "block").applyInPandas(lambda p: settled(p, "at"), "rid long, at int, entry int, leave int")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Vocabulary.load(path))
+        words = words_of(path)
         for batch in batches:
             out = []
             for chunk, ahead, i, j in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ahead", "entry", "leave")), strict=True):
@@ -329,9 +392,9 @@ def tokenize(documents: DataFrame, path: str = MODEL, giant: int = GIANT, size:
     long_ = F.length("text") > giant
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(Vocabulary.load(path))
+        words = words_of(path)
         for batch in batches:
-            ids = [encode(t.decode("utf-8", "surrogateescape"), words) for t in utf8(batch.column("text"))]
+            ids = encode_all([_text(t) for t in utf8(batch.column("text"))], words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "part", "ids"])
 
     done = rows.where(~long_).select("doc_id", "text").mapInArrow(short, "doc_id long, part int, ids array<int>")
