@@ -31,7 +31,9 @@ BUCKETS = 1 << 20
 MAX_TOXIC, MAX_CLEAN = 2_500, 12_500
 #: Rows of shrinkage towards the overall share, and the least log ratio and row count of a kept bucket.
 SHRINK, LEAST_RATIO, LEAST_ROWS = 12.0, 0.9, 4
-FACTORS, EPOCHS, RATE, DECAY, SEED = 4, 60, 0.1, 2e-4, 7
+#: A bucket of a smaller log ratio is kept too if its toxic rows differ from those expected by this many deviations.
+LEAST_DEVIATION, SMALL_RATIO = 8.0, 0.4
+FACTORS, EPOCHS, RATE, DECAY, SEED = 4, 80, 0.1, 2e-4, 7
 THRESHOLD = 0.3
 #: Words a worker remembers the terms of.
 MEMO = 400_000
@@ -102,7 +104,8 @@ def fit(rows: Iterable[tuple[int, list[int]]]) -> Machine:
     seen = np.bincount(flat, minlength=BUCKETS).astype(np.float64)
     toxic = np.bincount(flat, weights=y[owner], minlength=BUCKETS)
     ratio = np.log((toxic + SHRINK * share) / ((seen + SHRINK) * share))
-    kept = np.flatnonzero((seen >= LEAST_ROWS) & (np.abs(ratio) >= LEAST_RATIO))
+    deviation = np.abs(toxic - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
+    kept = np.flatnonzero((seen >= LEAST_ROWS) & ((np.abs(ratio) >= LEAST_RATIO) | (deviation >= LEAST_DEVIATION) & (np.abs(ratio) >= SMALL_RATIO)))
     if not len(kept):
         return nothing
     index = np.full(BUCKETS, -1)
@@ -112,7 +115,7 @@ def fit(rows: Iterable[tuple[int, list[int]]]) -> Machine:
     value = ratio[kept]
     x = value[at]
     rng = np.random.default_rng(SEED)
-    theta = [np.array([bias]), np.full(len(kept), 0.5), rng.normal(0, 0.02, (len(kept), FACTORS))]
+    theta = [np.array([bias]), np.full(len(kept), 0.5), rng.normal(0, 0.1, (len(kept), FACTORS))]
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     n, m = len(rows), len(kept)
 
