@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -37,7 +38,7 @@ GIANT, CHUNK, FANOUT = 1 << 18, 1 << 16, 64
 SPACE = "▁"
 #: A byte piece costs as much as the worst piece and this much more, a byte.
 UNKNOWN = 10.0
-MEMO = 500_000
+MEMO = 700_000
 #: Stands for a literal space mark of a text while its spaces are marks; decoding gives no such code point.
 LITERAL = "\ud800"
 NEVER = float("-inf")
@@ -92,7 +93,8 @@ def read_model(path: str) -> list[tuple[str, float, int]]:
 class Vocabulary:
     ids: dict[str, tuple[int, float]]
     bytes_: list[int]
-    names: list[bytes]
+    #: what an id decodes to
+    shown: list[bytes]
     #: every beginning of a piece -> (ids, score) of the piece it is, or None
     starts: dict[str, tuple[tuple[int, ...], float] | None]
     #: every ending of a piece -> the same
@@ -109,19 +111,19 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("pieces that reach over a space mark inside are not supported")
         bytes_ = [0] * 256
-        names = []
+        shown = []
         for i, (p, _, kind) in enumerate(pieces):
             if kind == 6:
                 bytes_[int(p[3:5], 16)] = i
-                names.append(bytes([int(p[3:5], 16)]))
+                shown.append(bytes([int(p[3:5], 16)]))
             else:
-                names.append(p.encode() if kind in (1, 4) else b"")
+                shown.append(p.replace(SPACE, " ").encode() if kind in (1, 4) else b"")
         starts: dict[str, tuple[tuple[int, ...], float] | None] = {p[:n]: None for p in ids for n in range(1, len(p))}
         ends: dict[str, tuple[tuple[int, ...], float] | None] = {p[n:]: None for p in ids for n in range(1, len(p))}
         whole = {p: ((i,), s) for p, (i, s) in ids.items()}
         unknown = min((s for _, s in ids.values()), default=0.0) - UNKNOWN
         costs = [s if kind in (1, 4) else unknown for _, s, kind in pieces]
-        return cls(ids, bytes_, names, starts | whole, ends | whole, costs, max(map(len, ids), default=1), unknown)
+        return cls(ids, bytes_, shown, starts | whole, ends | whole, costs, max(map(len, ids), default=1), unknown)
 
     def best(self, text: str, start: int) -> list[float]:
         """Best score from `start` to every place of the text."""
@@ -172,39 +174,37 @@ class Words:
 
     def _segment(self, new: list[str]) -> None:
         v, young = self.vocabulary, self.young
-        get, longest = v.ends.get, v.longest
-        score, back, last = [0.0], [0], [()]
+        get, reach = v.ends.get, v.longest + 1
+        score: list[float] = [0.0]
+        path: list[tuple[int, ...]] = [()]
         before = ""
         for unit in new:
-            text = (unit.replace(SPACE, LITERAL) if SPACE in unit else unit).replace(" ", SPACE)
+            text = (unit[1:] if unit[:1] == LITERAL else " " + unit).replace(SPACE, LITERAL).replace(" ", SPACE)
             same, most = 0, min(len(text), len(before))
             while same < most and text[same] == before[same]:
                 same += 1
-            del score[same + 1 :], back[same + 1 :], last[same + 1 :]
+            del score[same + 1 :], path[same + 1 :]
             for b in range(same + 1, len(text) + 1):
-                found = get(text[b - 1])
+                at = b - 1
+                found = get(text[at])
                 if found:
-                    best, at, ids = score[b - 1] + found[1], b - 1, found[0]
+                    piece, worth = found
                 else:
-                    raw = (SPACE if text[b - 1] == LITERAL else text[b - 1]).encode("utf-8", "surrogateescape")
-                    best, at, ids = score[b - 1] + v.unknown * len(raw), b - 1, tuple(v.bytes_[x] for x in raw)
-                for a in range(b - 2, max(-1, b - longest - 1), -1):
+                    raw = (SPACE if text[at] == LITERAL else text[at]).encode("utf-8", "surrogateescape")
+                    piece, worth = tuple(v.bytes_[x] for x in raw), v.unknown * len(raw)
+                best = score[at] + worth
+                for a in range(b - 2, max(-1, b - reach), -1):
                     found = get(text[a:b], 0)
-                    if found:
-                        s = score[a] + found[1]
-                        if s >= best:
-                            best, at, ids = s, a, found[0]
-                    elif found == 0:
+                    if found is None:
+                        continue
+                    if not found:
                         break
+                    worth = score[a] + found[1]
+                    if worth >= best:
+                        best, at, piece = worth, a, found[0]
                 score.append(best)
-                back.append(at)
-                last.append(ids)
-            out, at = [], len(text)
-            while at:
-                out.append(last[at])
-                at = back[at]
-            out.reverse()
-            young[unit] = tuple(i for ids in out for i in ids)
+                path.append(path[at] + piece)
+            young[unit] = path[len(text)]
             before = text
 
     def ids(self, units_: list[str]) -> list[int]:
@@ -228,11 +228,17 @@ def words_of(path: str) -> Words:
 
 
 def units(text: str) -> list[str]:
-    """Parts of a text that no piece reaches over: runs of spaces with the word after them; a word before the first space."""
+    """Parts of a text that no piece reaches over: runs of spaces with the word after them; a word before the first space.
+
+    A word after a single space stands for both; any other part is marked by a first character that no text has.
+    """
+    if text[:1] == " " and "  " not in text:
+        return text[1:].split(" ")
     first = text.find(" ")
     if first < 0:
-        return [text] if text else []
-    return ([text[:first]] if first else []) + _UNIT.findall(text, first)
+        return [LITERAL + text] if text else []
+    rest = [u[1:] if u[1:2] != " " else LITERAL + u for u in _UNIT.findall(text, first)]
+    return [LITERAL + text[:first], *rest] if first else rest
 
 
 def encode(text: str, words: Words) -> list[int]:
@@ -255,8 +261,7 @@ def encode_all(texts: list[str], words: Words) -> list[list[int]]:
 
 def decode(ids: list[int], vocabulary: Vocabulary) -> bytes:
     """The text of ids: pieces joined, space marks as spaces, less the first space.  Marks made of bytes stay."""
-    mark = SPACE.encode()
-    text = b"".join(n.replace(mark, b" ") if len(n) > 1 else n for n in map(vocabulary.names.__getitem__, ids))
+    text = b"".join(map(vocabulary.shown.__getitem__, ids))
     return text[1:] if text.startswith(b" ") else text
 
 
@@ -381,15 +386,25 @@ def boundary_states(ms: list[np.ndarray], entry: int, leave: int) -> list[int]:
     return states[::-1]
 
 
+def _rows(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession)
+    return documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _giants(rows: DataFrame, path: str, giant: int, size: int) -> DataFrame | None:
+    """doc_id, part and ids of the giant texts, None if there is none."""
+    giants = stored(rows.where(F.length("text") > giant), "giants")
+    if not giants.take(1):
+        return None
+    return _scanned(giants.select("rid", "text"), path, size).join(giants.select("rid", "doc_id"), "rid").select("doc_id", F.col("at").alias("part"), "ids")
+
+
 def tokenize(documents: DataFrame, path: str = MODEL, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
     """doc_id, part and ids (array<int>) of each row of `documents`; a giant text comes in parts numbered from 0.
 
-    Null and empty texts have the one id of the space before them, or none where the vocabulary lacks it.
-    Repeated rows come out repeated.
+    Null and empty texts have the one id of the space before them.  Repeated rows come out repeated.
     """
-    small_batches(documents.sparkSession)
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    long_ = F.length("text") > giant
+    rows = _rows(documents)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(path)
@@ -397,12 +412,9 @@ def tokenize(documents: DataFrame, path: str = MODEL, giant: int = GIANT, size:
             ids = encode_all([_text(t) for t in utf8(batch.column("text"))], words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([0] * len(ids), pa.int32()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "part", "ids"])
 
-    done = rows.where(~long_).select("doc_id", "text").mapInArrow(short, "doc_id long, part int, ids array<int>")
-    giants = stored(rows.where(long_), "giants")
-    if not giants.take(1):
-        return done
-    scanned = _scanned(giants.select("rid", "text"), path, size)
-    return done.unionByName(scanned.join(giants.select("rid", "doc_id"), "rid").select("doc_id", F.col("at").alias("part"), "ids"))
+    done = rows.where(F.length("text") <= giant).select("doc_id", "text").mapInArrow(short, "doc_id long, part int, ids array<int>")
+    scanned = _giants(rows, path, giant, size)
+    return done if scanned is None else done.unionByName(scanned)
 
 
 def detokenize(encoded: DataFrame, path: str = MODEL) -> DataFrame:
@@ -417,26 +429,41 @@ def detokenize(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "part", "ids").mapInArrow(run, "doc_id long, part int, text binary")
 
 
-def digests(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """doc_id, part, n_tokens, SHA-256 of the ids (little-endian 32-bit) and of the decoded bytes."""
+DIGESTS = "doc_id long, part int, n_tokens long, ids_sha256 string, text_sha256 string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary.load(path)
+
+def _digest_batch(doc_ids: pa.Array, parts: list[int], ids: list[list[int]], vocabulary: Vocabulary) -> pa.RecordBatch:
+    space = vocabulary.ids[SPACE][0]
+    texts = [decode(i, vocabulary) if p == 0 else decode([space, *i], vocabulary) for i, p in zip(ids, parts, strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, pa.array(parts, pa.int32()), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(array("i", i).tobytes()).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())],
+        names=["doc_id", "part", "n_tokens", "ids_sha256", "text_sha256"],
+    )
+
+
+def round_trip(documents: DataFrame, path: str = MODEL, giant: int = GIANT, size: int = CHUNK) -> DataFrame:
+    """doc_id, part, n_tokens, SHA-256 of the ids (native 32-bit) and of the bytes that they decode to, encoding and decoding in one pass."""
+    rows = _rows(documents)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = words_of(path)
+        for batch in batches:
+            ids = encode_all([_text(t) for t in utf8(batch.column("text"))], words)
+            yield _digest_batch(batch.column("doc_id"), [0] * len(ids), ids, words.vocabulary)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = words_of(path).vocabulary
         for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            parts = batch.column("part").to_pylist()
-            texts = [decode(i, vocabulary) if p == 0 else decode([vocabulary.ids[SPACE][0], *i], vocabulary) for i, p in zip(ids, parts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("part"), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids]), pa.array([hashlib.sha256(t).hexdigest() for t in texts])],
-                names=["doc_id", "part", "n_tokens", "ids_sha256", "text_sha256"],
-            )
+            yield _digest_batch(batch.column("doc_id"), batch.column("part").to_pylist(), batch.column("ids").to_pylist(), vocabulary)
 
-    return encoded.mapInArrow(run, "doc_id long, part int, n_tokens long, ids_sha256 string, text_sha256 string")
+    done = rows.where(F.length("text") <= giant).select("doc_id", "text").mapInArrow(short, DIGESTS)
+    scanned = _giants(rows, path, giant, size)
+    return done if scanned is None else done.unionByName(scanned.mapInArrow(parts, DIGESTS))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: token count, digest of the ids, digest of the text they decode to."""
-    return digests(tokenize(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
