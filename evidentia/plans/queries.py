@@ -435,3 +435,98 @@ def integrity_report(spark, d):
     pieces = read(spark, d, "orders").select(F.col("o_custkey").alias("work_id"))
     found = integrity.shared_paths(lines).unionByName(integrity.orphan_works(works, pieces))
     return integrity.report(found).select("check", "nth", "subject", "detail")
+
+
+# --- shelves, counts, orders -----------------------------------------------------------------------------------
+
+@registered("c3_shelves_with_counts", "SELECT c_custkey AS shelf_id, count(o_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def shelves_with_counts(spark, d):
+    """Shelves with the number of their items, empty ones too; items are counted before they meet the shelves."""
+    items = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("items"))
+    return read(spark, d, "customer").join(items, "c_custkey", "left").select(F.col("c_custkey").alias("shelf_id"), F.coalesce("items", F.lit(0)).alias("items"))
+
+
+@registered("c4_shelf_order", "SELECT o_custkey AS shelf_id, o_orderkey AS piece_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS position FROM orders")
+def shelf_order(spark, d):
+    """Items of a shelf in running order, through an append of all of them to empty shelves."""
+    o = read(spark, d, "orders")
+    adds = o.select(F.col("o_custkey").alias("shelf_id"), F.col("o_orderkey").alias("piece_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("seq"))
+    none = adds.limit(0).select("shelf_id", "piece_id", F.lit(0).alias("position"))
+    return corrections.append_positions(none, adds)
+
+
+@registered("e4_reorder", "SELECT o_custkey AS shelf_id, o_orderkey AS piece_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, CASE WHEN o_orderstatus = 'F' THEN -o_orderkey ELSE o_orderkey END) AS INTEGER) AS position FROM orders")
+def reorder(spark, d):
+    items = read(spark, d, "orders").select(F.col("o_custkey").alias("shelf_id"), F.col("o_orderkey").alias("piece_id"), "o_orderstatus")
+    listed = items.where("o_orderstatus = 'F'").groupBy("shelf_id").agg(F.reverse(F.array_sort(F.collect_list("piece_id"))).alias("piece_ids"))
+    return corrections.reorder(items.drop("o_orderstatus"), listed)
+
+
+@registered("d6_scan_statistics", "SELECT count(*) AS seen, count(*) FILTER (length(html) = 0) AS unreadable, count(*) FILTER (starts_with(url, 'http://')) AS skipped, count(*) FILTER (starts_with(url, 'https://')) AS catalogued FROM pages")
+def scan_statistics(spark, d):
+    """Counts of one scan, in one aggregation over rows marked by the ignore patterns."""
+    rows = read(spark, d, "pages").select(F.col("url").alias("rel_path"), F.when(F.length("html") == 0, "empty").alias("error"))
+    marked = files.marked_ignored(rows, {"http://*": "plain address"})
+    skipped = F.coalesce(F.col("skipped") == "plain address", F.lit(False))
+    return marked.agg(F.count("*").alias("seen"), F.count("error").alias("unreadable"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("skipped").isNull()).alias("catalogued"))
+
+
+@registered("d7_file_confidence", LINES + "SELECT piece_id // 10 AS file_id, min(m) AS confidence FROM (SELECT piece_id, round(CASE WHEN bool_or(conflict) THEN least(min(confidence), 0.45) ELSE min(confidence) END, 4) AS m FROM res GROUP BY 1) GROUP BY 1")
+def file_confidence(spark, d):
+    got = resolve.resolve_pieces(line_candidates(spark, d), required=list(LINE_FIELDS.values()), merge=False)
+    return got.groupBy(F.expr("piece_id div 10").alias("file_id")).agg(F.min("confidence").alias("confidence"))
+
+
+@registered("d12_distinct_names", CAT + "SELECT DISTINCT trim(composer_name) AS name FROM cat WHERE trim(composer_name) <> ''")
+def distinct_names(spark, d):
+    return catalogue(spark, d).select(F.trim("composer_name").alias("name")).where("name <> ''").distinct()
+
+
+@registered("d15_total", CAT + f"SELECT count(*) AS n FROM cat WHERE difficulty >= 25 AND {LIVE}")
+def total(spark, d):
+    return catalog.narrow(catalogue(spark, d), catalog.Filters(difficulty=(25, None))).agg(F.count("*").alias("n"))
+
+
+@registered("d16_first_row_wins", "SELECT l_orderkey, arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS l_suppkey FROM lineitem GROUP BY 1")
+def first_row_wins(spark, d):
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey")).alias("l_suppkey"))
+
+
+@registered("f4_review_order", CAT + "SELECT piece_id, difficulty FROM cat WHERE review_state = 'pending' AND route IN ('review', 'hold') ORDER BY difficulty, piece_id LIMIT 60")
+def review_order(spark, d):
+    return catalog.review_queue(catalogue(spark, d)).orderBy("difficulty", "piece_id").limit(catalog.PAGE).select("piece_id", "difficulty")
+
+
+@registered("g3_alias_union", "SELECT n_regionkey AS region, array_to_string(list_sort(list(DISTINCT n_name)), ',') AS aliases FROM nation GROUP BY 1")
+def alias_union(spark, d):
+    """Merging all names of a region into one authority: the survivor has the others as aliases."""
+    n = read(spark, d, "nation").withColumn("new", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    authority = n.select(F.col("n_name").alias("name"), F.array().cast("array<string>").alias("aliases"))
+    merged = corrections.merge_aliases(authority, n.select(F.col("n_name").alias("old"), "new"))
+    return merged.select(F.substring("name", 2, 9).cast("int").alias("region"), F.array_join("aliases", ",").alias("aliases"))
+
+
+@registered("k13_rename_authority", CAT + "SELECT composer_name, count(*) AS n FROM (SELECT CASE WHEN composer_name = 'Brand#1' THEN 'Brand#2' ELSE composer_name END AS composer_name FROM cat) GROUP BY 1")
+def rename_authority(spark, d):
+    mapping = spark.createDataFrame([("Brand#1", "Brand#2")], "old string, new string")
+    return corrections.rename_authority(catalogue(spark, d), mapping, "composer_name").groupBy("composer_name").agg(F.count("*").alias("n"))
+
+
+@registered("l12_filing_plan", CAT + "SELECT action, count(*) AS n FROM (SELECT CASE WHEN file_id % 3 = 0 THEN 'unreviewed' WHEN file_id % 3 = 1 THEN 'copy' ELSE 'refile' END AS action FROM (SELECT DISTINCT file_id FROM cat)) GROUP BY 1")
+def filing_plan(spark, d):
+    pieces = catalogue(spark, d).withColumn("edition", F.lit(None).cast("string"))
+    f = pieces.select("file_id").distinct().select("file_id", F.concat(F.lit("in/"), F.col("file_id").cast("string"), F.lit(".pdf")).alias("rel_path"), F.lit("all").alias("collection"), F.when(F.col("file_id") % 3 != 1, "old/place.pdf").alias("managed_path"), (F.col("file_id") % 3 != 0).alias("reviewed"), F.lit(1).alias("size"))
+    return linking.filing_plan(f, pieces).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@registered("m4_past_the_end", CAT + "SELECT CAST(piece_id AS VARCHAR) AS subject FROM cat WHERE file_id % 10 > 0 AND difficulty > file_id % 10 * 5")
+def past_the_end(spark, d):
+    c = catalogue(spark, d)
+    f = c.select("file_id").distinct().withColumn("page_count", (F.col("file_id") % 10 * 5).cast("int"))
+    return integrity.past_the_end(c.withColumn("page_end", F.col("difficulty")), f).select("subject")
+
+
+@registered("m6_deleted_entry_back", CAT + "SELECT CAST(piece_id AS VARCHAR) AS subject FROM cat WHERE piece_id % 11 = 0")
+def deleted_entry_back(spark, d):
+    c = catalogue(spark, d)
+    return integrity.revenants(c, c.where("piece_id % 11 = 0").select("file_id", "page_start")).select("subject")
