@@ -34,11 +34,11 @@ MATRIX = 512
 BLOCK = 1 << 20
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    """64 bits as a signed number; zero for a text without words."""
+def shingles(text: bytes, size: int = SHINGLE) -> list[int]:
+    """Hashes of a text's shingles in order; a text of fewer words than `size` is one shingle, one without words none."""
     words = text.lower().split()  # bytes: only A-Z and the six ASCII spaces
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -47,7 +47,15 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     else:
         spans = [(0, len(joined))]
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in spans]
+    return [digest(joined[a:b], SEED) for a, b in spans]
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """64 bits as a signed number; zero for a text without words."""
+    return majority(shingles(text, size))
+
+
+def majority(hashes: list[int]) -> int:
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
@@ -223,12 +231,129 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The pipeline's stage: five words, and as many bits as copies of similarity 0.8 differ by at most.
+#: The pipeline's stage: five words; links of up to seven bits are one source of candidates, min-hash bands the other.
 STAGE_SHINGLE, STAGE_RADIUS = 5, 7
+#: Two texts are near copies from this shingle similarity on, as a fraction.
+ALIKE = (4, 5)
+#: Bands of min-hashes, and min-hashes a band: a pair of similarity 0.8 shares no band with probability 3e-6.
+BANDS, ROWS = 24, 4
+_DRAWN = np.random.default_rng(SEED)
+MASKS = _DRAWN.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+FACTORS = _DRAWN.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One signed number a band, of the least of each of its permutations of the hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 14):
+        np.minimum(least, ((hashes[at : at + (1 << 14)] ^ MASKS) * FACTORS).min(1), out=least)
+    return [_signed(xxhash.xxh64_intdigest(part.tobytes(), k)) for k, part in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def alike_links(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sorted sets of hashes that are `ALIKE`; no set is empty."""
+    part, whole = ALIKE
+    sizes = np.array([len(x) for x in sets])
+    rest = np.arange(1, len(sets))
+    reach, found = [0], []
+    flat = None
+    while len(rest):
+        if not reach:
+            reach, rest, flat = [int(rest[0])], rest[1:], None
+            continue
+        u = reach.pop()
+        if flat is None:
+            flat = np.concatenate([sets[i] for i in rest])
+            starts = np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
+        x = sets[u]
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), starts)
+        near = common * whole >= part * (sizes[u] + sizes[rest] - common)
+        if near.any():
+            found += [(keys[u], keys[i]) for i in rest[near]]
+            reach += rest[near].tolist()
+            rest, flat = rest[~near], None
+    return found
+
+
+def verified_links(members: DataFrame) -> DataFrame:
+    """(a, b) rows that join all keys of a bucket whose shingles are alike; `members` has bucket, key and set (binary)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, keys, sets = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found = alike_links(keys, sets) if len(keys) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, key, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "set")), strict=True):
+                if bucket != current:
+                    if len(keys) > 1:
+                        yield flush()
+                    current, keys, sets = bucket, [], []
+                keys.append(key)
+                sets.append(np.frombuffer(raw, "<u8"))
+        yield flush()
+
+    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def alike_rows(rows: DataFrame) -> DataFrame:
+    """`key`, `doc_id`, `body` (hash of the text) and `group` of every row of `rows` (key, doc_id, text).
+
+    Rows of one group are joined by links of shingle similarity `ALIKE` at least.  Rows of equal shingle sets
+    meet first, by digest.  Candidates are the components of fingerprints within `STAGE_RADIUS` bits, and the sets
+    that share a min-hash band: fingerprints of similar texts can differ by more bits than a search can cover.
+    All pairs of a bucket are candidates, and each link is verified on the shingles themselves.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, digests, bands_ = [], [], []
+            for text in utf8(batch.column("text")):
+                hashes = shingles(text, STAGE_SHINGLE)
+                distinct = np.unique(np.array(hashes, dtype="<u8"))
+                fps.append(majority(hashes) if hashes else 0)
+                digests.append(xxhash.xxh128_digest(distinct.tobytes()))
+                bands_.append(band_keys(distinct) if hashes else [])
+            names = ["key", "doc_id", "body", "fp", "digest", "bands"]
+            arrays = [batch.column("key"), batch.column("doc_id"), batch.column("body"), pa.array(fps, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands_, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(np.array(shingles(t, STAGE_SHINGLE), dtype="<u8")).tobytes() for t in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], names=["key", "set"])
+
+    read = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
+    marks = stored(read.mapInArrow(mark, "key long, doc_id long, body long, fp long, digest binary, bands array<long>"), "marks")
+    first = stored(marks.groupBy("digest").agg(F.min(F.struct("key", "fp", "bands")).alias("r")).select("digest", "r.*"), "sets")
+    some = first.where(F.size("bands") > 0)
+    tree = components(links(some.select("fp").distinct(), STAGE_RADIUS)).withColumnRenamed("node", "fp")
+    by_bits = some.join(tree, "fp", "left").select(F.xxhash64(F.lit("bits"), F.coalesce("root", "fp")).alias("bucket"), "key")
+    by_bands = some.select(F.explode("bands").alias("bucket"), "key")
+    held = stored(by_bits.unionByName(by_bands).distinct(), "buckets")
+    mixed = F.xxhash64("key")
+    # buckets of the same members are verified once
+    shared = held.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(mixed).alias("x"), F.sum(F.pmod(mixed, F.lit(1 << 31))).alias("y")).where("n > 1")
+    members = stored(held.join(shared.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket").select("bucket", "key"), "members")
+    small_batches(spark)
+    of_members = stored(rows.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "key long, set binary"), "shingles")
+    found = components(stored(verified_links(members.join(of_members, "key")), "alike"))
+    grouped = first.select("digest", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("digest", F.coalesce("root", "key").alias("group"))
+    return marks.join(grouped, "digest").select("key", "doc_id", "body", "group")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the least id (of rows repeating it, one)."""
-    found = near_copies(docs, STAGE_SHINGLE, STAGE_RADIUS)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = stored(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
+    found = alike_rows(rows)
+    least = found.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -134,6 +134,41 @@ def test_large_cells_give_the_same_components():
     assert len(small) == len(large)
 
 
+def near_texts(rng):
+    """Texts with words replaced here and there, so that shingle similarities lie on both sides of 0.8."""
+    out = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 80, 200]))]
+        for changes in (0, 1, 2, 3):
+            v = list(w)
+            for at in rng.sample(range(len(v)), changes):
+                v[at] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(v))
+    return out
+
+
+def alike_roots(texts_):
+    """Root of each text's component by links of five-word similarity 0.8, pair by pair."""
+    sets = [frozenset(simhash.shingles(t.encode(), 5)) for t in texts_]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    return root
+
+
+def test_simhash_stage_keeps_one_of_each_group_of_similarity(spark):
+    texts_ = near_texts(random.Random(6))
+    roots = alike_roots(texts_)
+    fps = [plain_fingerprint(t, 5) for t in texts_]
+    far = [i for i, r in enumerate(roots) if r != i and (fps[i] ^ fps[r]).bit_count() > simhash.STAGE_RADIUS]
+    assert far, "no pair of similarity 0.8 beyond the radius"
+    docs_ = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.stage(spark, docs_, "").collect()} == set(roots)
+
+
 # --- suffixes
 
 
