@@ -352,8 +352,12 @@ def alike_rows(rows: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the least id (of rows repeating it, one)."""
+    """One row of each group of near copies: that with the least id, rows without one last, then by hash of the text.
+
+    Rows are told apart by a key of their own, so null and repeated ids are rows like any other.
+    """
     rows = stored(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
-    found = alike_rows(rows)
-    least = found.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(least.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    found = stored(alike_rows(rows), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "body", "key")
+    keep = found.groupBy("group").agg(F.min(order).alias("best")).select("best.key")
+    return rows.join(keep, "key", "left_semi").select(*docs.columns)

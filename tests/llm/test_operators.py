@@ -169,6 +169,15 @@ def test_simhash_stage_keeps_one_of_each_group_of_similarity(spark):
     assert {r.doc_id for r in simhash.stage(spark, docs_, "").collect()} == set(roots)
 
 
+def test_simhash_stage_keeps_rows_of_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(5))
+    near = a + " more"
+    rows = [(None, b), (None, c), (None, c), (1, d), (1, e), (2, a), (3, near), (None, a), (4, None), (None, "")]
+    kept = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, b), (None, c), (1, d), (1, e), (2, a), (4, None)])
+
+
 # --- suffixes
 
 
