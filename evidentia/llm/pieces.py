@@ -39,6 +39,8 @@ SPACE = "▁"
 #: A byte piece costs as much as the worst piece and this much more, a byte.
 UNKNOWN = 10.0
 MEMO = 700_000
+#: Units longer than this are not remembered.
+LONG = 1024
 #: Stands for a literal space mark of a text while its spaces are marks; decoding gives no such code point.
 LITERAL = "\ud800"
 NEVER = float("-inf")
@@ -154,15 +156,18 @@ class Words:
     """The pieces of units (spaces and the word after them), remembered in two generations.
 
     Units met for the first time are segmented in sorted order: scores up to the end of a common beginning are
-    those of the unit before, so they are worked out once.
+    those of the unit before, so they are worked out once.  Each position keeps the piece that ends there and where
+    it begins, so memory is linear in the unit's length; very long units are kept until the next are learnt.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.once: dict[str, tuple[int, ...]] = {}
 
     def learn(self, units_: set[str]) -> None:
+        self.once = {}
         if len(self.young) + len(units_) > MEMO:
             self.old, self.young = self.young, {}
         new = units_ - self.young.keys()
@@ -176,14 +181,15 @@ class Words:
         v, young = self.vocabulary, self.young
         get, reach = v.ends.get, v.longest + 1
         score: list[float] = [0.0]
-        path: list[tuple[int, ...]] = [()]
+        origin: list[int] = [0]
+        last: list[tuple[int, ...]] = [()]
         before = ""
         for unit in new:
             text = (unit[1:] if unit[:1] == LITERAL else " " + unit).replace(SPACE, LITERAL).replace(" ", SPACE)
             same, most = 0, min(len(text), len(before))
             while same < most and text[same] == before[same]:
                 same += 1
-            del score[same + 1 :], path[same + 1 :]
+            del score[same + 1 :], origin[same + 1 :], last[same + 1 :]
             for b in range(same + 1, len(text) + 1):
                 at = b - 1
                 found = get(text[at])
@@ -203,12 +209,21 @@ class Words:
                     if worth >= best:
                         best, at, piece = worth, a, found[0]
                 score.append(best)
-                path.append(path[at] + piece)
-            young[unit] = path[len(text)]
+                origin.append(at)
+                last.append(piece)
+            at = len(text)
+            back = []
+            while at:
+                back.append(last[at])
+                at = origin[at]
+            back.reverse()
+            (young if len(unit) <= LONG else self.once)[unit] = tuple(chain.from_iterable(back))
             before = text
 
     def ids(self, units_: list[str]) -> list[int]:
         """The ids of units that have been learnt."""
+        if self.once:
+            return list(chain.from_iterable(self.once[u] if u in self.once else self.young[u] for u in units_))
         return list(chain.from_iterable(map(self.young.__getitem__, units_)))
 
     def score(self, units_: list[str]) -> float:

@@ -436,6 +436,21 @@ def test_round_trip_and_best_score(vocabulary):
         assert total(ids, vocabulary) == score[n]
 
 
+def test_long_text_without_spaces_takes_linear_memory(vocabulary):
+    import tracemalloc
+
+    words = pieces.Words(vocabulary)
+    text = "漢字\U00012000ab" * 40_000
+    tracemalloc.start()
+    try:
+        ids = pieces.encode(text, words)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert pieces.decode(ids, vocabulary) == text.encode()
+    assert peak < 100 << 20 and not words.young
+
+
 def test_chunks_score_like_the_whole(spark, docs, vocabulary):
     whole = {(r.doc_id, len(r.ids)): r.ids for r in pieces.tokenize(docs.dropDuplicates(["doc_id"])).collect()}
     parts = {}
