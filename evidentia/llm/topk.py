@@ -11,8 +11,9 @@ bound, `FIRST` of them; the k-th best score found bounds the distance that still
 annuli whose bound lies within that, which hold all that is left.  Queries and annuli meet by a join on the annulus, in
 blocks of matrix products; each block returns k rows a query at most.
 
-Equal vectors: only the k + 1 with the least ids can be among the k best, so others are set aside before; that
-keeps one very common vector from filling an annulus.
+Equal vectors: only the k with the least ids other than the query's can be among the k best.  So k rows of an id and
+of these 2 k rows with the least ids are kept, and others set aside before; that keeps one very common vector from
+filling an annulus.
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.stack([(row[None, :] * x).sum(1) for row in q]) if len(q) else np.zeros((0, len(x)), np.int64)
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+def _best(found: DataFrame, k: int, of: str = "query_id") -> DataFrame:
+    best = Window.partitionBy(of).orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -87,13 +88,15 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k other rows of the largest inner product.
 
     `rows` has vec_id and v, arrays of one length.  Ties go to the smaller vec_id; a query with fewer than k
-    other rows gets them all.  Rows that repeat an id are rows of their own, but never partners of their own id.
+    other rows gets them all.  Rows that repeat an id are rows of their own, but never partners of their own id; query
+    rows of one id are ranked together.
     """
     spark = rows.sparkSession
-    schema = "query_id long, vec_id long, score long"
+    schema = "asker long, query_id long, vec_id long, score long"
     rows = stored(rows, "vectors")
-    same = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
+    same, own = Window.partitionBy("v").orderBy("vec_id"), Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    few = rows.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k)
+    few = few.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= 2 * k).drop("nth")
     shape = rows.agg(F.max(_norm2(F.col("v"))).alias("most"), F.max(F.size("v")).alias("dims")).first()
     if shape.most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -124,7 +127,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     blocks = blocks.withColumn("block", F.xxhash64("pivot", "ring", "part"))
 
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = asked.dropDuplicates(["query_id"])
+    asked = stored(asked.withColumn("asker", F.monotonically_increasing_id()), "asked")
 
     def annuli(first: bool):
         @F.pandas_udf("array<struct<pivot:int,ring:int,part:int>>")
@@ -159,20 +162,21 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 scores = products(np.stack(part["q"].to_numpy()), x)
-                for row, qid in zip(scores, part["query_id"].to_numpy(), strict=True):
-                    order = np.lexsort((ids, -row)) if len(row) <= 4 * k else _top(row, ids, k + 1)
-                    order = order[ids[order] != qid][:k]
-                    found.append(pd.DataFrame({"query_id": qid, "vec_id": ids[order], "score": row[order]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+                for row, asker, qid in zip(scores, part["asker"].to_numpy(), part["query_id"].to_numpy(), strict=True):
+                    lo, hi = np.searchsorted(ids, qid), np.searchsorted(ids, qid, "right")
+                    row, others = np.delete(row, slice(lo, hi)), np.delete(ids, slice(lo, hi))
+                    order = (np.lexsort((others, -row)) if len(row) <= 4 * k else _top(row, others, k))[:k]
+                    found.append(pd.DataFrame({"asker": asker, "query_id": qid, "vec_id": others[order], "score": row[order]}))
+        return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("asker", "query_id", "vec_id", "score")})
 
     def visit(queries: DataFrame, first: bool) -> DataFrame:
-        sent = queries.withColumn("to", F.explode(annuli(first)("q", "worst"))).select("query_id", "q", F.xxhash64("to.pivot", "to.ring", "to.part").alias("block"))
+        sent = queries.withColumn("to", F.explode(annuli(first)("q", "worst"))).select("asker", "query_id", "q", F.xxhash64("to.pivot", "to.ring", "to.part").alias("block"))
         return sent.groupBy("block").cogroup(blocks.select("block", "vec_id", "v").groupBy("block")).applyInPandas(multiply, schema)
 
-    started = stored(_best(visit(asked.withColumn("worst", F.lit(None).cast("double")), True), k).drop("rank"), "first")
-    reached = started.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
-    bounded = asked.join(reached, "query_id", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("least").cast("double")))
-    rest = visit(bounded.select("query_id", "q", "worst"), False)
+    started = stored(_best(visit(asked.withColumn("worst", F.lit(None).cast("double")), True), k, "asker").drop("rank"), "first")
+    reached = started.groupBy("asker").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    bounded = asked.join(reached, "asker", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("least").cast("double")))
+    rest = visit(bounded.select("asker", "query_id", "q", "worst"), False)
     best = _best(started.unionByName(rest), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -272,6 +272,23 @@ def test_topk_of_few_or_no_rows(spark):
     assert topk.search(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_with_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, size=(260, 4)).astype(float)
+    ids = [int(i) for i in rng.integers(0, 200, 260)]
+    x[:8], ids[:8] = 9.0, [0] * 8  # one id fills the slots of the best vector
+    x[8:12], ids[8:12] = 9.0, [7, 7, 8, 9]
+    x[12:20], ids[12:20] = 8.0, [50] * 8  # own rows fill the block's best
+    rows = [(i, v.tolist()) for i, v in zip(ids, x, strict=True)]
+    got = [tuple(r) for r in topk.search(topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect()]
+    v = (256 * x).astype(np.int64)
+    want = []
+    for q in sorted({i for i in ids if i % 50 == 0}):
+        ranked = sorted((-int(v[a] @ v[b]), ids[b]) for a in range(260) if ids[a] == q for b in range(260) if ids[b] != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(ranked)]
+    assert got == want
+
+
 # --- urls
 
 
