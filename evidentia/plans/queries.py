@@ -320,6 +320,12 @@ def fold(spark, d):
     return read(spark, d, "documents").where(F.rlike("text", F.lit(r"^[\x00-\x7F]*$"))).select("doc_id", F.md5(folding.fold(F.col("text"))).alias("folded"))
 
 
+@registered("h1_fold_all", None)
+def fold_all(spark, d):
+    """Every document, in every script; `h1_fold` compares the ASCII ones with its SQL."""
+    return read(spark, d, "documents").select("doc_id", F.md5(folding.fold(F.col("text"), unicode=True)).alias("folded"))
+
+
 @registered("h5_catalog_numbers", r"SELECT p_partkey, 'Op' AS system, p_size AS number, CASE WHEN p_partkey % 2 = 0 THEN 2 END AS sub FROM part")
 def catalog_numbers(spark, d):
     p = read(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(", Op. "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " no. 2").otherwise("")).alias("text"))
