@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows that go to Python in one Arrow batch; texts can be long.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one of our own only where none is set."""
+    """The shared folder of the session; a temporary one of our own only where none is set and all runs on this machine."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         shared = spark.conf.get("spark.evidentia.scratch", None)
         if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = tempfile.mkdtemp(prefix="evidentia-")
             spark.conf.set("spark.evidentia.scratch", shared)
     return shared.rstrip("/")
@@ -41,8 +43,41 @@ def stored(df: DataFrame, what: str = "t") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold: few rows, and where Spark knows the setting, few bytes a batch."""
+    """Bounds what Python workers hold of one batch, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+#: Rows a key from which on it is joined by itself, and the most such keys: what is broadcast has no more rows.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], n: str = "n", how: str = "inner") -> DataFrame:
+    """`left` joined to `right`, which has one row a key and in `n` how many rows of `left` have it.
+
+    Frequent keys, `HOT_KEYS` of them at most, are joined by broadcast, so that none is dealt to one task; the
+    others are shuffled.  `right` is read three times: pass a stored table.  how: inner, left_semi or left_anti.
+    """
+    line = max(HOT_ROWS, (right.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot, cold = right.where(F.col(n) > line), right.where(F.col(n) <= line)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
+    return rest if how == "left_anti" else rest.unionByName(left.join(F.broadcast(hot), on, how))
+
+
+def lots(rows: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """`rows` with `lot`, so that any two rows of one key meet in some (key, lot) and none has many more than 2 x `most`.
+
+    Keys of at most `most` rows have lot 0.  Larger ones are cut to parts by a hash of `by`, and a row goes to the
+    lot of its own part with each other one.
+    """
+    large = stored(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most), "large")
+    if not large.take(1):
+        return rows.withColumn("lot", F.lit(0).cast("long"))
+    parts = F.ceil(F.col("n") / most)
+    mine = F.pmod(F.xxhash64(by), parts)
+    many = hot_join(rows, large, [key]).withColumns({"__parts": parts, "__mine": mine}).withColumn("__other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)))
+    many = many.withColumn("lot", F.least("__mine", "__other") * F.col("__parts") + F.greatest("__mine", "__other"))
+    return hot_join(rows, large, [key], how="left_anti").withColumn("lot", F.lit(0).cast("long")).unionByName(many.select(*rows.columns, "lot"))
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
