@@ -8,9 +8,11 @@ Manhattan distance of two vectors is at most the Hamming distance of the fingerp
 segments form r // 3 + 1 bands; in one of them at least two linked fingerprints differ by two bits at most, so
 there a range join of radius two suffices.  That join is done by meeting half-way: each distinct fingerprint
 goes to its own grid cell and to the cells at distance one, 1 + 2 x segments rows a band, and two vectors
-within distance two share a cell.  Inside a cell all pairs are tested for the exact Hamming distance, in numpy
-blocks; a cell returns a spanning forest of its links, never all pairs, so no link between components is lost
-and large groups stay linear.  Components come from contracting the links round by round.
+within distance two share a cell.  Segments are as short as two bits, so that a cell takes about one pair of
+fingerprints in 100,000.  Inside a cell all pairs are tested for the exact Hamming distance, in numpy blocks; a cell of
+more than `BLOCK` fingerprints is cut to parts, and each two parts are compared in a task of their own.  A cell returns
+a spanning forest of its links, never all pairs, so no link between components is lost and large groups stay linear.
+Components come from contracting the links round by round.
 
 Exact copies meet before that: only distinct fingerprints are joined.
 """
@@ -25,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table, utf8
+from .common import hot_join, lots, small_batches, stored, table, utf8
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Cells up to this many fingerprints are compared as one matrix, larger ones by search from one to the next.
 MATRIX = 512
-#: Fingerprints that a worker holds of one cell; a larger cell is compared in blocks of this many.
-BLOCK = 1 << 20
+#: Fingerprints of a cell that are compared in one task; a larger cell is cut to parts of this many.
+BLOCK = 1 << 16
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -80,7 +82,7 @@ def bands(radius: int) -> list[list[tuple[int, int]]]:
     """(first bit, width) of the segments of each band: as many bands as let two bits in one of them suffice."""
     n = radius // 3 + 1
     edges = [64 * i // n for i in range(n + 1)]
-    width = 4 if n <= 2 else 3
+    width = 2 if n <= 2 else 3
     return [[(b, min(width, hi - b)) for b in range(lo, hi, width)] for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
@@ -141,8 +143,6 @@ def cell_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) rows that join all fingerprints within `radius` bits; `distinct` has one column `fp` without repeats."""
-    spark = distinct.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,21 +166,21 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             return batch
 
         for batch in batches:
-            cell, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "fp"))
-            cuts = np.flatnonzero(np.diff(cell)) + 1
+            cell, lot, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "lot", "fp"))
+            cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(lot) != 0)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(cell)], strict=True):
                 if hi > lo:
-                    if cell[lo] != current:
+                    if (cell[lo], lot[lo]) != current:
                         flush()
-                        current = cell[lo]
+                        current = (cell[lo], lot[lo])
                     held.append(fp[lo:hi].copy())
             if len(out) > 50_000:
                 yield pop()
         flush()
         yield pop()
 
-    rows = distinct.mapInArrow(spread, "cell long, fp long")
-    cells = rows.repartition("cell").sortWithinPartitions("cell", "fp")
+    rows = stored(distinct.mapInArrow(spread, "cell long, fp long"), "cells")
+    cells = lots(rows, "cell", "fp", BLOCK).repartition("cell", "lot").sortWithinPartitions("cell", "lot", "fp")
     return cells.mapInArrow(search, "a long, b long").distinct()
 
 
@@ -188,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the (a, b) links; root is the least node of the component.
 
     Each round merges every node into its least neighbour and follows those pointers once more, then rewrites
-    the links; at least half of the nodes that still have links go each round.
+    the links.  A round ends at least the node that is the largest of its component; in practice few rounds do.
     """
     live = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     roots = None
@@ -215,18 +215,20 @@ def near_copies(documents: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
     component_id is the least doc_id that links reach, through equal fingerprints or those within `radius` bits.
     Null and empty texts have fingerprint zero and are linked like any other.  Repeated rows come out repeated;
-    rows with a null doc_id take part in links and get the least known id of their component, or null.
+    rows with a null doc_id take part in links and get the least known id of their component, or null.  An empty
+    table gives no rows; columns other than doc_id and text are not read.
     """
     rows = stored(fingerprints(documents, size), "fingerprints")
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tree = components(links(rows.select("fp").distinct(), radius))
-    rooted = least.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(lowest, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp")
+    least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    tree = components(links(least.select("fp"), radius))
+    rooted = least.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m")), "lowest")
+    by_print = stored(hot_join(rooted, lowest, ["root"], n="m").select("fp", "component_id", "n"), "by-print")
+    return hot_join(rows, by_print, ["fp"]).drop("n")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, by `near_copies`; see there for nulls, repeats and empty tables."""
     found = near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -280,8 +282,12 @@ def alike_links(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]
     return found
 
 
-def verified_links(members: DataFrame) -> DataFrame:
-    """(a, b) rows that join all keys of a bucket whose shingles are alike; `members` has bucket, key and set (binary)."""
+#: Sets of a bucket that are compared in one task; a larger bucket is cut to parts of this many.
+SETS = 2000
+
+
+def verified_links(members: DataFrame, shingles_: DataFrame) -> DataFrame:
+    """(a, b) rows that join all keys of a bucket whose shingles are alike; `members`: bucket, key; `shingles_`: key, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, keys, sets = None, [], []
@@ -291,16 +297,17 @@ def verified_links(members: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for bucket, key, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "set")), strict=True):
-                if bucket != current:
+            for bucket, lot, key, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lot", "key", "set")), strict=True):
+                if (bucket, lot) != current:
                     if len(keys) > 1:
                         yield flush()
-                    current, keys, sets = bucket, [], []
+                    current, keys, sets = (bucket, lot), [], []
                 keys.append(key)
                 sets.append(np.frombuffer(raw, "<u8"))
         yield flush()
 
-    return members.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+    dealt = lots(members, "bucket", "key", SETS).join(shingles_, "key").repartition("bucket", "lot").sortWithinPartitions("bucket", "lot")
+    return dealt.select("bucket", "lot", "key", "set").mapInArrow(run, "a long, b long").distinct()
 
 
 def alike_rows(rows: DataFrame) -> DataFrame:
@@ -309,7 +316,8 @@ def alike_rows(rows: DataFrame) -> DataFrame:
     Rows of one group are joined by links of shingle similarity `ALIKE` at least.  Rows of equal shingle sets
     meet first, by digest.  Candidates are the components of fingerprints within `STAGE_RADIUS` bits, and the sets
     that share a min-hash band: fingerprints of similar texts can differ by more bits than a search can cover.
-    All pairs of a bucket are candidates, and each link is verified on the shingles themselves.
+    All pairs of a bucket are candidates, and each link is verified on the shingles themselves, at most twice
+    `SETS` of a bucket in one task.
     """
     spark = rows.sparkSession
     small_batches(spark)
@@ -334,7 +342,7 @@ def alike_rows(rows: DataFrame) -> DataFrame:
 
     read = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
     marks = stored(read.mapInArrow(mark, "key long, doc_id long, body long, fp long, digest binary, bands array<long>"), "marks")
-    first = stored(marks.groupBy("digest").agg(F.min(F.struct("key", "fp", "bands")).alias("r")).select("digest", "r.*"), "sets")
+    first = stored(marks.groupBy("digest").agg(F.min(F.struct("key", "fp", "bands")).alias("r"), F.count("*").alias("n")).select("digest", "r.*", "n"), "sets")
     some = first.where(F.size("bands") > 0)
     tree = components(links(some.select("fp").distinct(), STAGE_RADIUS)).withColumnRenamed("node", "fp")
     by_bits = some.join(tree, "fp", "left").select(F.xxhash64(F.lit("bits"), F.coalesce("root", "fp")).alias("bucket"), "key")
@@ -343,21 +351,22 @@ def alike_rows(rows: DataFrame) -> DataFrame:
     mixed = F.xxhash64("key")
     # buckets of the same members are verified once
     shared = held.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(mixed).alias("x"), F.sum(F.pmod(mixed, F.lit(1 << 31))).alias("y")).where("n > 1")
-    members = stored(held.join(shared.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")), "bucket").select("bucket", "key"), "members")
-    small_batches(spark)
+    once = stored(shared.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "once")
+    members = stored(hot_join(held, once, ["bucket"]).select("bucket", "key"), "members")
     of_members = stored(rows.select("key", "text").join(members.select("key").distinct(), "key", "left_semi").mapInArrow(sets, "key long, set binary"), "shingles")
-    found = components(stored(verified_links(members.join(of_members, "key")), "alike"))
-    grouped = first.select("digest", "key").join(found.withColumnRenamed("node", "key"), "key", "left").select("digest", F.coalesce("root", "key").alias("group"))
-    return marks.join(grouped, "digest").select("key", "doc_id", "body", "group")
+    found = components(stored(verified_links(members, of_members), "alike"))
+    grouped = first.select("digest", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").select("digest", F.coalesce("root", "key").alias("group"), "n")
+    return hot_join(marks, stored(grouped, "grouped"), ["digest"]).select("key", "doc_id", "body", "group")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the least id, rows without one last, then by hash of the text.
 
-    Rows are told apart by a key of their own, so null and repeated ids are rows like any other.
+    Rows are told apart by a key of their own, so null and repeated ids are rows like any other.  Texts without
+    words are alike; an empty table gives no rows; columns `key`, `bands` or `group` of the table are kept.
     """
-    rows = stored(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
-    found = stored(alike_rows(rows), "groups")
+    rows = stored(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
+    found = stored(alike_rows(rows.select(F.col("__key").alias("key"), "doc_id", "text")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "body", "key")
-    keep = found.groupBy("group").agg(F.min(order).alias("best")).select("best.key")
-    return rows.join(keep, "key", "left_semi").select(*docs.columns)
+    keep = found.groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.key").alias("__key"))
+    return rows.join(keep, "__key", "left_semi").select(*docs.columns)
