@@ -1,12 +1,13 @@
 """Document fingerprints: threshold-scaled sketches, with DataFrame functions only.
 
 A text's sketch is the sorted set of its word-shingle hashes that lie below 1/`FRACTION` of the hash
-range.  Membership depends on the hash alone, so sketches of parts merge by union, and the shared part of two
-sketches estimates resemblance and containment of texts of very unequal length without bias.
+range.  Membership depends on the hash alone, so the shared part of two sketches estimates resemblance and
+containment of texts of very unequal length without bias.  A text of at most `SMALL` distinct shingles keeps all of
+them, so that short texts are compared exactly; `whole` says so, and a comparison with a scaled sketch, or a union that
+grows beyond `SMALL`, drops to the hashes below the threshold.  So the union of two sketches is the sketch of the union.
 
-A text whose hashes all lie above the bound keeps its least hash, so that only texts without words have an
-empty sketch.  Words are lower-cased (A-Z) runs of characters other than the six ASCII spaces; fewer words than
-`SHINGLE` make one shingle.
+Words are lower-cased (A-Z) runs of characters other than the six ASCII spaces; fewer words than `SHINGLE` make one
+shingle; only texts without words have an empty whole sketch.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, stored, table
 
-SHINGLE, FRACTION = 5, 8
+SHINGLE, FRACTION, SMALL = 5, 4, 64
 #: Hashes are signed 64-bit; those below this are retained.
 BOUND = -(1 << 63) + (1 << 64) // FRACTION
 #: Rows with a null id come last in descending order, under this id.
@@ -24,7 +25,7 @@ NULL_ID = -(1 << 63)
 
 
 def sketch(text: Column, size: int = SHINGLE) -> Column:
-    """array<long>: the retained shingle hashes, sorted.  Null and wordless texts give an empty array."""
+    """struct<whole, hashes>: the retained shingle hashes, sorted.  Null and wordless texts give an empty array."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     words = F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
@@ -41,36 +42,62 @@ def bound(value: Column, make) -> Column:
     return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
+def _made(whole: bool, hashes: Column) -> Column:
+    return F.struct(F.lit(whole).alias("whole"), hashes.alias("hashes"))
+
+
+def below(hashes: Column) -> Column:
+    return F.filter(hashes, lambda h: h < F.lit(BOUND))
+
+
 def retained(hashes: Column) -> Column:
     """The sketch of a text's hashes."""
 
     def some(all_: Column) -> Column:
-        low = F.filter(all_, lambda h: h < F.lit(BOUND))
-        least = F.when(F.size(all_) > 0, F.array(F.array_min(all_))).otherwise(all_)
-        return bound(low, lambda x: F.when(F.size(x) > 0, F.array_sort(F.array_distinct(x))).otherwise(least))
+        return bound(F.array_distinct(below(all_)), lambda low: F.when(F.size(low) > SMALL, _made(False, F.array_sort(low))).otherwise(bound(F.array_distinct(all_), lambda d: few(d, low))))
+
+    def few(distinct: Column, low: Column) -> Column:
+        return F.when(F.size(distinct) <= SMALL, _made(True, F.array_sort(distinct))).otherwise(_made(False, F.array_sort(low)))
 
     return bound(hashes, some)
 
 
 def merged(a: Column, b: Column) -> Column:
-    """The sketch of both texts together."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of both texts' shingles together."""
+
+    def kept(union: Column) -> Column:
+        return F.when(a["whole"] & b["whole"] & (F.size(union) <= SMALL), _made(True, union)).otherwise(_made(False, below(union)))
+
+    return bound(F.array_sort(F.array_union(a["hashes"], b["hashes"])), kept)
+
+
+def scaled(a: Column, b: Column) -> Column:
+    """a's hashes as far as b's sketch can have them too."""
+    return F.when(b["whole"], a["hashes"]).otherwise(below(a["hashes"]))
 
 
 def resemblance(a: Column, b: Column) -> Column:
-    """Shared hashes over all hashes; 1 for two empty sketches."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
+    """Shared hashes over all hashes.  Where neither sketch has one: 1 for two equal sketches, else 0."""
+
+    def ratio(x: Column, y: Column) -> Column:
+        shared = F.size(F.array_intersect(x, y))
+        union = F.size(x) + F.size(y) - shared
+        return F.when(union == 0, F.when(a == b, 1.0).otherwise(0.0)).otherwise(shared / union)
+
+    return bound(scaled(a, b), lambda x: bound(scaled(b, a), lambda y: ratio(x, y)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The share of a's hashes that b has too; 1 for an empty a."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """The share of a's hashes that b has too; where a has none to compare, 1 if it is an empty text's, else 0."""
+
+    def ratio(x: Column) -> Column:
+        return F.when(F.size(x) == 0, F.when(F.size(a["hashes"]) == 0, 1.0).otherwise(0.0)).otherwise(F.size(F.array_intersect(x, b["hashes"])) / F.size(x))
+
+    return bound(scaled(a, b), ratio)
 
 
 def as_text(s: Column) -> Column:
-    return F.array_join(F.transform(s, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+    return F.array_join(F.transform(s["hashes"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -94,7 +121,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     The next document is that with the next smaller doc_id, after the last the first; a null id is the
     smallest.  Rows that share an id share their next document; of several rows with the next id that with
-    the least text counts.  A single document is its own next one.
+    the least text counts.  A single document is its own next one.  Null texts are empty; repeated rows come out
+    repeated, an empty table gives no rows; columns other than doc_id and text are not read.
     """
     rows = documents.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     order = next_ids(rows.select("id"))
@@ -113,6 +141,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`fingerprints` of the whole table of documents, sketches as hexadecimal text; see there for nulls, ties and repeats."""
     made = fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
         "doc_id", "n_chars", "edited_sha256",
