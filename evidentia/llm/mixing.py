@@ -129,8 +129,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, columns as given.  Rows repeating an id are taken together."""
     rows = stored(tree_rows(docs), "tree")
     quota = stored(budgets(leaf_weights(rows), F.expr(STAGE_BUDGET), STAGE_EPOCHS), "quota")
-    taken = prefix(rows, quota, STAGE_EPOCHS).select(F.col("doc_id").alias("taken")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken")), "left_semi").select(*docs.columns)
+    taken = prefix(rows, quota, STAGE_EPOCHS).select("doc_id").distinct()
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]), "left_semi").select(*docs.columns)
 
 
 SQL = """

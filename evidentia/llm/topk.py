@@ -6,10 +6,13 @@ vector is keyed by its nearest pivot and its distance to it, and the vectors of
 `RING` rows by distance.  For a query at distance d from pivot p, no vector of the annulus [lo, hi] is nearer
 than max(d - hi, lo - d), by the triangle inequality.
 
+Pivots grow with the square root of the rows and annuli with the rows, so that an annulus stays at about `RING` rows.
+
 Search: each query first reads the annulus that holds it, then those around it pivot by pivot in order of that
 bound, `FIRST` of them; the k-th best score found bounds the distance that still matters.  It then goes to just the
 annuli whose bound lies within that, which hold all that is left.  Queries and annuli meet by a join on the annulus, in
-blocks of matrix products; each block returns k rows a query at most.
+blocks of matrix products; each block returns k rows a query at most.  A block that more than `ASKED` queries visit is
+copied for each so many of them, so that no task holds more than `ASKED` queries and `BLOCK` rows, about.
 
 Equal vectors: only the k with the least ids other than the query's can be among the k best.  So k rows of an id and
 of these 2 k rows with the least ids are kept, and others set aside before; that keeps one very common vector from
@@ -18,20 +21,24 @@ filling an annulus.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import hot_join, stored, table
 
 K, SCALE, EVERY = 5, 256, 50
-#: Pivots are chosen from a bounded sample; the index holds every row.
-PIVOTS, SAMPLE = 32, 4096
+#: Pivots, from the least number to the most, are chosen from a bounded sample; the index holds every row.
+PIVOTS, MOST_PIVOTS, SAMPLE = 32, 1024, 4096
+#: Quantiles of the distances of a pivot, at least and at most, of which those are kept that make annuli of RING rows.
+CUTS, MOST_CUTS = 64, 1024
 #: Rows of an annulus, about; annuli that a query reads at first.
 RING, FIRST = 2048, 3
-#: Rows multiplied at once.
-BLOCK = 4096
+#: Rows and queries multiplied at once.
+BLOCK, ASKED = 4096, 4096
 #: Relative slack of distances computed in floating point, so that rounding never hides a vector.
 SLACK = 1e-9
 
@@ -87,22 +94,26 @@ def _best(found: DataFrame, k: int, of: str = "query_id") -> DataFrame:
 def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k other rows of the largest inner product.
 
-    `rows` has vec_id and v, arrays of one length.  Ties go to the smaller vec_id; a query with fewer than k
+    `rows` has vec_id and v, arrays of one length: rows of another length than most take no part (of lengths that are equally
+    frequent the greater counts).  Null vectors take no part either; an empty table gives no rows; other columns are not read.  Ties go to the smaller vec_id; a query with fewer than k
     other rows gets them all.  Rows that repeat an id are rows of their own, but never partners of their own id; query
     rows of one id are ranked together.
     """
     spark = rows.sparkSession
     schema = "asker long, query_id long, vec_id long, score long"
-    rows = stored(rows, "vectors")
+    rows = stored(rows.where("vec_id IS NOT NULL AND v IS NOT NULL").select("vec_id", "v"), "vectors")
+    lengths = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.col("count").desc(), F.col("dims").desc()).first()
+    if lengths is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows, total = rows.where(F.size("v") == lengths["dims"]), lengths["count"]
+    pivots_wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(total) // 8))
+    quantiles = min(MOST_CUTS, max(CUTS, 2 * total // (pivots_wanted * RING)))
     same, own = Window.partitionBy("v").orderBy("vec_id"), Window.partitionBy("v", "vec_id").orderBy("vec_id")
     few = rows.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= k)
     few = few.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= 2 * k).drop("nth")
-    shape = rows.agg(F.max(_norm2(F.col("v"))).alias("most"), F.max(F.size("v")).alias("dims")).first()
-    if shape.most is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    most = shape.most
+    most = rows.agg(F.max(_norm2(F.col("v")))).first()[0]
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], dtype=np.int64)
-    model = spark.sparkContext.broadcast((choose_pivots(sample, most), most))
+    model = spark.sparkContext.broadcast((choose_pivots(sample, most, pivots_wanted), most))
 
     @F.pandas_udf("pivot int, distance double")
     def key(vs: pd.Series) -> pd.DataFrame:
@@ -112,15 +123,15 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         return pd.DataFrame({"pivot": at.astype(np.int32), "distance": d[np.arange(len(at)), at]})
 
     keyed = stored(few.withColumn("key", key("v")).select("vec_id", "v", "key.pivot", "key.distance"), "index")
-    counts = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("distance", [i / 64 for i in range(1, 64)], 2000).alias("cuts"))
-    # of 64 quantiles as many are kept as make annuli of RING rows; beyond 64 annuli hold more rows, read in blocks
-    step = F.greatest(F.lit(1), F.floor(F.lit(64.0) * RING / F.col("n"))).cast("int")
+    counts = keyed.groupBy("pivot").agg(F.count("*").alias("n"), F.percentile_approx("distance", [i / quantiles for i in range(1, quantiles)], 10_000).alias("cuts"))
+    # as many quantiles are kept as make annuli of RING rows; where there are too few, annuli are read in blocks
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(quantiles)) * RING / F.col("n"))).cast("int")
     cuts = counts.select("pivot", F.array_distinct(F.filter("cuts", lambda c, i: (i + 1) % step == 0)).alias("cuts"))
     ringed = keyed.join(F.broadcast(cuts), "pivot").withColumn("ring", F.size(F.filter("cuts", lambda c: c < F.col("distance")))).drop("cuts")
     ringed = stored(ringed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)).cast("int")), "rings")
     rings = ringed.groupBy("pivot", "ring").agg(F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.count("*").alias("n"))
     rings = rings.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
-    # at most PIVOTS x 64 annuli, whatever the number of rows
+    # at most MOST_PIVOTS x MOST_CUTS annuli, whatever the number of rows
     known = rings.toPandas().sort_values(["pivot", "ring"]).reset_index(drop=True)
     ring_table = spark.sparkContext.broadcast(known)
     blocks = ringed.join(F.broadcast(rings.select("pivot", "ring", "parts")), ["pivot", "ring"]).select("pivot", "ring", (F.col("salt") % F.col("parts")).alias("part"), "vec_id", "v")
@@ -170,8 +181,18 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("asker", "query_id", "vec_id", "score")})
 
     def visit(queries: DataFrame, first: bool) -> DataFrame:
-        sent = queries.withColumn("to", F.explode(annuli(first)("q", "worst"))).select("asker", "query_id", "q", F.xxhash64("to.pivot", "to.ring", "to.part").alias("block"))
-        return sent.groupBy("block").cogroup(blocks.select("block", "vec_id", "v").groupBy("block")).applyInPandas(multiply, schema)
+        # the asker goes into the exploded structs: beside the explode of a UDF's result, 4.1.2 loses columns
+        to = F.transform(annuli(first)("q", "worst"), lambda t: F.struct(F.col("asker").alias("asker"), F.xxhash64(t["pivot"], t["ring"], t["part"]).alias("block")))
+        visits = stored(queries.select(F.explode(to).alias("to")).select("to.asker", "to.block"), "visits")
+        busy = visits.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > ASKED).withColumn("copies", F.ceil(F.col("n") / ASKED).cast("int"))
+        busy = stored(busy, "busy")
+        calm, split = hot_join(visits, busy, ["block"], how="left_anti"), hot_join(visits, busy, ["block"])
+        lot = F.pmod(F.xxhash64("asker"), F.col("copies")).cast("int")
+        dealt = calm.withColumn("lot", F.lit(0)).unionByName(split.select("asker", "block", lot.alias("lot")))
+        sent = dealt.join(queries.select("asker", "query_id", "q"), "asker").select("asker", "query_id", "q", "block", "lot")
+        copied = blocks.select("block", "vec_id", "v").join(busy.select("block", "copies"), "block", "left")
+        copied = copied.withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+        return sent.groupBy("block", "lot").cogroup(copied.groupBy("block", "lot")).applyInPandas(multiply, schema)
 
     started = stored(_best(visit(asked.withColumn("worst", F.lit(None).cast("double")), True), k, "asker").drop("rank"), "first")
     reached = started.groupBy("asker").agg(F.min("score").alias("least"), F.count("*").alias("n"))
@@ -189,6 +210,7 @@ def _top(row: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`search` of the whole table of embeddings; see there for nulls, ties, repeats and empty tables."""
     rows = integer_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return search(rows, F.col("vec_id") % EVERY == 0)
 
