@@ -33,7 +33,7 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Cells up to this many fingerprints are compared as one matrix, larger ones by search from one to the next.
 MATRIX = 512
 #: Fingerprints of a cell that are compared in one task; a larger cell is cut to parts of this many.
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -179,8 +179,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         flush()
         yield pop()
 
-    rows = stored(distinct.mapInArrow(spread, "cell long, fp long"), "cells")
-    cells = lots(rows, "cell", "fp", BLOCK).repartition("cell", "lot").sortWithinPartitions("cell", "lot", "fp")
+    rows = distinct.mapInArrow(spread, "cell long, fp long")
+    # no cell has more fingerprints than there are; only beyond that are cells counted
+    dealt = rows.withColumn("lot", F.lit(0).cast("long")) if distinct.count() <= BLOCK else lots(rows, "cell", "fp", BLOCK)
+    cells = dealt.repartition("cell", "lot").sortWithinPartitions("cell", "lot", "fp")
     return cells.mapInArrow(search, "a long, b long").distinct()
 
 

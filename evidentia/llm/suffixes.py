@@ -247,10 +247,14 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, keep_first: bool
     ids = F.coalesce("doc_id", F.xxhash64("k1", "k2"))
     profile = _profile(documents, length, keep_first).withColumns({"pid": F.monotonically_increasing_id(), "row_id": ids})
     profile = stored(profile, "profile")
-    by_text = stored(profile.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("row_id").alias("least")), "texts")
-
-    # one row of each text takes part; rows that repeat both id and text all do, unless `keep_first`
-    one = profile.join(by_text.select("k1", "k2", F.col("least").alias("row_id")), ["k1", "k2", "row_id"], "left_semi")
+    first = F.min(F.struct("row_id", "pid"))
+    by_text = profile.groupBy("k1", "k2").agg(F.count("*").alias("copies"), first["row_id"].alias("least"), first["pid"].alias("one"))
+    by_text = stored(by_text, "texts")
+
+    # one row of each text takes part: only the others' numbers are joined, not what the texts were cut to
+    copied = stored(by_text.where("copies > 1"), "copied")
+    others = hot_join(profile.select("pid", "k1", "k2"), copied, ["k1", "k2"], n="copies").where("pid <> one").select("pid")
+    one = profile.join(stored(others, "others"), "pid", "left_anti")
     one_runs = one.select("pid", F.explode(F.arrays_zip("buckets", "places", "firsts", "lasts")).alias("r"))
     one_runs = one_runs.select("pid", F.col("r.buckets").alias("bucket"), F.col("r.places").alias("place"), F.col("r.firsts").alias("first"), F.col("r.lasts").alias("last"))
     one_runs = stored(one_runs, "runs")
@@ -324,7 +328,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, keep_first: bool
     refined = exact.unionByName(wide_spans).select("did", F.struct("a", "b").alias("span"))
     here = texts.where("own IS NOT NULL").select("did", F.explode("own").alias("span"))
     spans = settled.unionByName(refined).unionByName(here).groupBy("did").agg(F.collect_list("span").alias("spans"))
-    rows_out = hot_join(profile.select("doc_id", "row_id", "k1", "k2", "n_bytes", "sha256"), by_text, ["k1", "k2"], n="copies")
+    rows_out = hot_join(profile.select("doc_id", "row_id", "k1", "k2", "n_bytes", "sha256"), by_text, ["k1", "k2"], n="copies").drop("one")
     return rows_out, texts.select("did", "k1", "k2", "text"), spans
 
 
