@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
@@ -72,9 +73,15 @@ def fold_key(value: Column, unicode: bool = False) -> Column:
 FOLDS = {"title": fold_title, "work_title": fold_title, "key": fold_key}
 
 
+#: The same for values of every script, through an Arrow UDF; '*' stands for the fields not named.
+UNICODE_FOLDS = {"*": partial(fold, unicode=True), "title": partial(fold_title, unicode=True), "work_title": partial(fold_title, unicode=True), "key": partial(fold_key, unicode=True)}
+
+
 def fold_by_field(field: Column, value: Column, folds: dict = FOLDS) -> Column:
-    out = fold(value)
+    out = folds.get("*", fold)(value)
     for name, how in folds.items():
+        if name == "*":
+            continue
         out = F.when(field == name, how(value)).otherwise(out)
     return out
 

@@ -51,15 +51,15 @@ def cited(works: DataFrame, external: DataFrame) -> DataFrame:
     """work_id, entry_id of the external title that cites a work's exact number and names its composer.
 
     works: work_id, composer_name, system, number, suffix.  external: entry_id, title, credits, place.  Citations
-    are taken out of the titles first, so the match is an equi join on (system, number, suffix), never a scan of
-    titles for each work.  Entries that aren't movements come first, then those of a better place.
+    are taken out of the titles first and the words of title and credits beside them, so the match is an equi join on
+    (system, number, suffix, last word of the composer's name), never a scan of titles for each work, nor of all works
+    that share a number.  A work without a composer is met by every entry of its number.  Entries that aren't movements come first, then those of a better place.
     """
-    found = external.select("entry_id", "title", F.coalesce("credits", F.lit("")).alias("credits"), "place", F.explode(citations(F.col("title"))).alias("c"))
-    found = found.select("entry_id", "title", "credits", "place", F.col("c.system").alias("system"), F.col("c.number").alias("number"), F.col("c.suffix").alias("suffix"))
-    wanted = works.select("work_id", "composer_name", F.lower("system").alias("system"), "number", F.lower(F.coalesce("suffix", F.lit(""))).alias("suffix"))
-    hits = wanted.join(found, ["system", "number", "suffix"])
-    last = F.lower(surname(F.col("composer_name")))
-    named = hits.where((last == "") | F.contains(F.lower("title"), last) | F.contains(F.lower("credits"), last))
+    named = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "credits")), r"[\s(),;:/\[\]]+"))
+    found = external.select("entry_id", "title", "place", F.explode(citations(F.col("title"))).alias("c"), named.alias("named"))
+    found = found.select("entry_id", "title", "place", F.col("c.system").alias("system"), F.col("c.number").alias("number"), F.col("c.suffix").alias("suffix"), F.explode(F.array_append("named", F.lit(""))).alias("last"))
+    wanted = works.select("work_id", F.lower(surname(F.col("composer_name"))).alias("last"), F.lower("system").alias("system"), "number", F.lower(F.coalesce("suffix", F.lit(""))).alias("suffix"))
+    named = wanted.join(found.distinct(), ["system", "number", "suffix", "last"])
     best = Window.partitionBy("work_id").orderBy(is_movement(F.col("title")).cast("int"), F.col("place").asc_nulls_last(), "entry_id")
     return named.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("work_id", "entry_id", "title")
 

@@ -315,14 +315,14 @@ def heading_carry_down(spark, d):
     return lines.select("doc_id", (F.col("at") + 1).cast("long").alias("nr"), F.md5(heading).alias("heading"))
 
 
-@registered("h1_fold", r"SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^\pL\pN_\s]+', ' ', 'g'), '\s+', ' ', 'g')))) AS folded FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+@registered("h1_fold", r"SELECT doc_id, md5(lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^\pL\pN_\s]+', ' ', 'g'), '\s+', ' ', 'g')))) AS folded FROM documents")
 def fold(spark, d):
-    return read(spark, d, "documents").where(F.rlike("text", F.lit(r"^[\x00-\x7F]*$"))).select("doc_id", F.md5(folding.fold(F.col("text"))).alias("folded"))
+    return read(spark, d, "documents").select("doc_id", F.md5(folding.fold(F.col("text"))).alias("folded"))
 
 
 @registered("h1_fold_all", None)
 def fold_all(spark, d):
-    """Every document, in every script; `h1_fold` compares the ASCII ones with its SQL."""
+    """The full form, for every script."""
     return read(spark, d, "documents").select("doc_id", F.md5(folding.fold(F.col("text"), unicode=True)).alias("folded"))
 
 
@@ -415,7 +415,7 @@ def work_linking(spark, d):
 
 @registered(
     "l4_citation_match",
-    "SELECT p_partkey AS work_id, arg_min(q, q) AS entry_id FROM (SELECT a.p_partkey, b.p_partkey AS q FROM part a JOIN part b ON a.p_size = b.p_size AND contains(b.p_brand, a.p_brand)) GROUP BY 1",
+    "SELECT p_partkey AS work_id, arg_min(q, q) AS entry_id FROM (SELECT a.p_partkey, b.p_partkey AS q FROM part a JOIN part b ON a.p_size = b.p_size AND b.p_brand = a.p_brand) GROUP BY 1",
 )
 def citation_match(spark, d):
     p = read(spark, d, "part")
