@@ -126,13 +126,16 @@ def _small(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def collection_stats(pieces: DataFrame) -> DataFrame:
-    """Counts by collection, by route and by review state in one scan; kind tells which."""
-    pieces.createOrReplaceTempView("__pieces")
-    return pieces.sparkSession.sql(
-        "SELECT collection_id, CASE WHEN grouping(route) = 0 THEN 'route' WHEN grouping(review_state) = 0 THEN 'state' ELSE 'all' END AS kind, coalesce(route, review_state) AS value, count(*) AS n "
-        "FROM __pieces GROUP BY collection_id, route, review_state GROUPING SETS ((collection_id, route), (collection_id, review_state), (collection_id))"
-    )
+def collection_stats(pieces: DataFrame, with_files: bool = False) -> DataFrame:
+    """Counts by collection, by route and by review state in one scan; kind tells which.  `with_files` adds distinct files."""
+    sets = [["collection_id", "route"], ["collection_id", "review_state"], ["collection_id"]]
+    kind = F.when(F.grouping("route") == 0, "route").when(F.grouping("review_state") == 0, "state").otherwise("all")
+    counted = pieces.groupingSets(sets, "collection_id", "route", "review_state").agg(kind.alias("kind"), F.count("*").alias("n"))
+    out = counted.select("collection_id", "kind", F.coalesce("route", "review_state").alias("value"), "n")
+    if not with_files:
+        return out
+    distinct = pieces.select("collection_id", "file_id").distinct().groupBy("collection_id").agg(F.count("*").alias("n"))
+    return out.unionByName(distinct.select("collection_id", F.lit("files").alias("kind"), F.lit(None).cast("string").alias("value"), "n"))
 
 
 def curation_summary(pieces: DataFrame) -> DataFrame:

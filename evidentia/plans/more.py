@@ -489,3 +489,22 @@ def candidate_union(spark, d):
 def missing_fields(spark, d):
     rows = catalogue(spark, d).select("piece_id", F.expr("CASE WHEN piece_id % 2 = 0 THEN 'composer' ELSE 'title' END").alias("field"), F.col("title").alias("value"), F.lit("a").alias("source"), F.lit(0.5).alias("weight"), F.lit(0).cast("long").alias("seq"))
     return resolve.resolve_pieces(rows, merge=False).select("piece_id", F.array_join("missing", ",").alias("missing"))
+
+
+@registered("d4_collection_files", CAT + "SELECT collection_id, count(DISTINCT file_id) AS n FROM cat GROUP BY 1")
+def collection_files(spark, d):
+    return catalog.collection_stats(catalogue(spark, d), with_files=True).where("kind = 'files'").select("collection_id", "n")
+
+
+@registered("h15_built_titles", "SELECT p_partkey, p_type || CASE WHEN p_partkey % 3 = 0 THEN ', Op. ' || p_size WHEN p_partkey % 3 = 1 THEN ', Op. ' || (p_partkey % 7) || ' no. ' || p_size ELSE '' END AS title FROM part")
+def built_titles(spark, d):
+    number, group = F.when(F.col("p_partkey") % 3 != 2, F.col("p_size")), F.when(F.col("p_partkey") % 3 == 1, F.col("p_partkey") % 7)
+    return read(spark, d, "part").select("p_partkey", adapters.built_title(F.col("p_type"), group, number, F.col("p_brand")).alias("title"))
+
+
+@registered("i6_collection_defaults", "SELECT c_custkey AS collection_id, n_name AS default_composer, CASE WHEN c_custkey % 3 = 0 THEN 'piano four hands' WHEN c_custkey % 3 = 1 THEN 'solo piano' ELSE 'organ' END AS default_instrumentation FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def collection_defaults(spark, d):
+    n = read(spark, d, "nation")
+    kind = F.expr("CASE c_custkey % 3 WHEN 0 THEN 'Piano Duets' WHEN 1 THEN 'Works for Piano' ELSE 'Organ' END")
+    c = read(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("collection_id"), F.concat("n_name", F.lit(" - "), kind).alias("name"))
+    return adapters.collection_defaults(c, n.select(folding.fold_name(F.col("n_name")).alias("alias"), F.col("n_name").alias("canonical"))).select("collection_id", "default_composer", "default_instrumentation")
