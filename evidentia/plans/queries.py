@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import folding, music
-from evidentia.operators import catalog, corrections, integrity, linking, resolve
+from evidentia.operators import catalog, corrections, curation, integrity, linking, resolve
 from evidentia.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -272,8 +272,9 @@ def siblings(spark, d):
 def range_join(spark, d):
     c = read(spark, d, "conversations").select("conv_id", "turn", "role")
     end = F.coalesce(F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")) - 1, F.lit(1000000))
-    b = c.where("role = 'user'").select(F.col("conv_id").alias("b_conv"), F.col("turn").alias("page_start"), end.alias("page_end"))
-    return c.join(b, (F.col("conv_id") == F.col("b_conv")) & F.col("turn").between(F.col("page_start"), F.col("page_end"))).select("conv_id", "turn", "page_start", (F.col("turn") - F.col("page_start") + 1).alias("own_page"))
+    pieces = c.where("role = 'user'").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("piece_id"), F.col("turn").alias("page_start"), end.alias("page_end"))
+    layers = c.select(F.col("conv_id").alias("file_id"), F.col("turn").alias("page"))
+    return curation.layers_of_pieces(layers, pieces).select(F.col("file_id").alias("conv_id"), F.col("page").alias("turn"), "page_start", "own_page")
 
 
 @registered(
@@ -447,9 +448,8 @@ def integrity_report(spark, d):
 
 @registered("c3_shelves_with_counts", "SELECT c_custkey AS shelf_id, count(o_orderkey) AS items FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def shelves_with_counts(spark, d):
-    """Shelves with the number of their items, empty ones too; items are counted before they meet the shelves."""
-    items = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("items"))
-    return read(spark, d, "customer").join(items, "c_custkey", "left").select(F.col("c_custkey").alias("shelf_id"), F.coalesce("items", F.lit(0)).alias("items"))
+    shelves = read(spark, d, "customer").select(F.col("c_custkey").alias("shelf_id"))
+    return curation.shelves_with_counts(shelves, read(spark, d, "orders").select(F.col("o_custkey").alias("shelf_id")))
 
 
 @registered("c4_shelf_order", "SELECT o_custkey AS shelf_id, o_orderkey AS piece_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS position FROM orders")
@@ -480,7 +480,7 @@ def scan_statistics(spark, d):
 @registered("d7_file_confidence", LINES + "SELECT piece_id // 10 AS file_id, min(m) AS confidence FROM (SELECT piece_id, round(CASE WHEN bool_or(conflict) THEN least(min(confidence), 0.45) ELSE min(confidence) END, 4) AS m FROM res GROUP BY 1) GROUP BY 1")
 def file_confidence(spark, d):
     got = resolve.resolve_pieces(line_candidates(spark, d), required=list(LINE_FIELDS.values()), merge=False)
-    return got.groupBy(F.expr("piece_id div 10").alias("file_id")).agg(F.min("confidence").alias("confidence"))
+    return curation.file_confidence(got.withColumn("file_id", F.expr("piece_id div 10")))
 
 
 @registered("d12_distinct_names", CAT + "SELECT DISTINCT trim(composer_name) AS name FROM cat WHERE trim(composer_name) <> ''")
