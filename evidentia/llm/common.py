@@ -38,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, what: str = "t") -> DataFrame:
     """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{scratch_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -309,7 +309,7 @@ def verified_links(members: DataFrame, shingles_: DataFrame) -> DataFrame:
         yield flush()
 
     dealt = lots(members, "bucket", "key", SETS).join(shingles_, "key").repartition("bucket", "lot").sortWithinPartitions("bucket", "lot")
-    return dealt.select("bucket", "lot", "key", "set").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "lot", "key", "set").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def alike_rows(rows: DataFrame) -> DataFrame:
@@ -348,8 +348,9 @@ def alike_rows(rows: DataFrame) -> DataFrame:
     some = first.where(F.size("bands") > 0)
     tree = components(links(some.select("fp").distinct(), STAGE_RADIUS)).withColumnRenamed("node", "fp")
     by_bits = some.join(tree, "fp", "left").select(F.xxhash64(F.lit("bits"), F.coalesce("root", "fp")).alias("bucket"), "key")
-    by_bands = some.select(F.explode("bands").alias("bucket"), "key")
-    held = stored(by_bits.unionByName(by_bands).distinct(), "buckets")
+    # a key is in one row of `some`, so equal bands of a row are all that could repeat
+    by_bands = some.select(F.explode(F.array_distinct("bands")).alias("bucket"), "key")
+    held = stored(by_bits.unionByName(by_bands), "buckets")
     mixed = F.xxhash64("key")
     # buckets of the same members are verified once
     shared = held.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(mixed).alias("x"), F.sum(F.pmod(mixed, F.lit(1 << 31))).alias("y")).where("n > 1")
