@@ -12,6 +12,7 @@ def inventory(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
     """rel_path, size, mtime, sha256 of the files below `root` whose suffix matches in any case.
 
     The files' contents are read by the executors; nothing is listed or hashed on the driver but names.
+    Spark's reader passes over files without any byte: they give no row.
     """
     glob = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
@@ -21,7 +22,9 @@ def inventory(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SIGNALS).json(path)
+    """The signals of files from JSON lines, in which page numbers are strings: JSON has no other keys."""
+    read = spark.read.schema(SIGNALS.replace("map<int,string>", "map<string,string>")).json(path)
+    return read.withColumn("page_text", F.transform_keys("page_text", lambda k, _: k.cast("int")))
 
 
 def has_text_layer(page_text: Column) -> Column:
