@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contexts, mixing, pieces, quotes, simhash, sketches, suffixes, topk, toxicity, urls
+from . import bytepairs, clusters, contexts, mixing, negatives, pieces, quotes, simhash, sketches, suffixes, topk, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,11 @@ def queries() -> dict[str, Query]:
         "op8_quotation_linking": quotes.op8_quotation_linking,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_mixing": mixing.op10_mixing,
+        "op11_byte_bpe": bytepairs.op11_byte_bpe,
+        "op12_centroid_clustering": clusters.op12_centroid_clustering,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op8_quotation_linking": quotes.SQL, "op10_mixing": mixing.SQL}
+    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op8_quotation_linking": quotes.SQL, "op10_mixing": mixing.SQL, "op12_centroid_clustering": clusters.SQL, "op13_hard_negatives": negatives.SQL}
