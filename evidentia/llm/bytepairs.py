@@ -239,8 +239,11 @@ def chunk_boundaries(coder: Coder, chunk: bytes, no: int, length: int, overlap:
     return start, skip, sizes, head.tolist(), sure.tolist()
 
 
-def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """row, doc_id, part, parts, ids of `documents` (doc_id, text): the ids of a text, little-endian 32-bit, in `parts` rows by `part`.
+def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[DataFrame, DataFrame]:
+    """Two tables of row, doc_id, part, parts, ids: those of short and of long texts of `documents` (doc_id, text).
+
+    The ids of a text, little-endian 32-bit, lie in `parts` rows by `part`; the short texts' are one row each.  The tables are apart because a
+    user of only one then pays for no other; their union is the whole.
 
     `row` tells rows of one doc_id apart.  A text of up to chunk + overlap bytes is one part, made where it is read.  A null text is empty; an
     empty one has one part without ids.  Bytes that are not UTF-8 count as U+FFFD.  Null and repeated doc_ids are documents of
@@ -258,13 +261,14 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK, ove
             n = len(ids)
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int32)), pa.array(ids, pa.binary())], names=["row", "doc_id", "part", "parts", "ids"])
 
-    out = rows.where(short).mapInArrow(whole, PARTS)
+    out = None
     left = stored(rows.where(~short).select("row", "doc_id", F.col("text").cast("binary").alias("bytes")), "long-texts")
     while left.take(1):
         met, left = _stitched(left, vocabulary, chunk, overlap)
-        out = out.unionByName(_encoded_pieces(met, vocabulary))
+        pieces = _encoded_pieces(met, vocabulary)
+        out = pieces if out is None else out.unionByName(pieces)
         chunk, overlap = 2 * chunk, 2 * overlap
-    return out
+    return rows.where(short).mapInArrow(whole, PARTS), documents.sparkSession.createDataFrame([], PARTS) if out is None else out
 
 
 def _stitched(texts: DataFrame, vocabulary: Vocabulary, length: int, overlap: int) -> tuple[DataFrame, DataFrame]:
@@ -319,10 +323,10 @@ def decode(parts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return parts.select("row", "doc_id", "part", "parts", "ids").mapInArrow(run, PARTS + ", bytes binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, from `decode`.
+def digests(short: DataFrame, long_: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text, from the tables of `encode`, decoded.
 
-    Texts of one part are hashed where they are; the parts of others are brought together in order and hashed as they pass.
+    Short texts are hashed where they are; the parts of long ones are brought together in order and hashed as they pass.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -339,13 +343,12 @@ def digests(decoded: DataFrame) -> DataFrame:
                     ids, raw, n = hashlib.sha256(), hashlib.sha256(), 0
             yield arrays(schema, done)
 
-    one = decoded.where("parts = 1").select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
-    many = decoded.where("parts > 1").repartition("row").sortWithinPartitions("row", "part")
-    return one.unionByName(many.mapInArrow(run, schema))
+    one = short.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return one.unionByName(long_.repartition("row").sortWithinPartitions("row", "part").mapInArrow(run, schema))
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of `encode` and `decode` over all whole documents; see there for null, empty, long and repeated texts."""
     vocabulary = Vocabulary(spark)
-    parts = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    return digests(decode(parts, vocabulary))
+    short, long_ = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    return digests(decode(short, vocabulary), decode(long_, vocabulary))

@@ -37,11 +37,15 @@ def as_library(library, text):
     return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
 
 
+def digested(docs, vocabulary, *cut):
+    return bytepairs.digests(*(bytepairs.decode(p, vocabulary) for p in bytepairs.encode(docs, vocabulary, *cut)))
+
+
 @pytest.mark.parametrize("chunk,overlap", [(bytepairs.CHUNK, bytepairs.OVERLAP), (96, 32), (40, 9)])
 def test_ids_are_the_librarys_however_texts_are_cut(spark, library, texts, chunk, overlap):
     docs = spark.createDataFrame([*enumerate(texts), (None, "no id"), (3, texts[3])], "doc_id long, text string").selectExpr("doc_id", "text", "7 AS row", "'x' AS ids").repartition(3)
     vocabulary = bytepairs.Vocabulary(spark)
-    got = bytepairs.digests(bytepairs.decode(bytepairs.encode(docs, vocabulary, chunk, overlap), vocabulary)).collect()
+    got = digested(docs, vocabulary, chunk, overlap).collect()
     want = [(i, *as_library(library, t)) for i, t in [*enumerate(texts), (None, "no id"), (3, texts[3])]]
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
@@ -49,7 +53,8 @@ def test_ids_are_the_librarys_however_texts_are_cut(spark, library, texts, chunk
 
 def test_parts_in_order_make_the_text(spark, texts):
     vocabulary = bytepairs.Vocabulary(spark)
-    parts = bytepairs.decode(bytepairs.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary, 96, 32), vocabulary).collect()
+    short, long_ = bytepairs.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary, 96, 32)
+    parts = bytepairs.decode(short.unionByName(long_), vocabulary).collect()
     assert max(r.parts for r in parts) > 10
     for i, t in enumerate(texts):
         mine = sorted((r for r in parts if r.doc_id == i), key=lambda r: r.part)
@@ -70,9 +75,9 @@ def test_heap_and_turns_merge_alike(ranks, library):
 def test_bytes_that_are_no_utf8_and_empty_tables(spark, library):
     vocabulary = bytepairs.Vocabulary(spark)
     docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text")
-    (row,) = bytepairs.digests(bytepairs.decode(bytepairs.encode(docs, vocabulary), vocabulary)).collect()
+    (row,) = digested(docs, vocabulary).collect()
     assert tuple(row)[1:] == as_library(library, "a�b")
-    assert bytepairs.digests(bytepairs.decode(bytepairs.encode(docs.where("false"), vocabulary), vocabulary)).count() == 0
+    assert digested(docs.where("false"), vocabulary).count() == 0
 
 
 def test_query_on_the_whole_table(spark, library):
