@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import partial
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,47 +43,75 @@ def fold(value: Column, unicode: bool = False) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
-def expand_shorthand(text: Column) -> Column:
-    """maj and min to their full words, E-flat to Eb."""
-    text = F.regexp_replace(text, r"(?i)\bmaj\b\.?", "major")
-    text = F.regexp_replace(text, r"(?i)\b(?:min|mi)\b\.?", "minor")
-    text = F.regexp_replace(text, r"(?i)\b([a-g])\s*[-\s]?flat\b", "$1b")
-    return F.regexp_replace(text, r"(?i)\b([a-g])\s*[-\s]?sharp\b", "$1#")
+@dataclass(frozen=True)
+class Folds:
+    """How the values of fields are folded: as titles, as keys, and all others plainly; `unicode` for scripts beyond Latin, through an Arrow UDF."""
 
+    titles: tuple[str, ...] = ("title", "work_title")
+    keys: tuple[str, ...] = ("key",)
+    unicode: bool = False
 
-def digits(folded: Column) -> Column:
-    """Number words of a folded text to digits."""
-    numbers = F.create_map(*[F.lit(x) for w, n in NUMBER_WORDS.items() for x in (w, str(n))])
-    return F.array_join(F.transform(F.split(folded, " "), lambda w: F.coalesce(F.try_element_at(numbers, w), w)), " ")
 
+FOLDS, UNICODE_FOLDS = Folds(), Folds(unicode=True)
+# Short words for modes, and words that announce a number.
+SHORT = {"maj": "major", "min": "minor", "mi": "minor"}
+ORDINALS = ["number", "num", "nr", "no", "#"]
 
-def fold_title(value: Column, unicode: bool = False) -> Column:
-    """`fold` for titles: No. 1, Nr 1 and #1 become n1, shorthand is written out."""
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    text = F.regexp_replace(text, r"(?i)\b(?:number|num|nr|no)\b\.?\s*(\d+)", " n$1 ")
-    text = F.regexp_replace(text, r"#\s*(\d+)", " n$1 ")
-    return digits(fold(expand_shorthand(text), unicode))
 
+def _replaced() -> Column:
+    """Words to what stands for them: number words, short modes, and keys in one word such as eflat."""
+    pairs = {w: str(n) for w, n in NUMBER_WORDS.items()} | SHORT | {f"{c}flat": f"{c}b" for c in "abcdefg"} | {f"{c}sharp": c for c in "abcdefg"}
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
-def fold_key(value: Column, unicode: bool = False) -> Column:
-    return digits(fold(expand_shorthand(F.coalesce(value.cast("string"), F.lit(""))), unicode))
+
+def folded(value: Column, title: Column, unicode: bool = False) -> Column:
+    """`fold` of a title or key, and in the same pass over its words: number words to digits, modes written out, E-flat as eb; where
+    `title` holds, No. 1, Nr 1 and #1 as n1.
+    """
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    text = F.lower(decomposed(text) if unicode else plain_latin(text))
+    tokens = F.regexp_extract_all(text, F.lit(r"(?U)\w+|#|-|[^\w\s#-]+"), F.lit(0))
+    replaced = _replaced()
+
+    def read(ts: Column) -> Column:
+        at = lambda i: F.coalesce(F.get(ts, i), F.lit(""))
+        number = lambda i: F.regexp_extract(at(i), "^[0-9]+", 0)
+
+        def word(w: Column, i: Column) -> Column:
+            after, before = at(i + 1 + (at(i + 1) == "-").cast("int")), at(i - 1 - (at(i - 1) == "-").cast("int"))
+            tonic = F.rlike(w, F.lit("^[a-g]$"))
+            # the number that this token announces, and what announces this token's number
+            behind = i + 1 + ((at(i + 1) == ".") & (w != "#")).cast("int")
+            announced = title & w.isin(*ORDINALS) & (number(behind) != "")
+            mark = F.when(at(i - 1) == ".", at(i - 2)).otherwise(at(i - 1))
+            told = title & (number(i) != "") & (mark.isin(*ORDINALS) & ~((mark == "#") & (at(i - 1) == ".")))
+            own = number(i)
+            return (
+                F.when(announced | ~F.rlike(w, F.lit(r"(?U)^\w")), "")
+                .when(w.isin("flat", "sharp") & F.rlike(before, F.lit("^[a-g]$")), "")
+                .when(told, F.concat(F.lit("n"), own, F.lit(" "), F.substr(w, F.length(own) + 1)))
+                .when(tonic & (after == "flat"), F.concat(w, F.lit("b")))
+                .otherwise(F.coalesce(F.try_element_at(replaced, w), w))
+            )
+
+        return F.array_join(F.filter(F.transform(ts, word), lambda w: w != ""), " ")
+
+    return F.rtrim(F.replace(F.get(F.transform(F.array(tokens), read), F.lit(0)), F.lit("  "), F.lit(" ")))
 
 
-#: How the values of a field are folded; fields not named here by `fold`.
-FOLDS = {"title": fold_title, "work_title": fold_title, "key": fold_key}
+def fold_title(value: Column, unicode: bool = False) -> Column:
+    """`fold` for titles: No. 1, Nr 1 and #1 become n1, shorthand is written out."""
+    return folded(value, F.lit(True), unicode)
 
 
-#: The same for values of every script, through an Arrow UDF; '*' stands for the fields not named.
-UNICODE_FOLDS = {"*": partial(fold, unicode=True), "title": partial(fold_title, unicode=True), "work_title": partial(fold_title, unicode=True), "key": partial(fold_key, unicode=True)}
+def fold_key(value: Column, unicode: bool = False) -> Column:
+    return folded(value, F.lit(False), unicode)
 
 
-def fold_by_field(field: Column, value: Column, folds: dict = FOLDS) -> Column:
-    out = folds.get("*", fold)(value)
-    for name, how in folds.items():
-        if name == "*":
-            continue
-        out = F.when(field == name, how(value)).otherwise(out)
-    return out
+def fold_by_field(field: Column, value: Column, folds: Folds = FOLDS) -> Column:
+    """Each value folded as its field asks for; words are looked at one by one only in titles and keys."""
+    title, key = field.isin(*folds.titles), field.isin(*folds.keys)
+    return F.when(title | key, folded(value, title, folds.unicode)).otherwise(fold(value, folds.unicode))
 
 
 def fold_name(name: Column) -> Column:

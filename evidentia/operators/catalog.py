@@ -13,6 +13,7 @@ from evidentia.functions.music import SYNONYMS
 
 MAX_TERMS, MAX_FACET = 8, 200
 PAGE, MAX_PAGE = 60, 500
+SEARCHED = ("title", "composer_name", "catalog_display", "music_key")
 TEXT_FACETS = ["composer_name", "form", "instrumentation", "music_key"]
 
 
@@ -65,7 +66,7 @@ def spellings(term: str) -> list[str]:
     return [term]
 
 
-def search_predicate(query: str, columns: Sequence[str] = ("title", "composer_name", "catalog_display", "music_key")) -> Column:
+def search_predicate(query: str, columns: Sequence[str] = SEARCHED) -> Column:
     """All of the first eight words must be met, each in any searched column or spelling.
 
     A single letter is a key: the start of the key, or ' in X' in the title.  A catalogue number is met without its
@@ -87,7 +88,7 @@ def search_predicate(query: str, columns: Sequence[str] = ("title", "composer_na
     return reduce(lambda a, b: a & b, map(met, terms))
 
 
-def batch_search(pieces: DataFrame, queries: DataFrame, column: str = "title") -> DataFrame:
+def batch_words(pieces: DataFrame, queries: DataFrame, column: str = "title") -> DataFrame:
     """(query_id, piece_id) of every hit of a table of queries (query_id, query): all words of a query are words of the column.
 
     An inverted index join: both sides are cut to distinct words and met on them, then counted.  Only words that
@@ -103,6 +104,82 @@ def batch_search(pieces: DataFrame, queries: DataFrame, column: str = "title") -
     return hits.where(F.size(F.array_except("terms", "words")) == 0).select("query_id", "piece_id")
 
 
+#: Length of the grams of the inverted index, and the pieces of a gram that meet its queries in one task.
+GRAM, LOT = 3, 50_000
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The n-grams of a text, none if it is shorter."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: i <= F.length(text) - (n - 1)), lambda i: F.substr(text, i, F.lit(n)))
+
+
+def _parsed(query: Column) -> Column:
+    """The terms of a query: (letter) of a key, or (words, flat), the spellings of a word and its letters and digits alone."""
+    synonyms = F.create_map(*[x for group in SYNONYMS for w in group for x in (F.lit(w), F.array(*map(F.lit, group)))])
+    terms = F.slice(F.filter(F.split(F.lower(query), r"\s+"), lambda t: t != ""), 1, MAX_TERMS)
+    none = F.lit(None).cast("string")
+
+    def term(t: Column) -> Column:
+        one = F.rlike(t, F.lit(r"^\p{L}$"))
+        words = F.when(one, F.array().cast("array<string>")).otherwise(F.coalesce(F.try_element_at(synonyms, t), F.array(t)))
+        return F.struct(F.when(one, t).otherwise(none).alias("letter"), words.alias("words"), F.when(one, "").otherwise(F.regexp_replace(t, r"[^\p{L}\p{N}]", "")).alias("flat"))
+
+    return F.transform(terms, term)
+
+
+def _needles(term: Column) -> Column:
+    """What a piece must hold one of to meet a term, as texts: '^d' is the start of a key."""
+    letter = F.array(F.concat(F.lit("^"), term["letter"]), F.concat(F.lit(" in "), term["letter"]))
+    return F.array_distinct(F.when(term["letter"].isNotNull(), letter).otherwise(F.concat(term["words"], F.when(term["flat"] != "", F.array(term["flat"])).otherwise(F.array().cast("array<string>")))))
+
+
+def batch_search(pieces: DataFrame, queries: DataFrame, columns: Sequence[str] = SEARCHED) -> DataFrame:
+    """(query_id, piece_id) of every piece that `search_predicate` finds for each row of a table of queries (query_id, query).
+
+    An inverted index of the 1- to 3-grams of all searched columns, of the number without spaces and dots, and of the start of the
+    key.  A term is met only by pieces that hold all grams of one of its spellings, so the rarest gram of each spelling stands for it; the
+    term whose grams are rarest together leads its query, and only the pieces of those grams are tested, exactly.  Grams that no
+    query has never leave the scan, and a gram of very many pieces meets its queries in parts of `LOT` pieces.
+
+    Null and empty queries find nothing; a null column holds nothing.  Rows that repeat a piece or a query give a row each
+    combination once.
+    """
+    low = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    parsed = queries.select("query_id", _parsed(F.coalesce("query", F.lit(""))).alias("terms")).where(F.size("terms") > 0).distinct()
+    texts = pieces.select("piece_id", *[low(c).alias(c) for c in columns])
+    number, key = "catalog_display" in columns, "music_key" in columns
+    flat = F.translate("catalog_display", " .", "") if number else F.lit("")
+    held = [F.col(c) for c in columns] + ([flat] if number else [])
+    start = F.array(F.concat(F.lit("^"), F.left("music_key", F.lit(1)))) if key else F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(start, *[_grams(t, n) for t in held for n in range(1, GRAM + 1)]))
+    postings = texts.select("piece_id", F.explode(grams).alias("gram"))
+
+    # one row a query, term and spelling, with the grams of which all must be there
+    asked = parsed.select("query_id", F.posexplode("terms").alias("nth", "term")).select("query_id", "nth", F.posexplode(_needles(F.col("term"))).alias("which", "needle"))
+    n = F.length("needle")
+    own = F.when(F.startswith("needle", F.lit("^")) & (n == 2), F.array("needle")).when(n >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
+    asked = asked.select("query_id", "nth", "which", F.explode(F.array_distinct(own)).alias("gram"))
+    often = postings.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(often, "gram", "left").groupBy("query_id", "nth", "which").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram"))).alias("best"))
+    cost = rarest.groupBy("query_id", "nth").agg(F.sum("best.n").alias("cost"), F.collect_set("best").alias("grams"))
+    leads = cost.groupBy("query_id").agg(F.min_by("grams", F.struct("cost", "nth")).alias("grams")).select("query_id", F.explode("grams").alias("g")).where("g.n > 0").select("query_id", "g.gram", "g.n")
+
+    # a frequent gram is parted: its pieces by their hash, its queries copied to each part
+    parts = F.ceil(F.col("n") / F.lit(LOT))
+    led = leads.select("query_id", "gram", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("lot"))
+    wide = leads.select("gram", parts.alias("parts")).distinct()
+    lots = postings.join(wide, "gram").select("piece_id", "gram", F.pmod(F.xxhash64("piece_id"), F.col("parts")).alias("lot"))
+    maybe = led.join(lots, ["gram", "lot"]).select("query_id", "piece_id").distinct()
+
+    def met(t: Column) -> Column:
+        holds_ = lambda w: reduce(lambda a, b: a | b, [F.contains(F.col(c), w) for c in columns])
+        in_key = (F.startswith(F.col("music_key"), t["letter"]) if key else F.lit(False)) | (F.contains(F.col("title"), F.concat(F.lit(" in "), t["letter"])) if "title" in columns else F.lit(False))
+        by_number = (t["flat"] != "") & F.contains(flat, t["flat"]) if number else F.lit(False)
+        return F.when(t["letter"].isNotNull(), in_key).otherwise(F.exists(t["words"], holds_) | by_number)
+
+    return maybe.join(texts, "piece_id").join(parsed, "query_id").where(F.forall("terms", met)).select("query_id", "piece_id").distinct()
+
+
 def facet(pieces: DataFrame, column: str, limit: int = MAX_FACET) -> DataFrame:
     """value, n of a column: not null, not empty, of pieces not rejected; most frequent first, then by value."""
     live = pieces.where((F.coalesce(F.col("review_state"), F.lit("")) != "rejected") & F.col(column).isNotNull() & (F.col(column) != ""))

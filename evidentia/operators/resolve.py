@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.folding import FOLDS, fold_by_field
+from evidentia.functions.folding import FOLDS, Folds, fold_by_field
+from evidentia.functions.music import let
 from evidentia.schema import KNOWN_FIELDS, REQUIRED_FIELDS
 
 # Thresholds of the scorer.
@@ -27,8 +28,6 @@ AUTO_ACCEPT, REVIEW_FLOOR = 0.80, 0.50
 CONFLICT_RATIO, CONFLICT_CAP = 0.55, 0.45
 CERTAIN = 0.99
 DAMAGED = "�"
-#: Doublings with which the merge follows values to their fullest form: chains of up to 2 ** 6.
-DOUBLINGS = 6
 
 
 def valid(candidates: DataFrame, fields: Sequence[str] = KNOWN_FIELDS) -> tuple[DataFrame, DataFrame]:
@@ -48,7 +47,7 @@ def rounded(sure: Column) -> Column:
     return F.round(sure + 1e-9, 4)
 
 
-def best_per_source(candidates: DataFrame, folds: dict = FOLDS) -> DataFrame:
+def best_per_source(candidates: DataFrame, folds: Folds = FOLDS) -> DataFrame:
     """piece_id, field, key, source, weight, value (longest spelling, first of equals) and seq (first seen)."""
     keyed = candidates.withColumn("key", fold_by_field(F.col("field"), F.col("value"), folds)).where("key <> ''")
     spelling = F.max_by("value", F.struct(F.length("value"), -F.col("seq")))
@@ -62,41 +61,85 @@ def _contains(long_: Column, short: Column) -> Column:
     return (F.size(short["words"]) < F.size(long_["words"])) & (opens | among)
 
 
-def merge_spellings(best: DataFrame) -> DataFrame:
+def merge_spellings(best: DataFrame, by_index: bool = False) -> DataFrame:
     """`best` with `root`, the key of the value that each row belongs to.
 
     Rows whose keys have the same words in any order take the key seen last.  A key then goes to the longest
     key with more words that contains it (of equal lengths the one seen first), and on to where that goes.
+
+    The keys of a field of a piece are compared inside one row.  With `by_index` they meet through an inverted index instead: a key lies only
+    in keys that have its rarest word, so it is compared with those alone, and no row ever holds them all.  Both give the same roots; the
+    index is for pieces with thousands of values and costs two more joins.
     """
-    same = F.array_join(F.array_sort(F.split("key", " ")), " ")
-    keys = best.groupBy("piece_id", "field", "key").agg(F.min("seq").alias("seq")).withColumn("words_sorted", same)
-    pooled = keys.withColumn("survivor", F.max_by("key", "seq").over(Window.partitionBy("piece_id", "field", "words_sorted")))
-    values = pooled.groupBy("piece_id", "field", "survivor").agg(F.min("seq").alias("seq"))
-    lists = values.groupBy("piece_id", "field").agg(F.collect_list(F.struct(F.col("survivor").alias("key"), F.split("survivor", " ").alias("words"), "seq")).alias("all"))
-
-    def parent(v: Column, all_: Column) -> Column:
-        fuller = F.filter(all_, lambda o: _contains(o, v))
-        ranked = F.array_max(F.transform(fuller, lambda o: F.struct(F.length(o["key"]).alias("n"), (-o["seq"]).alias("s"), o["key"].alias("key"))))
-        return F.struct(v["key"].alias("key"), F.coalesce(ranked["key"], v["key"]).alias("up"))
-
-    ups = lists.select("piece_id", "field", F.transform("all", lambda v: parent(v, F.col("all"))).alias("ups"))
-    # each turn replaces every parent by the parent's parent; a field with one value has nothing to follow
-    steps = F.when(F.size("ups") > 1, F.sequence(F.lit(1), F.lit(DOUBLINGS))).otherwise(F.array().cast("array<int>"))
-    doubled = F.aggregate(steps, F.map_from_entries("ups"), lambda m, _: F.transform_values(m, lambda k, up: F.try_element_at(m, up)))
-    tree = ups.select("piece_id", "field", doubled.alias("up_of"))
-    roots = tree.select("piece_id", "field", F.explode("up_of").alias("survivor", "root"))
-    named = pooled.select("piece_id", "field", "key", "survivor").join(roots, ["piece_id", "field", "survivor"])
-    return best.join(named.select("piece_id", "field", "key", "root"), ["piece_id", "field", "key"])
-
-
-def resolve_fields(candidates: DataFrame, folds: dict = FOLDS, merge: bool = True) -> DataFrame:
+    return _merged_by_index(best) if by_index else _merged_in_rows(best)
+
+
+def _sorted_words(key: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(key, " ")), " ")
+
+
+def _merged_in_rows(best: DataFrame) -> DataFrame:
+    kept = [c for c in best.columns if c not in ("piece_id", "field")]
+    lists = best.groupBy("piece_id", "field").agg(F.collect_list(F.struct(*kept, _sorted_words(F.col("key")).alias("same"))).alias("all"))
+
+    def value(group: Column, key: Column) -> Column:
+        """A value of several rows: its key, words, and when it was first seen."""
+        return F.struct(key.alias("key"), F.split(key, " ").alias("words"), F.array_min(F.transform(group, lambda r: r["seq"])).alias("seq"))
+
+    def last_key(group: Column) -> Column:
+        """The key first seen last: of each key the earliest row counts."""
+        first = F.filter(group, lambda r: ~F.exists(group, lambda o: (o["key"] == r["key"]) & (o["seq"] < r["seq"])))
+        return F.array_max(F.transform(first, lambda r: F.struct(r["seq"].alias("seq"), r["key"].alias("key"))))["key"]
+
+    def parent(v: Column, values: Column) -> Column:
+        ranked = F.array_max(F.transform(F.filter(values, lambda o: _contains(o, v)), lambda o: F.struct(F.length(o["key"]).alias("n"), (-o["seq"]).alias("s"), o["key"].alias("key"))))
+        return F.coalesce(ranked["key"], v["key"])
+
+    all_ = F.col("all")
+    sames = F.array_distinct(F.transform(all_, lambda r: r["same"]))
+    one = (F.size(all_) == 1) | (F.size(F.array_distinct(F.transform(all_, lambda r: r["key"]))) == 1)
+    groups = lists.withColumn("values", F.when(~one, F.transform(sames, lambda s: let(F.filter(all_, lambda r: r["same"] == s), lambda g: F.struct(s.alias("same"), value(g, last_key(g)).alias("v"))))))
+    values = F.transform("values", lambda x: x["v"])
+    ups = groups.withColumn("ups", F.when(F.size("values") > 1, F.map_from_entries(F.transform(values, lambda v: F.struct(v["key"].alias("key"), parent(v, values).alias("up"))))))
+    # each turn replaces every parent by its own parent: as many turns as double up to the number of values
+    turns = F.sequence(F.lit(1), F.ceil(F.log2(F.size("values"))).cast("int"))
+    roots = ups.withColumn("up_of", F.when(F.col("ups").isNotNull(), F.aggregate(turns, F.col("ups"), lambda m, _: F.transform_values(m, lambda k, up: F.try_element_at(m, up)))))
+    survivor = lambda same: F.get(F.filter("values", lambda x: x["same"] == same), F.lit(0))["v"]["key"]
+    root = lambda r: F.when(one, r["key"]).otherwise(let(survivor(r["same"]), lambda k: F.coalesce(F.try_element_at("up_of", k), k)))
+    rows = roots.select("piece_id", "field", F.transform("all", lambda r: F.struct(*[r[c].alias(c) for c in kept], root(r).alias("root"))).alias("rows"))
+    return rows.select("piece_id", "field", F.inline("rows")).select(*best.columns, "root")
+
+
+def _merged_by_index(best: DataFrame) -> DataFrame:
+    """The same by joins.
+
+    A key that contains another one through all its words is contained in whatever contains it, and longer keys come first, so chains have
+    at most two links unless keys repeat words; three links are followed.
+    """
+    field = ["piece_id", "field"]
+    seen = best.withColumn("first", F.min("seq").over(Window.partitionBy(*field, "key"))).withColumn("same", _sorted_words(F.col("key")))
+    pooled = seen.withColumn("survivor", F.max(F.struct("first", "key")).over(Window.partitionBy(*field, "same"))["key"])
+    values = pooled.groupBy(*field, F.col("survivor").alias("key")).agg(F.min("seq").alias("seq")).withColumn("words", F.split("key", " "))
+    index = values.select(*field, F.struct("key", "words", "seq").alias("o"), F.explode(F.array_distinct("words")).alias("word"))
+    often = index.withColumn("n", F.count("*").over(Window.partitionBy(*field, "word")))
+    leads = often.groupBy(*field, F.col("o").alias("v")).agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    fuller = leads.join(index, [*field, "word"]).where(_contains(F.col("o"), F.col("v")))
+    ups = fuller.groupBy(*field, F.col("v.key").alias("survivor")).agg(F.max(F.struct(F.length("o.key").alias("n"), (-F.col("o.seq")).alias("s"), F.col("o.key").alias("key")))["key"].alias("up"))
+    for n in range(2):
+        further = ups.select(*field, F.col("survivor").alias("up"), F.col("up").alias("next"))
+        rooted = (rooted if n else ups).join(further, [*field, "up"], "left").withColumn("up", F.coalesce("next", "up")).select(*field, "survivor", "up")
+    out = pooled.join(rooted, [*field, "survivor"], "left")
+    return out.select(*best.columns, F.coalesce("up", "survivor").alias("root"))
+
+
+def resolve_fields(candidates: DataFrame, folds: Folds = FOLDS, merge: bool = True, by_index: bool = False) -> DataFrame:
     """One row per (piece_id, field): value, confidence, conflict, sources, alternatives (up to three).
 
     Null and empty values have no say.  Rows that repeat a source count once, with their best weight.  Equal scores
-    are ordered by what was seen first.  `merge` off compares folded values as they are.
+    are ordered by what was seen first.  `merge` off compares folded values as they are; `by_index` is for pieces of thousands of values.
     """
     best = best_per_source(candidates, folds).repartition("piece_id")
-    rooted = merge_spellings(best) if merge else best.withColumn("root", F.col("key"))
+    rooted = merge_spellings(best, by_index) if merge else best.withColumn("root", F.col("key"))
     sources = rooted.groupBy("piece_id", "field", "root", "source").agg(
         F.max("weight").alias("weight"),
         F.max(F.struct(F.length("value").alias("n"), (F.col("key") == F.col("root")).alias("own"), (-F.col("seq")).alias("s"), F.col("value").alias("value"))).alias("shown"),
@@ -146,9 +189,14 @@ def reviewed_route(routed: Column, state: Column) -> Column:
     return F.when(state == "accepted", "accept").when(state == "rejected", "hold").otherwise(routed)
 
 
-def resolve_pieces(candidates: DataFrame, thresholds: DataFrame | None = None, required: Sequence[str] = REQUIRED_FIELDS, folds: dict = FOLDS, merge: bool = True) -> DataFrame:
+def resolve_pieces(candidates: DataFrame, thresholds: DataFrame | None = None, required: Sequence[str] = REQUIRED_FIELDS, folds: Folds = FOLDS, merge: bool = True) -> DataFrame:
     """Candidates to routed pieces.  `thresholds`: piece_id, auto_accept, review_floor, nulls meaning the defaults."""
-    pieces = combine(resolve_fields(candidates, folds, merge), required)
+    return resolve_pieces_of(resolve_fields(candidates, folds, merge), thresholds, required)
+
+
+def resolve_pieces_of(fields: DataFrame, thresholds: DataFrame | None = None, required: Sequence[str] = REQUIRED_FIELDS) -> DataFrame:
+    """Resolved fields to routed pieces, as `resolve_pieces`."""
+    pieces = combine(fields, required)
     if thresholds is None:
         return pieces.withColumn("route", route(F.col("confidence")))
     joined = pieces.join(thresholds, "piece_id", "left")

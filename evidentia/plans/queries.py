@@ -180,7 +180,26 @@ for _name, (_f, _where) in SIMPLE_FILTERS.items():
 def batch_search(spark, d):
     p = read(spark, d, "part")
     queries = p.where("p_size = 7").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query"))
-    return catalog.batch_search(p.select(F.col("p_partkey").alias("piece_id"), F.col("p_name").alias("title")), queries).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return catalog.batch_words(p.select(F.col("p_partkey").alias("piece_id"), F.col("p_name").alias("title")), queries).groupBy("query_id").agg(F.count("*").alias("hits"))
+
+
+#: Titles with a word of a synonym group or a key, and queries of all kinds: parts of words, synonyms, keys, numbers run together.
+SONGS = """SELECT p_partkey AS piece_id, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Valse' WHEN 1 THEN ' in D' WHEN 2 THEN ' WALTZ' ELSE '' END) AS title, p_brand AS composer_name,
+  CASE WHEN p_partkey % 5 <> 0 THEN concat('Op. ', CAST(p_size AS VARCHAR(9)), ' no. ', CAST(p_partkey % 9 AS VARCHAR(9))) END AS catalog_display, CASE p_partkey % 3 WHEN 0 THEN 'C major' WHEN 1 THEN 'D minor' END AS music_key FROM part"""
+ASKED = """SELECT p_partkey AS query_id, CASE p_partkey % 7 WHEN 0 THEN concat(substring(p_name, 2, 4), ' op', CAST(p_size AS VARCHAR(9))) WHEN 1 THEN concat('walzer ', substring(p_name, 1, 3)) WHEN 2 THEN concat('D ', lower(substring(p_brand, 3, 9)))
+  WHEN 3 THEN concat('op', CAST(p_size AS VARCHAR(9)), 'no', CAST(p_partkey % 9 AS VARCHAR(9))) WHEN 4 THEN concat(' ', upper(substring(p_name, 3, 5)), '  MINOR ') WHEN 5 THEN concat('o.', CAST(p_partkey % 9 AS VARCHAR(9)), ' c') ELSE ' ' END AS query FROM part WHERE p_size % 5 = 2"""
+BATCH = f"""WITH s AS (SELECT piece_id, lower(title) AS t, lower(composer_name) AS c, lower(coalesce(catalog_display, '')) AS d, lower(coalesce(music_key, '')) AS k, translate(lower(coalesce(catalog_display, '')), ' .', '') AS f FROM ({SONGS})),
+q AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '') AS terms FROM ({ASKED})),
+m AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n FROM q),
+w AS (SELECT query_id, term, n, unnest(CASE WHEN term IN ('valse', 'waltz', 'walzer') THEN ['valse', 'waltz', 'walzer'] ELSE [term] END) AS word FROM m),
+hit AS (SELECT DISTINCT query_id, term, piece_id FROM w JOIN s ON CASE WHEN length(term) = 1 AND regexp_matches(term, '[a-z]') THEN starts_with(k, term) OR contains(t, ' in ' || term)
+  ELSE contains(t, word) OR contains(c, word) OR contains(d, word) OR contains(k, word) OR contains(f, regexp_replace(term, '[^a-z0-9]', '', 'g')) END)
+SELECT query_id, piece_id FROM hit JOIN (SELECT query_id, count(DISTINCT term) AS n FROM m GROUP BY 1) USING (query_id) GROUP BY query_id, piece_id, n HAVING count(*) = n"""
+
+
+@registered("b13_batch_substrings", BATCH)
+def batch_substrings(spark, d):
+    return catalog.batch_search(view(spark, d, SONGS, "part"), view(spark, d, ASKED, "part"))
 
 
 @registered("b15_review_queue", CAT + "SELECT piece_id, route FROM cat WHERE review_state = 'pending' AND route IN ('review', 'hold') AND collection_id = 3")

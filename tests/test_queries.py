@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from evidentia.plans import more  # noqa: F401
+from evidentia.plans import jobs, more  # noqa: F401
 from evidentia.plans import queries as plans
 
 DATA = "/root/testdata/sf0.001"
