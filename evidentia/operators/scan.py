@@ -73,7 +73,7 @@ def scan(signals: DataFrame, collections: DataFrame, sides: Sides | None = None,
     good, bad = resolve.valid(said.withColumn("piece_id", F.concat("file_key", F.lit("#"), F.col("page_start").cast("string"))))
     ids = good.groupBy("piece_id").agg(F.min("collection_id").alias("collection_id"), F.min("file_key").alias("file_key"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min("adapter").alias("adapter"))
     limits = ids.join(collections.select("collection_id", "auto_accept", "review_floor"), "collection_id", "left")
-    fields = resolve.resolve_fields(good)
+    fields = stored(resolve.resolve_fields(good), "fields")
     routed = resolve.resolve_pieces_of(fields, limits.select("piece_id", "auto_accept", "review_floor"))
     pieces = ids.join(routed, "piece_id").join(resolve.denormalise(fields), "piece_id")
     skipped = marked.where("skipped IS NOT NULL").select(key.alias("file_key"), F.col("skipped").alias("reason"))

@@ -105,7 +105,7 @@ p1 AS (SELECT 1 AS c, p_partkey, '1/' || lpad(CAST(p_partkey % 1000 AS VARCHAR),
 per AS (SELECT p_partkey, max(value) FILTER (field = 'composer') AS composer, max(value) FILTER (field = 'title') AS title, min(weight) FILTER (field IN ('composer', 'title') AND value IS NOT NULL) AS w, count(DISTINCT value) FILTER (field = 'form') AS forms FROM said GROUP BY 1),
 p2 AS (SELECT 2 AS c, p_partkey, '2/' || regexp_replace(rel_path, '[.]pdf$', '.PDF') AS file_key, composer, title, CASE WHEN title IS NULL THEN 0 WHEN forms > 1 THEN least(w, 0.45) ELSE w END AS conf FROM per JOIN f USING (p_partkey) WHERE p_partkey % 3 = 2),
 al AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2)
-SELECT file_key, CASE WHEN p_partkey % 50 <> 0 AND p_partkey % 63 <> 0 THEN composer END AS composer, title, conf AS confidence, CASE WHEN conf >= CASE c WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 ELSE 0.7 END THEN 'accept' WHEN conf >= CASE c WHEN 2 THEN 0.6 ELSE 0.5 END THEN 'review' ELSE 'hold' END AS route, NULL AS reason FROM al
+SELECT DISTINCT file_key, composer, title, conf AS confidence, CASE WHEN conf >= CASE c WHEN 0 THEN 0.9 WHEN 1 THEN 0.8 ELSE 0.7 END THEN 'accept' WHEN conf >= CASE c WHEN 2 THEN 0.6 ELSE 0.5 END THEN 'review' ELSE 'hold' END AS route, NULL AS reason FROM al
 WHERE p_partkey % 50 <> 0 AND NOT contains(file_key, 'drafts/') UNION ALL SELECT file_key, NULL, NULL, NULL, NULL, CASE WHEN p_partkey % 50 = 0 THEN 'unreadable: no trailer' ELSE 'a draft' END FROM al WHERE p_partkey % 50 = 0 OR contains(file_key, 'drafts/')"""
 
 
