@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from evidentia.functions.folding import fold_name, fold_title
 from evidentia.functions.music import citations, is_movement, period_of, safe_component, surname
 from evidentia.operators.catalog import resolve_alias
+from evidentia.sources.scratch import stored
 
 SIMILAR = 72.0
 
@@ -65,43 +65,60 @@ def cited(works: DataFrame, external: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.DoubleType())
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """0 to 100: how alike two names are as sets of words; Spark has no such function."""
+def edit_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """0 to 100: how alike two texts are, by the insertions and deletions between them; Spark counts substitutions as one change."""
 
     def ratio(x: str, y: str) -> float:
-        if not x or not y:
-            return 100.0 if x == y else 0.0
-        row = list(range(len(y) + 1))  # longest common subsequence through insertions and deletions
-        for i, cx in enumerate(x, 1):
-            before, row[0] = row[0], i
-            for j, cy in enumerate(y, 1):
-                before, row[j] = row[j], before if cx == cy else 1 + min(row[j], row[j - 1])
-        return 100.0 * (1 - row[-1] / (len(x) + len(y)))
-
-    def one(x: str | None, y: str | None) -> float:
-        p, q = set(re.findall(r"\w+", (x or "").lower())), set(re.findall(r"\w+", (y or "").lower()))
-        if not p or not q:
-            return 0.0
-        both, only_p, only_q = " ".join(sorted(p & q)), " ".join(sorted(p - q)), " ".join(sorted(q - p))
-        if both and (not only_p or not only_q):
-            return 100.0
-        left, right = f"{both} {only_p}".strip(), f"{both} {only_q}".strip()
-        return max(ratio(both, left), ratio(both, right), ratio(left, right)) if both else ratio(left, right)
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+        row = np.arange(len(y) + 1)
+        columns, other = np.arange(len(y) + 1), np.array([ord(c) for c in y])
+        for i, c in enumerate(x, 1):
+            # from above a deletion, from the corner a match; insertions run along the row: the least of (value - place) so far
+            new = row + 1
+            new[1:] = np.minimum(new[1:], np.where(other == ord(c), row[:-1], i + len(y) + 1))
+            row = np.minimum.accumulate(new - columns) + columns
+        return 100.0 * (1 - row[-1] / max(len(x) + len(y), 1))
+
+    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _words(name: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), r"(?U)\W+"), lambda w: w != "")))
+
+
+#: Names and entities of a block that meet in one task, about.
+BLOCK_LOT = 20_000
 
 
 def match_entities(names: DataFrame, entities: DataFrame, allowed: list[str]) -> DataFrame:
-    """name, entity_id: the first entity by place of a similar label that is a person of an allowed kind.
+    """name, entity_id, label: the first entity by place (then id) that is of an allowed kind and whose label is similar to the name.
 
-    Names and labels meet on their folded last word; similarity is worked out within those blocks alone.
+    Similar is a token-set ratio of 72 or more: names whose words are all in the other's are alike; else the shared words, and they
+    with the rest of either side, are compared by insertions and deletions.  Pairs come from blocks: the first and the last three letters of each word, so a
+    changed letter at one end of a word leaves the other.  Names without any three-letter end in common aren't compared.  Most pairs are decided by
+    columns: containment, lengths, and Spark's edit distance, which is never more than that of insertions and deletions, rule out
+    what cannot reach 72; only the rest go to Python.  A block of very many entities is parted.  Null and wordless names match nothing.
     """
-    block = lambda c: F.coalesce(F.try_element_at(F.split(fold_name(c), " "), F.lit(-1)), F.lit(""))
-    n = names.select("name", block(F.col("name")).alias("block")).where("block <> ''")
-    e = entities.where(F.arrays_overlap("kinds", F.array(*map(F.lit, allowed)))).select("entity_id", "label", "place", block(F.col("label")).alias("block"))
-    near = n.join(e, "block").where(token_set_ratio("name", "label") >= SIMILAR)
+    ends = lambda w: F.array_distinct(F.flatten(F.transform(w, lambda x: F.array(F.concat(F.lit("<"), F.left(x, F.lit(3))), F.concat(F.lit(">"), F.right(x, F.lit(3)))))))
+    n = names.select("name").where("name IS NOT NULL").distinct().withColumn("p", _words(F.col("name")))
+    e = entities.where(F.arrays_overlap("kinds", F.array(*map(F.lit, allowed)))).select("entity_id", "label", "place", _words(F.col("label")).alias("q"))
+    blocked = e.select("entity_id", F.explode(ends("q")).alias("block"))
+    parts = F.ceil(F.col("n") / F.lit(BLOCK_LOT))
+    sizes = blocked.groupBy("block").agg(F.count("*").alias("n"))
+    asked = n.select("name", F.explode(ends("p")).alias("block")).join(sizes, "block").select("name", "block", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("lot"))
+    lots = blocked.join(sizes, "block").select("entity_id", "block", F.pmod(F.xxhash64("entity_id"), parts).alias("lot"))
+    pairs = asked.join(lots, ["block", "lot"]).select("name", "entity_id").distinct()
+    text = lambda *w: F.trim(F.concat_ws(" ", *[F.array_join(x, " ") for x in w]))
+    both, only_p, only_q = F.array_intersect("p", "q"), F.array_except("p", "q"), F.array_except("q", "p")
+    met = pairs.join(n, "name").join(e, "entity_id").withColumns({"both": text(both), "left": text(both, only_p), "right": text(both, only_q), "shared": F.size(both), "apart": F.least(F.size(only_p), F.size(only_q))})
+    size, left, right = F.length("both"), F.length("left"), F.length("right")
+    # the shared words open either side: what is between them is known without a distance
+    opens = F.when(F.col("shared") > 0, 200.0 * size / (size + F.least(left, right))).otherwise(0.0)
+    most = 100.0 * (1 - F.greatest(F.abs(left - right), F.levenshtein("left", "right")) / (left + right))
+    sure = ((F.col("shared") > 0) & (F.col("apart") == 0)) | (opens >= SIMILAR)
+    decided = met.where(sure).select("name", "entity_id", "label", "place")
+    near = met.where(~sure & (most >= SIMILAR)).where(edit_ratio("left", "right") >= SIMILAR).select("name", "entity_id", "label", "place")
     best = Window.partitionBy("name").orderBy("place", "entity_id")
-    return near.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("name", "entity_id", "label")
+    return decided.unionByName(near).withColumn("nth", F.row_number().over(best)).where("nth = 1").select("name", "entity_id", "label")
 
 
 def fill_gaps(rows: DataFrame, facts: DataFrame, key: str, columns: list[str], force: bool = False) -> DataFrame:
@@ -124,6 +141,60 @@ def part_parents(relations: DataFrame) -> DataFrame:
     return relations.where("kind = 'parts' AND direction = 'backward'").groupBy("entry_id").agg(F.min("other_id").alias("parent_id"))
 
 
+def part_chains(parents: DataFrame) -> DataFrame:
+    """entry_id, root_id, depth, cycle of every part (entry_id, parent_id): the entry at the top of its chain and the steps to it.
+
+    Pointer jumping: in each turn every part takes the pointer of the part it points to, so chains of 2 ** n steps take n turns.  Parts in a cycle, or
+    below one, have neither root nor depth and are marked.  An entry of several parents follows the least; null ids have no place in a chain.
+    """
+    state = parents.where("entry_id IS NOT NULL AND parent_id IS NOT NULL").groupBy("entry_id").agg(F.min("parent_id").alias("root_id")).withColumns({"depth": F.lit(1).cast("long"), "open": F.lit(True)})
+    state = stored(state, "chains")
+    before, left = None, state.count()
+    while left and left != before:
+        above = state.select(F.col("entry_id").alias("root_id"), F.col("root_id").alias("next"), F.col("depth").alias("more"), F.col("open").alias("next_open"))
+        both = state.where("open").join(above, "root_id", "left")
+        # a pointer to what is no part has arrived; one to a finished part arrives with it
+        moved = both.select("entry_id", F.coalesce("next", "root_id").alias("root_id"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("next_open", F.lit(False)).alias("open"))
+        state = stored(state.where("NOT open").unionByName(moved), "chains")
+        # outside cycles the open part nearest to its root points to what is closed, and closes: a turn that closes none has cycles left alone
+        before, left = left, state.where("open").count()
+    return state.select("entry_id", F.when(~F.col("open"), F.col("root_id")).alias("root_id"), F.when(~F.col("open"), F.col("depth")).alias("depth"), F.col("open").alias("cycle"))
+
+
+def enrich(works: DataFrame, pieces: DataFrame, services: dict[str, DataFrame], force: bool = False) -> DataFrame:
+    """`works` after one pass over external catalogues, with `message`: what was found, what not, or why a work was left alone.
+
+    works: work_id, composer_name, system, number, suffix, year, looked_up, confirmed, match_note, and for each service <name>_id and <name>_title.  services:
+    name -> entries (entry_id, title, credits, place, year), matched as by `cited`.  Only works with an accepted copy are looked up: a link makes a guess a
+    citation.  Works looked up before or confirmed by hand are left alone, and known values stay, unless `force`.  The year is that of the first service that
+    has one.
+    """
+    accepted = pieces.where("review_state = 'accepted' OR route = 'accept'").select("work_id").distinct().withColumn("settled", F.lit(True))
+    out = works.join(accepted, "work_id", "left")
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    skip = F.when(true("looked_up") & F.lit(not force), "already looked up").when(true("confirmed") & F.lit(not force), "confirmed by hand").when(F.coalesce("composer_name", F.lit("")) == "", "no composer").when(~true("settled"), "no accepted copy yet")
+    out = out.withColumn("skip", skip)
+    todo = out.where("skip IS NULL").select("work_id", "composer_name", "system", "number", "suffix")
+    for name, entries in services.items():
+        hits = cited(todo, entries).join(entries.select("entry_id", "year"), "entry_id")
+        out = out.join(hits.select("work_id", F.col("entry_id").alias(f"new_{name}_id"), F.col("title").alias(f"new_{name}_title"), F.col("year").alias(f"new_{name}_year")), "work_id", "left")
+    pick = (lambda new, old: F.coalesce(new, old)) if force else (lambda new, old: F.coalesce(old, new))
+    found = {name: F.col(f"new_{name}_id").isNotNull() for name in services}
+    year = F.coalesce(*[F.col(f"new_{name}_year") for name in services])
+    gained = {name: found[name] & (F.lit(force) | F.col(f"{name}_id").isNull()) for name in services} | {"year": year.isNotNull() & (F.lit(force) | F.col("year").isNull())}
+    missed = F.array_join(F.array_compact(F.array(*[F.when(~found[name], F.lit(f"not in {name}")) for name in services])), "; ")
+    note = F.when(missed != "", missed).otherwise(F.concat(F.lit("matched on "), "system", F.lit(". "), F.col("number").cast("string")))
+    changed = F.array_join(F.array_compact(F.array(*[F.when(g, F.lit(name)) for name, g in gained.items()])), ", ")
+    fresh = F.col("skip").isNull()
+    columns = {c: F.col(c) for c in works.columns}
+    for name in services:
+        # id and title of a service come from one entry
+        for part in ("id", "title"):
+            columns[f"{name}_{part}"] = F.when(gained[name], F.col(f"new_{name}_{part}")).otherwise(F.col(f"{name}_{part}"))
+    columns |= {"year": pick(year, F.col("year")), "match_note": F.when(fresh, note).otherwise(F.col("match_note")), "looked_up": F.when(fresh, True).otherwise(F.col("looked_up"))}
+    return out.select(*[c.alias(name) for name, c in columns.items()], F.when(~fresh, F.col("skip")).when(changed != "", changed).otherwise(note).alias("message"))
+
+
 def target_paths(files: DataFrame, pieces: DataFrame) -> DataFrame:
     """file_id, target of every file (file_id, rel_path, collection): books keep their path, unnamed ones are parked."""
     many = pieces.groupBy("file_id").agg(F.count("*").alias("n"), F.min_by(F.struct("composer_name", "title", "catalog_display", "edition"), "piece_id").alias("p"))

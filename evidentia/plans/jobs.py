@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions.folding import fold_name
-from evidentia.operators import paths
+from evidentia.operators import ledger, linking, paths
 from evidentia.operators.candidates import Sides, stem
 from evidentia.operators.scan import scan
-from evidentia.plans.queries import read, registered, view
+from evidentia.plans.queries import EV, EVENTS, read, registered, view
 from evidentia.schema import SIGNALS
 
 # --- coded paths
@@ -116,3 +116,75 @@ def scan_job(spark, d):
     none = F.lit(None).cast("string")
     pieces = found.pieces.select("file_key", F.col("composer_name").alias("composer"), "title", "confidence", "route", none.alias("reason"))
     return pieces.unionByName(found.problems.select("file_key", none.alias("composer"), none.alias("title"), F.lit(None).cast("double").alias("confidence"), none.alias("route"), "reason"))
+
+
+# --- events, chains, look-ups
+
+
+@registered(
+    "n2_ledger",
+    EV + ", live AS (SELECT piece_id, field, source, value, max(weight) AS weight FROM e p WHERE kind = 'propose' AND NOT EXISTS (SELECT 1 FROM e r WHERE r.kind = 'retract' AND r.piece_id = p.piece_id AND r.source = p.source AND r.value = p.value AND r.seq > p.seq) GROUP BY ALL) "
+    "SELECT piece_id, field, source, value, round(weight, 4) AS weight, false AS accepted FROM live WHERE NOT EXISTS (SELECT 1 FROM dec WHERE dec.piece_id = live.piece_id AND dec.source = live.source AND dec.value = live.value) UNION ALL SELECT piece_id, field, source, value, 1.0, true FROM dec",
+)
+def event_ledger(spark, d):
+    """The events in two batches, out of order and some of them twice: the candidates are those of all events at once."""
+    e = view(spark, d, EVENTS, "events").withColumns({"weight": F.col("weight").cast("double"), "note": F.lit(None).cast("string")})
+    late = ledger.reduced(e.where("seq % 3 <> 0"))
+    both = ledger.reduced(late.unionByName(e.where("seq % 3 = 0 OR seq % 2 = 0").select(*late.columns)))
+    return ledger.candidates(both).select("piece_id", "field", "source", "value", F.round("weight", 4).alias("weight"), "accepted")
+
+
+PARENTS = "SELECT p_partkey AS entry_id, CASE p_partkey % 40 WHEN 20 THEN p_partkey + 1 WHEN 21 THEN p_partkey - 1 ELSE (p_partkey - p_partkey % 2) / 2 END AS parent_id FROM part WHERE p_partkey % 13 <> 0"
+
+
+@registered(
+    "l9_part_chains",
+    f"WITH RECURSIVE p AS (SELECT entry_id, CAST(parent_id AS BIGINT) AS parent_id FROM ({PARENTS})), c AS (SELECT entry_id, parent_id AS root_id, 1 AS depth FROM p UNION ALL SELECT c.entry_id, p.parent_id, depth + 1 FROM c JOIN p ON p.entry_id = c.root_id WHERE depth < 40) "
+    "SELECT p.entry_id, r.root_id, r.depth, r.entry_id IS NULL AS cycle FROM p LEFT JOIN (SELECT * FROM c WHERE root_id NOT IN (SELECT entry_id FROM p)) r USING (entry_id)",
+)
+def part_chains(spark, d):
+    return linking.part_chains(view(spark, d, PARENTS, "part").withColumn("parent_id", F.col("parent_id").cast("long")))
+
+
+LOOKED = """SELECT p_partkey AS work_id, CASE WHEN p_partkey % 17 <> 0 THEN p_brand END AS composer_name, 'Op' AS system, p_size AS number, '' AS suffix, CASE WHEN p_partkey % 3 = 0 THEN 1800 END AS year, p_partkey % 11 = 0 AS looked_up, p_partkey % 13 = 0 AS confirmed,
+  CAST(NULL AS VARCHAR(9)) AS match_note, CASE WHEN p_partkey % 5 = 0 THEN p_partkey END AS a_id, CASE WHEN p_partkey % 5 = 0 THEN 'known' END AS a_title, CAST(NULL AS BIGINT) AS b_id, CAST(NULL AS VARCHAR(9)) AS b_title FROM part"""
+COPIES = "SELECT p_partkey AS work_id, CASE WHEN p_partkey % 2 = 0 THEN 'accepted' ELSE 'pending' END AS review_state, CASE WHEN p_partkey % 7 = 0 THEN 'accept' ELSE 'review' END AS route FROM part"
+#: One entry a brand and number; the second service has every other number and no year.
+ENTRIES = "SELECT min(p_partkey) AS entry_id, concat('Work, Op. ', CAST(p_size AS VARCHAR(9)), ' (', p_brand, ')') AS title, CAST(NULL AS VARCHAR(9)) AS credits, 1 AS place, 1700 + p_size AS year FROM part WHERE p_size % 4 <> 1 GROUP BY p_size, p_brand"
+MORE_ENTRIES = "SELECT min(p_partkey) AS entry_id, concat('Op. ', CAST(p_size AS VARCHAR(9)), ' by ', p_brand) AS title, CAST(NULL AS VARCHAR(9)) AS credits, 1 AS place, CAST(NULL AS INTEGER) AS year FROM part WHERE p_size % 2 = 0 GROUP BY p_size, p_brand"
+
+
+def looked_up_sql(force: bool) -> str:
+    skip = "CASE " + ("" if force else "WHEN looked_up THEN 'already looked up' WHEN confirmed THEN 'confirmed by hand' ") + "WHEN composer_name IS NULL THEN 'no composer' WHEN work_id NOT IN (SELECT work_id FROM k WHERE review_state = 'accepted' OR route = 'accept') THEN 'no accepted copy yet' END"
+    gain = lambda s: "x.entry_id IS NOT NULL" if force and s == "x" else "x.entry_id IS NOT NULL AND a_id IS NULL" if s == "x" else "y.entry_id IS NOT NULL"
+    years = "coalesce(x.year, w.year)" if force else "coalesce(w.year, x.year)"
+    new_year = "x.year IS NOT NULL" + ("" if force else " AND w.year IS NULL")
+    return f"""WITH k AS ({COPIES}), w0 AS ({LOOKED}), w AS (SELECT *, {skip} AS skip FROM w0), x AS ({ENTRIES}), y AS ({MORE_ENTRIES}),
+j AS (SELECT w.work_id, skip, w.looked_up, CASE WHEN {gain('x')} THEN x.entry_id ELSE a_id END AS a_id, CASE WHEN {gain('x')} THEN x.title ELSE a_title END AS a_title, CASE WHEN {gain('y')} THEN y.entry_id ELSE b_id END AS b_id, {years} AS year,
+  concat_ws('; ', CASE WHEN x.entry_id IS NULL THEN 'not in a' END, CASE WHEN y.entry_id IS NULL THEN 'not in b' END) AS missed, concat_ws(', ', CASE WHEN {gain('x')} THEN 'a' END, CASE WHEN {gain('y')} THEN 'b' END, CASE WHEN {new_year} THEN 'year' END) AS changed, number
+  FROM w LEFT JOIN x ON skip IS NULL AND x.title = concat('Work, Op. ', number, ' (', composer_name, ')') LEFT JOIN y ON skip IS NULL AND y.title = concat('Op. ', number, ' by ', composer_name))
+SELECT work_id, a_id, a_title, b_id, year, looked_up OR skip IS NULL AS looked_up, CASE WHEN skip IS NOT NULL THEN skip WHEN changed <> '' THEN changed WHEN missed <> '' THEN missed ELSE concat('matched on Op. ', number) END AS message FROM j"""
+
+
+def looked_up(spark, d, force):
+    services = {"a": view(spark, d, ENTRIES, "part"), "b": view(spark, d, MORE_ENTRIES, "part")}
+    return linking.enrich(view(spark, d, LOOKED, "part"), view(spark, d, COPIES, "part"), services, force).select("work_id", "a_id", "a_title", "b_id", "year", "looked_up", "message")
+
+
+@registered("l5_enrichment", looked_up_sql(False))
+def enrichment(spark, d):
+    return looked_up(spark, d, False)
+
+
+@registered("l5_enrichment_forced", looked_up_sql(True))
+def enrichment_forced(spark, d):
+    return looked_up(spark, d, True)
+
+
+@registered("l6_entity_match", None)
+def entity_match(spark, d):
+    """Every name of a part with its second letter lost, matched to the names of parts; SQL has no such ratio, tests hold it against a plain version."""
+    p = read(spark, d, "part")
+    names = p.select(F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3))).alias("name"))
+    entities = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("place")).select(F.col("place").alias("entity_id"), "label", F.array(F.lit("person")).alias("kinds"), "place")
+    return linking.match_entities(names, entities, ["person"])
