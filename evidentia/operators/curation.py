@@ -161,8 +161,13 @@ def propose(stored: DataFrame, new: DataFrame, pieces: DataFrame) -> tuple[DataF
 
 def decide_folder(pieces: DataFrame, decisions: DataFrame, scope: str = "folder") -> DataFrame:
     """Decisions (piece_id, field, value, source, seq) on a piece made for all its pending siblings too; nothing is approved."""
-    spread = folder_siblings(pieces, scope).join(decisions, "piece_id").select(F.col("sibling_id").alias("piece_id"), "field", "value", "source", "seq")
-    both = decisions.select("piece_id", "field", "value", "source", "seq").unionByName(spread)
+    keyed = pieces.withColumn("key", folder(F.col("rel_path")) if scope == "folder" else F.col("file_id").cast("string"))
+    # decisions go to their folder first: siblings of pieces that nothing was decided on are never paired
+    cols = ["field", "value", "source", "seq"]
+    sent = decisions.join(keyed.select("piece_id", "key"), "piece_id").select("key", F.col("piece_id").alias("from_id"), *cols)
+    pending = keyed.where("review_state = 'pending'").select("key", "piece_id")
+    spread = sent.join(pending, "key").where("piece_id <> from_id").select("piece_id", *cols)
+    both = decisions.select("piece_id", *cols).unionByName(spread)
     # a piece that several decisions reach follows the last of them
     last = Window.partitionBy("piece_id", "field").orderBy(F.col("seq").desc(), "value")
     return both.withColumn("nth", F.row_number().over(last)).where("nth = 1").drop("nth")

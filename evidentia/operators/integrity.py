@@ -60,3 +60,21 @@ def report(findings: DataFrame, limit: int = 20) -> DataFrame:
     rest = more.select("check", F.lit(limit + 1).alias("nth"), F.lit("more").alias("subject"), (F.col("n") - limit).cast("string").alias("detail"))
     remedy = F.create_map(*[F.lit(x) for kv in REMEDY.items() for x in kv])
     return shown.unionByName(rest).withColumn("remedy", F.try_element_at(remedy, F.col("check")))
+
+
+def verify(files: DataFrame, inventory: DataFrame, pieces: DataFrame, works: DataFrame, removed: DataFrame, shown: DataFrame, accepted: DataFrame, limit: int = 20) -> DataFrame:
+    """All seven checks in one report: for each a row 0 with the number of rows it looked at, then its findings as in `report`.
+
+    files: file_id, path, managed_path, source_path, page_count.  inventory: path.  pieces: piece_id, file_id, work_id, page_start, page_end.  works:
+    work_id.  removed: file_id, page_start.  shown and accepted: piece_id, field, value.
+    """
+    findings = [missing_copies(files, inventory), shared_paths(files), unreadable(files, inventory, pieces), past_the_end(pieces, files), orphan_works(works, pieces), revenants(pieces, removed), hidden_decisions(shown, accepted)]
+    all_ = findings[0]
+    for more in findings[1:]:
+        all_ = all_.unionByName(more)
+    seen = [files.where("managed_path IS NOT NULL"), files, files, pieces, works, pieces, accepted]
+    counts = None
+    for check, rows in zip(REMEDY, seen, strict=True):
+        one = rows.agg(F.count("*").cast("string").alias("detail")).select(F.lit(check).alias("check"), F.lit(0).alias("nth"), F.lit("checked").alias("subject"), "detail", F.lit(None).cast("string").alias("remedy"))
+        counts = one if counts is None else counts.unionByName(one)
+    return counts.unionByName(report(all_, limit))

@@ -217,10 +217,15 @@ def unique_names(rows: DataFrame, column: str = "target", by: str = "file_id") -
 
 
 def filing_plan(files: DataFrame, pieces: DataFrame) -> DataFrame:
-    """file_id, target, action of every file (with managed_path and reviewed): a plan, nothing is moved."""
+    """file_id, target, size, action of every file (with managed_path and reviewed): a plan, nothing is moved.
+
+    claimed: another file's copy is at the target already, so this one's copy will need a name of its own beside it.
+    """
     planned = unique_names(target_paths(files, pieces))
-    both = files.select("file_id", "managed_path", "reviewed", "size").join(planned, "file_id")
-    action = F.when(~F.col("reviewed"), "unreviewed").when(F.col("managed_path").isNull(), "copy").when(F.col("managed_path") == F.col("target"), "unchanged").otherwise("refile")
+    held = files.where("managed_path IS NOT NULL").groupBy(F.col("managed_path").alias("target")).agg(F.min("file_id").alias("holder"), F.max("file_id").alias("other"))
+    both = files.select("file_id", "managed_path", "reviewed", "size").join(planned, "file_id").join(held, "target", "left")
+    claimed = F.coalesce((F.col("holder") != F.col("file_id")) | (F.col("other") != F.col("file_id")), F.lit(False))
+    action = F.when(~F.col("reviewed"), "unreviewed").when(F.col("managed_path").isNull() & claimed, "claimed").when(F.col("managed_path").isNull(), "copy").when(F.col("managed_path") == F.col("target"), "unchanged").otherwise("refile")
     return both.select("file_id", "target", "size", action.alias("action"))
 
 

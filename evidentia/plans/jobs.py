@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.functions import music
 from evidentia.functions.folding import fold_name
-from evidentia.operators import ledger, linking, paths
-from evidentia.operators.candidates import Sides, stem
+from evidentia.operators import corrections, integrity, ledger, linking, paths, resolve
+from evidentia.operators.candidates import Sides, stem, tidy
 from evidentia.operators.scan import scan
 from evidentia.plans.queries import EV, EVENTS, read, registered, view
 from evidentia.schema import SIGNALS
+from evidentia.sources import files as sources
 
 # --- coded paths
 
@@ -188,3 +190,126 @@ def entity_match(spark, d):
     names = p.select(F.concat(F.left("p_name", F.lit(1)), F.substr("p_name", F.lit(3))).alias("name"))
     entities = p.groupBy(F.col("p_name").alias("label")).agg(F.min("p_partkey").alias("place")).select(F.col("place").alias("entity_id"), "label", F.array(F.lit("person")).alias("kinds"), "place")
     return linking.match_entities(names, entities, ["person"])
+
+
+# --- checks, shelves, filing, export
+
+FILES = "SELECT p_partkey AS file_id, concat('p', CAST(p_partkey % 1990 AS VARCHAR(9))) AS path, CASE WHEN p_partkey % 2 = 0 THEN concat('m', CAST(p_partkey AS VARCHAR(9))) END AS managed_path, concat('s', CAST(p_partkey AS VARCHAR(9))) AS source_path, p_size AS page_count FROM part"
+KEPT = "SELECT managed_path AS path FROM f WHERE managed_path IS NOT NULL AND file_id % 6 <> 0 UNION ALL SELECT source_path FROM f WHERE file_id % 9 <> 0"
+CUT = "SELECT p_partkey AS piece_id, p_partkey AS file_id, (p_partkey - p_partkey % 2) / 2 AS work_id, 1 AS page_start, p_partkey % 60 AS page_end FROM part WHERE p_partkey % 8 <> 3"
+SHOWN = "SELECT p_partkey AS piece_id, 'title' AS field, p_name AS value FROM part"
+ACCEPTED = "SELECT p_partkey AS piece_id, 'title' AS field, CASE WHEN p_partkey % 10 = 0 THEN p_name ELSE 'another' END AS value FROM part WHERE p_partkey % 5 = 0"
+
+
+@registered(
+    "m8_all_checks",
+    f"""WITH f AS ({FILES}), i AS ({KEPT}), p AS ({CUT}), a AS ({ACCEPTED}), found AS (
+SELECT 'library copy missing' AS "check", CAST(file_id AS VARCHAR) AS subject, managed_path AS detail FROM f WHERE managed_path NOT IN (SELECT path FROM i)
+UNION ALL SELECT 'one file, several rows', path, CAST(count(*) AS VARCHAR) FROM f GROUP BY path HAVING count(*) > 1
+UNION ALL SELECT 'no readable copy', CAST(file_id AS VARCHAR), source_path FROM f WHERE coalesce(managed_path, '') NOT IN (SELECT path FROM i) AND source_path NOT IN (SELECT path FROM i) AND file_id IN (SELECT file_id FROM p)
+UNION ALL SELECT 'range past the end', CAST(piece_id AS VARCHAR), CAST(page_end AS VARCHAR) FROM p JOIN f USING (file_id) WHERE page_count > 0 AND page_end > page_count
+UNION ALL SELECT 'work without pieces', CAST(p_partkey AS VARCHAR), NULL FROM part WHERE p_partkey NOT IN (SELECT work_id FROM p)
+UNION ALL SELECT 'deleted entry is back', CAST(piece_id AS VARCHAR), '1' FROM p WHERE piece_id % 101 = 0
+UNION ALL SELECT 'decision not showing', CAST(piece_id AS VARCHAR), 'title' FROM a WHERE value = 'another')
+SELECT "check", CAST(nth AS INTEGER) AS nth, subject, detail FROM (SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY subject, detail) AS nth FROM found) WHERE nth <= 20
+UNION ALL SELECT "check", 21, 'more', CAST(count(*) - 20 AS VARCHAR) FROM found GROUP BY 1 HAVING count(*) > 20
+UNION ALL SELECT c, 0, 'checked', CAST(n AS VARCHAR) FROM (SELECT 'library copy missing' AS c, count(managed_path) AS n FROM f UNION ALL SELECT 'one file, several rows', count(*) FROM f UNION ALL SELECT 'no readable copy', count(*) FROM f UNION ALL SELECT 'range past the end', count(*) FROM p
+  UNION ALL SELECT 'work without pieces', count(*) FROM part UNION ALL SELECT 'deleted entry is back', count(*) FROM p UNION ALL SELECT 'decision not showing', count(*) FROM a)""",
+)
+def all_checks(spark, d):
+    f = view(spark, d, FILES, "part")
+    kept = f.where("managed_path IS NOT NULL AND file_id % 6 <> 0").select(F.col("managed_path").alias("path")).unionAll(f.where("file_id % 9 <> 0").select("source_path"))
+    p = view(spark, d, CUT, "part")
+    works = read(spark, d, "part").select(F.col("p_partkey").alias("work_id"))
+    removed = works.where("work_id % 101 = 0").select(F.col("work_id").alias("file_id"), F.lit(1).alias("page_start"))
+    return integrity.verify(f, kept, p, works, removed, view(spark, d, SHOWN, "part"), view(spark, d, ACCEPTED, "part")).select("check", "nth", "subject", "detail")
+
+
+@registered(
+    "e3_append_to_shelves",
+    "WITH i AS (SELECT o_custkey AS shelf_id, o_orderkey AS piece_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 2 AS position FROM orders WHERE o_orderstatus = 'F') SELECT shelf_id, piece_id, CAST(position AS INTEGER) AS position FROM i "
+    "UNION ALL SELECT o_custkey, o_orderkey, CAST(coalesce((SELECT max(position) FROM i WHERE shelf_id = o_custkey), 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) FROM orders WHERE o_orderstatus <> 'F'",
+)
+def append_to_shelves(spark, d):
+    """Shelves that hold items, with gaps, take all orders of their customer: those there already stay where they are."""
+    items = view(spark, d, "SELECT o_custkey AS shelf_id, o_orderkey AS piece_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 2 AS INTEGER) AS position FROM orders WHERE o_orderstatus = 'F'", "orders")
+    adds = read(spark, d, "orders").select(F.col("o_custkey").alias("shelf_id"), F.col("o_orderkey").alias("piece_id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("seq"))
+    return corrections.append_positions(items, adds)
+
+
+FILED = "SELECT p_partkey AS file_id, p_brand AS composer_name, concat(p_name, ' ', CAST(p_partkey AS VARCHAR(9))) AS title FROM part"
+
+
+@registered(
+    "l12_claimed_targets",
+    f"WITH f AS ({FILED}), t AS (SELECT file_id, concat(composer_name, '/', title, '/score.pdf') AS target FROM f), m AS (SELECT file_id, target, CASE file_id % 4 WHEN 0 THEN target WHEN 1 THEN coalesce((SELECT o.target FROM t o WHERE o.file_id = t.file_id + 1), 'old') END AS managed FROM t) "
+    "SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'unreviewed' WHEN file_id % 4 = 0 THEN 'unchanged' WHEN file_id % 4 = 1 THEN 'refile' WHEN target IN (SELECT managed FROM m WHERE managed IS NOT NULL) THEN 'claimed' ELSE 'copy' END AS action FROM m",
+)
+def claimed_targets(spark, d):
+    """Files whose copy lies at another file's target: that one is claimed."""
+    rows = view(spark, d, FILED, "part")
+    pieces = rows.select("file_id", F.col("file_id").alias("piece_id"), "composer_name", "title", F.lit(None).cast("string").alias("catalog_display"), F.lit("score").alias("edition"))
+    at = F.concat("composer_name", F.lit("/"), "title", F.lit("/score.pdf"))
+    after = rows.select((F.col("file_id") - 1).alias("file_id"), at.alias("next"))
+    f = rows.join(after, "file_id", "left").select(
+        "file_id", F.concat(F.lit("in/"), F.col("file_id").cast("string"), F.lit(".pdf")).alias("rel_path"), F.lit("all").alias("collection"), (F.col("file_id") % 5 != 0).alias("reviewed"), F.lit(1).alias("size"),
+        F.when(F.col("file_id") % 4 == 0, at).when(F.col("file_id") % 4 == 1, F.coalesce("next", F.lit("old"))).alias("managed_path"),
+    )
+    return linking.filing_plan(f, pieces).select("file_id", "action")
+
+
+@registered("a8_full_export", "SELECT p_partkey AS file_id, p_partkey AS piece_id, p_name AS value, 0.45 AS confidence, true AS conflict, 'a' AS sources, p_type || ' of parts' AS alternative, 'b' AS of_source FROM part")
+def full_export(spark, d):
+    """Two sources that disagree about a title: the export has the value, its sources, and the other value with its own."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("piece_id"), "p_name", "p_type")
+    said = F.explode(F.array(F.struct(F.col("p_name").alias("value"), F.lit("a").alias("source"), F.lit(0.7).alias("weight"), F.lit(0).cast("long").alias("seq")), F.struct(F.concat("p_type", F.lit(" of parts")).alias("value"), F.lit("b").alias("source"), F.lit(0.5).alias("weight"), F.lit(1).cast("long").alias("seq")))).alias("s")
+    fields = resolve.resolve_fields(p.select("piece_id", F.lit("title").alias("field"), said).select("piece_id", "field", "s.*"))
+    pieces = p.select("piece_id", F.col("piece_id").alias("file_id"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"))
+    out = sources.nested_export(pieces, fields).select("file_id", F.inline("pieces")).select("file_id", "piece_id", F.inline("fields"))
+    return out.select("file_id", "piece_id", "value", "confidence", "conflict", F.array_join("sources", ",").alias("sources"), F.col("alternatives")[0]["value"].alias("alternative"), F.array_join(F.col("alternatives")[0]["sources"], ",").alias("of_source"))
+
+
+# --- texts of several spellings
+
+
+@registered(
+    "h25_clean_strokes",
+    "SELECT l_orderkey, CAST(count(*) FILTER (l_tax * 4 - 0.05 > 0 AND l_tax * 4 - 0.05 <= 0.2) AS INTEGER) AS strokes, round(coalesce(sum(greatest(0, least(1, l_quantity / 25.0)) + greatest(0, least(1, l_discount * 20 - 0.3))) FILTER (l_tax * 4 - 0.05 > 0 AND l_tax * 4 - 0.05 <= 0.2), 0), 4) AS ink FROM lineitem GROUP BY 1",
+)
+def strokes(spark, d):
+    """Lines of an order as strokes, some beside the page, some too wide, each with half a point too many."""
+    r = read(spark, d, "lineitem")
+    num = lambda c: F.col(c).cast("double")
+    stroke = F.struct(F.lit("pen").alias("tool"), F.lit("red").alias("color"), (num("l_tax") * 4 - 0.05).alias("width"), F.array(F.array(num("l_quantity") / 25.0, num("l_discount") * 20 - 0.3), F.array(num("l_tax"))).alias("points"))
+    clean = r.groupBy("l_orderkey").agg(corrections.clean_strokes(F.collect_list(stroke)).alias("s"))
+    ink = F.aggregate(F.flatten(F.flatten(F.transform("s", lambda x: x["points"]))), F.lit(0.0), lambda a, x: a + x)
+    return clean.select("l_orderkey", F.size("s").alias("strokes"), F.round(ink, 4).alias("ink"))
+
+
+def spelled(name: str, cases: list[tuple[str, str | None]], make, sql_type: str = "VARCHAR") -> None:
+    """Registers a query over texts made of the names of parts in several spellings; cases: (text, result) as SQL with n for the name."""
+    pick = lambda i: "CASE " + " ".join(f"WHEN k % {len(cases)} = {n} THEN {c[i] if c[i] is not None else 'NULL'}" for n, c in enumerate(cases)) + " END"
+    source = "SELECT p_partkey AS k, p_size AS z, split_part(p_name, ' ', 1) AS n FROM part"
+    registered(name, f"SELECT k, CAST({pick(1)} AS {sql_type}) AS result FROM ({source})")(lambda spark, d: view(spark, d, f"SELECT k, {pick(0)} AS text FROM ({source})", "part").select("k", make(F.col("text")).alias("result")))
+
+
+def up(word: str) -> str:
+    return f"concat(upper(substring({word}, 1, 1)), lower(substring({word}, 2, 99)))"
+
+
+spelled("h4_keys", [
+    ("concat(n, ' in Eb major')", "'E-flat major'"), ("concat(n, ' in f-sharp Minor, no. ', CAST(z AS VARCHAR(9)))", "'F-sharp minor'"), ("concat('Trio (C# min) ', n)", "'C-sharp minor'"), ("concat(n, ' in Am')", None), ("concat('D dur: ', n)", "'D major'"),
+    ("concat(n, ' in B flat maj.')", "'B-flat major'"), ("concat(n, ' in G moll')", "'G minor'"), ("concat('nothing ', n, ' here')", None), ("concat(n, ' in Bbm')", "'B-flat minor'"),
+], music.key_of)
+spelled("h7_stem_numbers", [
+    ("concat('k', lpad(CAST(z AS VARCHAR(9)), 4, '0'))", "concat('K', ' ', z, ' stub')"), ("concat('bwv', CAST(z AS VARCHAR(9)), 'a')", "concat('BWV', ' ', z, ' stub')"), ("concat(n, '_op', CAST(z AS VARCHAR(9)))", "concat('Op', ' ', z, ' embedded')"),
+    ("concat('op', CAST(z AS VARCHAR(9)), '_', n)", "concat('Op', ' ', z, ' prefix')"), ("'plain'", None),
+], lambda c: music.let(music.catalog_of_stem(c), lambda k: F.when(k.isNotNull(), F.concat_ws(" ", k["system"], k["number"].cast("string"), k["kind"]))))
+spelled("h10_scorings", [("concat(n, ' for piano four hands')", "'piano four hands'"), ("concat('Works for 2 Pianos: ', n)", "'two pianos'"), ("concat(n, ' for two pianos, four hands')", None), ("n", None)], lambda c: music.scoring_of_heading(c)["scoring"])
+spelled("h13_tidied", [
+    ("concat('_', n, '_of_the_', n)", f"concat({up('n')}, ' of the ', {up('n')})"), ("upper(concat(n, ' the ', n, n))", f"concat(CASE WHEN length(n) <= 4 THEN upper(n) ELSE {up('n')} END, ' the ', {up('concat(n, n)')})"),
+    (f"concat({up('n')}, 'OfTheHeart')", f"concat({up('n')}, ' Of The Heart')"), ("concat('The ', n, ' - ')", "concat('The ', n)"),
+], tidy)
+spelled("h17_years", [
+    ("concat('18', lpad(CAST(z AS VARCHAR(9)), 2, '0'), '-13 in {{Ref|x}}')", "1800 + z"), ("concat('ca. 1844 [[', n, ']]')", "1844"), ("concat('<!-- 1700 -->', n)", None), ("concat('before ', n, ' of 20', lpad(CAST(z AS VARCHAR(9)), 2, '0'))", "CASE WHEN z < 30 THEN 2000 + z END"),
+], lambda c: music.composition_year(c)["year"], "INTEGER")

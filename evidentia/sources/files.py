@@ -58,10 +58,14 @@ def changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def nested_export(pieces: DataFrame, fields: DataFrame) -> DataFrame:
-    """file_id with its pieces, each with its resolved fields, ready for `write.json`."""
-    per_piece = fields.groupBy("piece_id").agg(F.array_sort(F.collect_list(F.struct("field", "value", "confidence", "conflict"))).alias("fields"))
+    """file_id with its pieces, each with its resolved fields, ready for `write.json`.
+
+    What there is of sources and alternatives of a field, and of confidence, notes and printed pages of a piece, is exported with them.
+    """
+    some = lambda df, *names: [c for c in names if c in df.columns]
+    per_piece = fields.groupBy("piece_id").agg(F.array_sort(F.collect_list(F.struct("field", "value", "confidence", "conflict", *some(fields, "sources", "alternatives")))).alias("fields"))
     joined = pieces.join(per_piece, "piece_id", "left")
-    return joined.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page_start", "page_end", "piece_id", "fields"))).alias("pieces"))
+    return joined.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page_start", "page_end", "piece_id", "fields", *some(pieces, "confidence", "notes", "printed_start", "printed_end")))).alias("pieces"))
 
 
 def authority_dump(spark: SparkSession, path: str) -> DataFrame:
