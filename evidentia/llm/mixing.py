@@ -71,7 +71,8 @@ def prefix(rows: DataFrame, quota: DataFrame, epochs: int, seed: int = SEED) ->
     """The rows (domain, lang, source, doc_id, tokens) that fill their leaf's `got`, one for each epoch they are read in.
 
     `start` is the number of tokens of the leaf before the row; rows with start < got are taken, the last may
-    reach over it.
+    reach over it.  Rows are ordered by a hash of epoch and id, then id and tokens: rows that repeat an id, and all without one, stand beside
+    each other.  Rows without tokens are taken where a row at their place would be.  An empty table, or a budget of 0, gives no rows.
     """
     keyed = None
     for epoch in range(epochs):
@@ -114,7 +115,10 @@ def leaf_weights(rows: DataFrame) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half of the corpus's tokens, shared out by weight; one row for each document and epoch taken."""
+    """Half of the corpus's tokens, shared out by weight; one row for each document and epoch taken.
+
+    Null languages and sources are leaves named none, null texts have no tokens; see `prefix` for null and repeated ids and empty tables.
+    """
     rows = stored(tree_rows(table(spark, sf_dir, "documents")), "tree")
     quota = stored(budgets(leaf_weights(rows), F.expr("sum(tokens) div 2"), EPOCHS), "quota")
     taken = prefix(rows, quota, EPOCHS)
@@ -126,7 +130,10 @@ STAGE_BUDGET, STAGE_EPOCHS = "CAST(sum(tokens) * 9 div 10 AS BIGINT)", 1
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, columns as given.  Rows repeating an id are taken together."""
+    """The documents that the mix takes, columns as given; other columns are carried along unread.  An empty table gives none.
+
+    Rows repeating an id, and all rows without one, are taken together, so they may pass the budget by their tokens.
+    """
     rows = stored(tree_rows(docs), "tree")
     quota = stored(budgets(leaf_weights(rows), F.expr(STAGE_BUDGET), STAGE_EPOCHS), "quota")
     taken = prefix(rows, quota, STAGE_EPOCHS).select("doc_id").distinct()

@@ -624,5 +624,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, part, n_tokens and ids of every document."""
+    """doc_id, part, n_tokens and ids of every document, as `tokenize` gives them: see there for null, empty and very long texts.
+
+    Rows that repeat an id are documents of their own; other columns are dropped; an empty table gives no rows.
+    """
     return tokenize(docs).select("doc_id", "part", F.size("ids").cast("long").alias("n_tokens"), "ids")

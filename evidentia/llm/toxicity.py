@@ -257,6 +257,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold, columns as given, one named `score` too; null and empty texts stay."""
+    """Documents that score below the threshold, columns as given, one named `score` too (but none may be named `__score`).
+
+    Null and empty texts stay; rows that repeat an id are judged row by row; an empty table gives no rows.
+    """
     machine = train(docs, table(spark, sf_dir, "labels"))
     return score(docs.withColumnRenamed("score", "__score"), machine).where(F.col("score") < THRESHOLD).drop("score").withColumnRenamed("__score", "score")

@@ -144,6 +144,10 @@ RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`judge` of every page by the stated rules; see there for null and odd URLs and empty tables.
+
+    Pages that repeat an id or a URL are judged row by row; of a very long URL all is read.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
