@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import music
 from evidentia.functions.folding import fold_name
 from evidentia.operators import corrections, integrity, ledger, linking, paths, resolve
-from evidentia.operators.candidates import Sides, stem, tidy
+from evidentia.operators.candidates import Sides, generic_adapter, stem, tidy
 from evidentia.operators.scan import scan
 from evidentia.plans.queries import EV, EVENTS, read, registered, view
 from evidentia.schema import SIGNALS
@@ -47,8 +47,10 @@ def coded_signals(spark, d):
     return signals_of(rows, F.lit(2), F.lit(3), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), F.lit(None))
 
 
-def signals_of(rows, collection, pages, docinfo, error):
-    given = {"collection_id": collection, "rel_path": F.col("rel_path"), "page_count": pages, "docinfo": docinfo, "error": error}
+def signals_of(rows, collection, pages, docinfo, error, outline=None):
+    """Rows with a path as signals; what isn't given is null."""
+    given = {} if outline is None else {"outline": outline}
+    given |= {"collection_id": collection, "rel_path": F.col("rel_path"), "page_count": pages, "docinfo": docinfo, "error": error}
     columns = [c.strip().split(" ", 1) for c in _fields(SIGNALS)]
     return rows.select("p_partkey", *[given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in columns])
 
@@ -120,6 +122,23 @@ def scan_job(spark, d):
     return pieces.unionByName(found.problems.select("file_key", none.alias("composer"), none.alias("title"), F.lit(None).cast("double").alias("confidence"), none.alias("route"), "reason"))
 
 
+BOOKS = "SELECT conv_id, turn, trim(substring(replace(text, chr(10), ' '), 1, 30)) AS entry, max(turn) OVER (PARTITION BY conv_id) AS pages FROM conversations WHERE turn >= 1"
+
+
+@registered(
+    "i4_outline_pieces",
+    f"WITH b AS (SELECT * FROM ({BOOKS}) WHERE length(entry) > 2), n AS (SELECT conv_id, count(*) AS n, max(pages) AS pages FROM b GROUP BY 1), cut AS (SELECT conv_id, turn AS page_start, entry FROM b JOIN n USING (conv_id) WHERE n >= 2 AND n.pages >= 4) "
+    "SELECT CONCAT('1/', conv_id, '.pdf') AS file_key, CAST(page_start AS INTEGER) AS page_start, CAST(greatest(coalesce(lead(page_start) OVER (PARTITION BY conv_id ORDER BY page_start) - 1, (SELECT pages FROM n WHERE n.conv_id = cut.conv_id)), page_start) AS INTEGER) AS page_end, md5(entry) AS title FROM cut",
+)
+def outline_pieces(spark, d):
+    """Conversations as books whose outline is the beginning of every turn: two entries and four pages or more make them several pieces."""
+    turns = view(spark, d, BOOKS, "conversations")
+    books = turns.groupBy("conv_id").agg(F.max("pages").cast("int").alias("page_count"), F.array_sort(F.collect_list(F.struct((F.col("turn") - 1).cast("int").alias("page_index"), F.col("entry").alias("title")))).alias("o"))
+    rows = books.select(F.col("conv_id").alias("p_partkey"), F.concat(F.col("conv_id").cast("string"), F.lit(".pdf")).alias("rel_path"), "page_count", F.transform("o", lambda x: F.struct(x["title"].alias("title"), x["page_index"].alias("page_index"), F.lit(0).alias("level"))).alias("outline"))
+    signals = signals_of(rows, F.lit(1), F.col("page_count"), F.lit(None), F.lit(None), F.col("outline")).drop("p_partkey")
+    return generic_adapter(signals).where("source = 'outline' AND field = 'title'").select("file_key", "page_start", "page_end", F.md5("value").alias("title"))
+
+
 # --- events, chains, look-ups
 
 
