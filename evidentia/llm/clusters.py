@@ -9,10 +9,13 @@ so for each pair of pivots
 
     |x - c| >= | |x - p| |c - q| - |x - q| |c - p| | / |p - q|
 
-The largest of these over all pairs is a lower bound.  It is rounded down by more than what floating point can have added.  The
+The largest of these over the fixed pairs is a lower bound.  It is rounded down by more than what floating point can have added.  The
 centroid of the least bound is tried first; only those whose bound does not exceed its exact distance can be nearer or equal, and
 they are checked in exact integers.
 
+A bound is tight where a pivot lies near the centroid.  So the pivots are where the centroids are bound to go: the same rounds run on a bounded sample
+of the vectors, which starts from the same centroids.  Each pivot is paired with the `PARTNERS` farthest others.
+
 Spark keeps the vectors in a stored table and passes over it once a round; a task hands on one partial sum a
 centroid and component, so what is shuffled and what the driver sees grows with centroids x components, never with the vectors.
 """
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, stored, table
 
 CENTROIDS, ROUNDS, SEED, DIMS, SCALE = 16, 3, 1, 64, 64
-#: Pivots, and the vectors they are chosen from: those of the least hashes.
-PIVOTS, SAMPLE = 6, 512
+#: Vectors that the pivots are fitted on, about, chosen by a hash; pivots that each pivot is paired with.
+SAMPLE, PARTNERS = 16384, 2
 #: Components stay below this, so that a squared distance of 64 components fits 63 bits.
 LARGEST = 1 << 27
 #: Relative slack of a product of two rounded distances, and of a bound beside a rounded distance.
@@ -62,21 +64,24 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([squared(x, p) for p in pivots], axis=1).astype(np.float64)) if len(pivots) else np.zeros((len(x), 0))
 
 
-def choose_pivots(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
-    """Distinct vectors far from each other: each is the one farthest from those before it."""
-    if not len(sample):
-        return sample
-    chosen, near = [0], squared(sample, sample[0])
-    while len(chosen) < most and near.max() > 0:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, squared(sample, sample[chosen[-1]]))
-    return sample[chosen]
+def choose_pivots(pivots: np.ndarray, sample: np.ndarray, rounds: int) -> np.ndarray:
+    """The distinct centroids of a sample after some rounds from given ones."""
+    for _ in range(rounds if len(sample) else 0):
+        at = np.stack([squared(sample, p) for p in pivots], axis=1).argmin(1)
+        pivots = np.stack([sample[at == n].sum(0) // max((at == n).sum(), 1) if (at == n).any() else p for n, p in enumerate(pivots)])
+    return np.unique(pivots, axis=0)
+
+
+def pivot_pairs(apart: np.ndarray) -> list[tuple[int, int]]:
+    """Each pivot with the farthest others."""
+    far = np.argsort(-apart, axis=1, kind="stable")[:, :PARTNERS]
+    return sorted({(min(i, j), max(i, j)) for i, row in enumerate(far.tolist()) for j in row if apart[i, j] > 0})
 
 
 def lower_bounds(near: np.ndarray, centroid_near: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Ptolemaic lower bounds (vectors x centroids), rounded down.  near, centroid_near, apart: distances to and among pivots."""
     best = np.zeros((len(near), len(centroid_near)))
-    for i, j in combinations(range(near.shape[1]), 2):
+    for i, j in pivot_pairs(apart):
         a, b = near[:, i, None] * centroid_near[None, :, j], near[:, j, None] * centroid_near[None, :, i]
         np.maximum(best, (np.abs(a - b) - 8 * ULP * (a + b)) / apart[i, j] * (1 - 8 * ULP), out=best)
     return best
@@ -107,6 +112,14 @@ def first_centroids(vectors: DataFrame, k: int, seed: int) -> list[list[int]]:
     return [r.v for r in hashed.orderBy(F.col("hash").asc_nulls_last(), "v").limit(k).select("v").collect()]
 
 
+def pivot_sample(vectors: DataFrame, most: int = SAMPLE) -> np.ndarray:
+    """All vectors if there are no more than `most`, else about so many, chosen by a hash where they are read: no task sends more than its share."""
+    share = min(1.0, most / max(vectors.count(), 1))
+    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(share * (1 << 30))
+    found = vectors.where(part).select("v").limit(2 * most).toArrow().column("v").combine_chunks()
+    return found.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(found), -1)
+
+
 def digest(centroid: np.ndarray) -> str:
     return hashlib.sha256(",".join(map(str, centroid.tolist())).encode()).hexdigest()
 
@@ -122,11 +135,11 @@ def cluster(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed:
     spark = vectors.sparkSession
     small_batches(spark)
     rows = stored(vectors.select("vec_id", "v"), "vectors")
-    sample = first_centroids(rows, max(k, SAMPLE), seed)
-    if not sample:
+    start = first_centroids(rows, k, seed)
+    if not start:
         return spark.createDataFrame([], "vec_id long, cluster int, distance long, checked int"), np.zeros((0, dims), np.int64)
-    sample = np.array(sample, dtype=np.int64).reshape(-1, dims)
-    centroids, pivots = sample[:k], choose_pivots(sample)
+    centroids = np.array(start, dtype=np.int64).reshape(-1, dims)
+    pivots = choose_pivots(centroids, pivot_sample(rows), rounds)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -68,7 +68,7 @@ def test_bounds_never_pass_the_distance():
     rng = np.random.default_rng(1)
     x = rng.integers(-(1 << 20), 1 << 20, (300, 64))
     x[:40] = x[40:80] + rng.integers(0, 2, (40, 64))  # very near ones
-    pivots = clusters.choose_pivots(x[:100])
+    pivots = clusters.choose_pivots(x[:8], x[:100], 2)
     bounds = clusters.lower_bounds(clusters.pivot_distances(x, pivots), clusters.pivot_distances(x[:60], pivots), clusters.pivot_distances(pivots, pivots))
     exact = np.stack([clusters.squared(x, c) for c in x[:60]], axis=1)
     assert (bounds**2 <= exact * (1 + 1e-12)).all() and bounds.max() > 0
