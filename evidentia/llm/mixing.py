@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import hot_join, stored, table, unused
 
 LEVELS = ["domain", "lang", "source"]
 BINS_HEX = 3  # hex digits of the order key that name a bin: 16 ** 3 bins
@@ -28,8 +28,8 @@ def n_tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def order_key(seed: int, epoch: Column, doc_id: Column, *more: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null")), *(F.col(c).cast("string") for c in more)))
 
 
 def share_out(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -67,27 +67,45 @@ def budgets(leaves: DataFrame, budget: Column, epochs: int) -> DataFrame:
     return share_out(ends, ["domain", "lang"]).select(*LEVELS, "tokens", "got")
 
 
-def prefix(rows: DataFrame, quota: DataFrame, epochs: int, seed: int = SEED) -> DataFrame:
-    """The rows (domain, lang, source, doc_id, tokens) that fill their leaf's `got`, one for each epoch they are read in.
+def places(rows: DataFrame, quota: DataFrame, epochs: int, seed: int = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """Places of rows that fill their leaf's `got`, for each epoch: domain, lang, source, epoch, doc_id, tokens, `n` and `take`.
 
-    `start` is the number of tokens of the leaf before the row; rows with start < got are taken, the last may
-    reach over it.  Rows are ordered by a hash of epoch and id, then id and tokens: rows that repeat an id, and all without one, stand beside
-    each other.  Rows without tokens are taken where a row at their place would be.  An empty table, or a budget of 0, gives no rows.
+    A place holds the `n` rows that are equal in leaf, doc_id, tokens and the columns `more`, so a million rows of one id or none weigh
+    as one; the leaf has `take` of them, at least 1.  With `start` the number of tokens of the leaf before a row, rows with start < got
+    are taken, the last may reach over it.  Places are ordered by a hash of epoch, id and `more`, then by id, tokens and `more`.  Rows without
+    tokens are taken where a row at their place would be.  An empty table, or a budget of 0, gives no rows.
     """
+    met = rows.groupBy(*LEVELS, "doc_id", "tokens", *more).agg(F.count("*").alias("n"))
     keyed = None
     for epoch in range(epochs):
         # an epoch is looked at only where the budget reaches it
         open_ = quota.where(F.col("got") > F.col("tokens") * epoch).select(*LEVELS, (F.col("got") - F.col("tokens") * epoch).alias("want"))
-        part = rows.join(open_, LEVELS).withColumn("epoch", F.lit(epoch)).withColumn("key", order_key(seed, F.lit(epoch), F.col("doc_id")))
+        part = met.join(open_, LEVELS).withColumn("epoch", F.lit(epoch)).withColumn("key", order_key(seed, F.lit(epoch), F.col("doc_id"), *more))
         keyed = part if keyed is None else keyed.unionByName(part)
     keyed = stored(keyed.withColumn("bin", F.substring("key", 1, BINS_HEX)), "mix")
     where = [*LEVELS, "epoch"]
-    bins = keyed.groupBy(*where, "bin", "want").agg(F.sum("tokens").alias("in_bin"))
+    bins = keyed.groupBy(*where, "bin", "want").agg(F.sum(F.col("tokens") * F.col("n")).alias("in_bin"))
     before = bins.withColumn("before", F.expr(f"sum(in_bin) OVER (PARTITION BY {', '.join(where)} ORDER BY bin) - in_bin")).where("before < want").select(*where, "bin", "in_bin", "before")
     found = keyed.join(before, [*where, "bin"])
-    inside = found.where("before + in_bin < want")
-    edge = found.where("before + in_bin >= want").withColumn("start", F.expr(f"before + sum(tokens) OVER (PARTITION BY {', '.join(where)}, bin ORDER BY key, doc_id, tokens) - tokens")).where("start < want").drop("start")
-    return inside.unionByName(edge).select(*where, "doc_id", "tokens")
+    inside = found.where("before + in_bin < want").withColumn("take", F.col("n"))
+    order = ", ".join(["key", "doc_id", "tokens", *more])
+    start = f"before + sum(tokens * n) OVER (PARTITION BY {', '.join(where)}, bin ORDER BY {order} ROWS UNBOUNDED PRECEDING) - tokens * n"
+    edge = found.where("before + in_bin >= want").withColumn("start", F.expr(start)).where("start < want")
+    edge = edge.withColumn("take", F.expr("CASE WHEN tokens = 0 THEN n ELSE least(n, (want - start + tokens - 1) div tokens) END")).drop("start")
+    return inside.unionByName(edge).select(*where, "doc_id", "tokens", *more, "n", "take")
+
+
+#: Copies of a place that are written out in one go.
+COPIES = 10_000
+
+
+def prefix(rows: DataFrame, quota: DataFrame, epochs: int, seed: int = SEED) -> DataFrame:
+    """The rows (domain, lang, source, doc_id, tokens) that fill their leaf's `got`, one for each epoch they are read in; see `places`."""
+    taken = stored(places(rows, quota, epochs, seed).drop("n"), "taken")
+    many = taken.where(F.col("take") > COPIES).withColumn("block", F.explode(F.expr(f"sequence(0L, (take - 1) div {COPIES})")))
+    many = many.withColumn("take", F.expr(f"least({COPIES}L, take - block * {COPIES})")).repartition("source", "doc_id", "tokens", "block").drop("block")
+    every = taken.where(F.col("take") <= COPIES).unionByName(many)
+    return every.withColumn("copy", F.explode(F.expr("sequence(1L, take)"))).select(*LEVELS, "epoch", "doc_id", "tokens")
 
 
 #: The weights of the query: what a domain, language or source is worth beside its siblings.
@@ -103,9 +121,9 @@ def _weights(names: str, weights: dict[str, int], other: int) -> Column:
     return F.expr("CASE " + " ".join(f"WHEN {names} = '{k}' THEN {v}L" for k, v in weights.items()) + f" ELSE {other}L END")
 
 
-def tree_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, tokens and the place in the tree of every row; null language and source are named `none`."""
-    placed = documents.select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), n_tokens(F.col("text")).alias("tokens"))
+def tree_rows(documents: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, tokens, the place in the tree and the columns `more` of every row; null language and source are named `none`."""
+    placed = documents.select(*more, "doc_id", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("source", F.lit("none")).alias("source"), n_tokens(F.col("text")).alias("tokens"))
     return placed.withColumn("domain", F.expr(DOMAIN_OF))
 
 
@@ -117,7 +135,7 @@ def leaf_weights(rows: DataFrame) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the corpus's tokens, shared out by weight; one row for each document and epoch taken.
 
-    Null languages and sources are leaves named none, null texts have no tokens; see `prefix` for null and repeated ids and empty tables.
+    Null languages and sources are leaves named none, null texts have no tokens; see `places` for null and repeated ids and empty tables.
     """
     rows = stored(tree_rows(table(spark, sf_dir, "documents")), "tree")
     quota = stored(budgets(leaf_weights(rows), F.expr("sum(tokens) div 2"), EPOCHS), "quota")
@@ -129,15 +147,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_BUDGET, STAGE_EPOCHS = "CAST(sum(tokens) * 9 div 10 AS BIGINT)", 1
 
 
+def first_rows(rows: DataFrame) -> DataFrame:
+    """`nr` of the first `take` rows of each place, where a place has more; `rows`: nr, place, body, take, with nr drawn per partition.
+
+    Rows are numbered inside the partition that drew their nr, and counts of partitions are summed, so no place is sorted in one task.
+    """
+    at = ["place", "body", "part"]
+    rows = rows.withColumn("part", F.shiftright("nr", 33))
+    counts = rows.groupBy(*at).agg(F.count("*").alias("m"))
+    counts = counts.withColumn("before", F.expr("sum(m) OVER (PARTITION BY place, body ORDER BY part) - m")).drop("m")
+    numbered = rows.withColumn("nth", F.expr("row_number() OVER (PARTITION BY place, body, part ORDER BY nr)"))
+    return numbered.join(counts, at).where("before + nth <= take").select("nr")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, columns as given; other columns are carried along unread.  An empty table gives none.
 
-    Rows repeating an id, and all rows without one, are taken together, so they may pass the budget by their tokens.
+    Rows are taken one by one, by a key of their own: of rows that repeat an id, and of rows without one, as many as fit, in the order of a hash
+    of id and text; of rows equal in id, text and leaf those that come first.  So a leaf passes its budget by less than one document.
     """
-    rows = stored(tree_rows(docs), "tree")
-    quota = stored(budgets(leaf_weights(rows), F.expr(STAGE_BUDGET), STAGE_EPOCHS), "quota")
-    taken = prefix(rows, quota, STAGE_EPOCHS).select("doc_id").distinct()
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"]), "left_semi").select(*docs.columns)
+    key = unused(docs, "key")
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    tree = tree_rows(rows, F.col(key).alias("nr"), F.xxhash64("text").alias("body"))
+    tree = stored(tree.withColumn("place", F.xxhash64(*LEVELS, "doc_id", "tokens")), "tree")
+    quota = stored(budgets(leaf_weights(tree), F.expr(STAGE_BUDGET), STAGE_EPOCHS), "quota")
+    taken = places(tree, quota, STAGE_EPOCHS, more=("body",)).withColumn("place", F.xxhash64(*LEVELS, "doc_id", "tokens"))
+    taken = stored(taken.select("place", "body", "n", "take"), "taken")
+    keys = tree.select("nr", "place", "body")
+    whole = hot_join(keys, taken.where("take = n").drop("take"), ["place", "body"], how="left_semi").select("nr")
+    some = first_rows(hot_join(keys, taken.where("take < n"), ["place", "body"]).select("nr", "place", "body", "take"))
+    keep = whole.unionByName(some).withColumnRenamed("nr", key)
+    return rows.join(keep, key, "left_semi").select(*docs.columns)
 
 
 SQL = """

@@ -694,3 +694,26 @@ def test_prefix_and_edges(spark, docs):
     out = mixing.stage(spark, clash, "")
     assert out.columns == clash.columns and 0 < out.count() <= docs.count()
     assert mixing.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_mixing_takes_rows_not_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    # one id holds a third of the rows, as many have none; texts repeat too
+    rows = [(5, "en", "src1", "a b c") for _ in range(400)] + [(None, "en", "src1", "w " * (i % 9)) for i in range(400)] + [(100 + i, "en", "src1", f"x{i} y") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").repartition(5).withColumns({"key": F.lit(1), "NR": F.lit(2), "place": F.lit("clash")})
+    total = sum(len((r[3] or "").split()) for r in rows)
+    out = mixing.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    took = sum(len(r.text.split()) for r in out.collect())
+    assert total * 9 // 10 <= took < total * 9 // 10 + 9
+    tree = mixing.tree_rows(docs)
+    quota = mixing.budgets(mixing.leaf_weights(tree), F.expr("sum(tokens) div 2"), 2)
+    got = Counter((r.epoch, r.doc_id, r.tokens) for r in mixing.prefix(tree, quota, 2).collect())
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"17:0:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] or 0, len(r[3].split())))
+    want, start = Counter(), 0
+    for r in order:
+        n = len(r[3].split())
+        if start < total // 2:
+            want[0, r[0], n] += 1
+        start += n
+    assert got == want
