@@ -22,6 +22,7 @@ filling an annulus.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ CUTS, MOST_CUTS = 64, 1024
 RING, FIRST = 2048, 3
 #: Rows and queries multiplied at once.
 BLOCK, ASKED = 4096, 4096
+#: Bounds of (query, annulus) worked out at once.
+BOUNDS = 1 << 21
 #: Relative slack of distances computed in floating point, so that rounding never hides a vector.
 SLACK = 1e-9
 
@@ -138,32 +141,42 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     blocks = blocks.withColumn("block", F.xxhash64("pivot", "ring", "part"))
 
     asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    asked = stored(asked.withColumn("asker", F.monotonically_increasing_id()), "asked")
-
-    def annuli(first: bool):
-        @F.pandas_udf("array<struct<pivot:int,ring:int,part:int>>")
-        def chosen(q: pd.Series, worst: pd.Series) -> pd.Series:
-            pivots, most = model.value
-            at = ring_table.value
-            qs = np.stack(q.to_numpy()).astype(np.float64)
+    asked = asked.withColumn("asker", F.monotonically_increasing_id())
+
+    def bounds(q: pd.Series) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query: its number, itself, and the least distance at which each annulus can hold a vector."""
+        pivots, at = model.value[0], ring_table.value
+        rings_of, lo, hi = (at[c].to_numpy() for c in ("pivot", "lo", "hi"))
+        step = max(1, BOUNDS // len(at))
+        for begin in range(0, len(q), step):
+            qs = np.stack(q.iloc[begin : begin + step].to_numpy()).astype(np.float64)
             # the query's own coordinate beyond the vector is 0: inner products stay those of the vectors
-            lifted = np.concatenate([qs, np.zeros((len(qs), 1))], axis=1)
-            d = distances(lifted, pivots)[:, at["pivot"].to_numpy()]
-            bound = np.maximum(np.maximum(d - at["hi"].to_numpy(), at["lo"].to_numpy() - d), 0)
-            order = np.argsort(bound, axis=1, kind="stable")[:, :FIRST]
-            out = []
-            for i in range(len(qs)):
-                if first:
-                    take = order[i]
-                else:
-                    # squared distance of the k-th best so far; annuli read before are skipped
-                    far = np.inf if np.isnan(worst.iloc[i]) else np.sqrt(max((qs[i] ** 2).sum() + most - 2 * worst.iloc[i], 0))
-                    scale = 1 + np.sqrt((qs[i] ** 2).sum() + most)
-                    take = np.setdiff1d(np.flatnonzero(bound[i] <= far + SLACK * scale + 1e-6), order[i])
-                out.append([{"pivot": int(at["pivot"][j]), "ring": int(at["ring"][j]), "part": p} for j in take for p in range(int(at["parts"][j]))])
-            return pd.Series(out)
-
-        return chosen
+            d = distances(np.concatenate([qs, np.zeros((len(qs), 1))], axis=1), pivots)[:, rings_of]
+            for i, least in enumerate(np.maximum(np.maximum(d - hi, lo - d), 0)):
+                yield begin + i, qs[i], least
+
+    @F.pandas_udf("array<int>")
+    def nearest(q: pd.Series) -> pd.Series:
+        return pd.Series([np.argpartition(least, FIRST - 1)[:FIRST].tolist() if len(least) > FIRST else list(range(len(least))) for _, _, least in bounds(q)])
+
+    @F.pandas_udf("array<int>")
+    def further(q: pd.Series, worst: pd.Series, near: pd.Series) -> pd.Series:
+        most, out = model.value[1], []
+        for i, vector, least in bounds(q):
+            # squared distance of the k-th best so far; annuli read before are skipped
+            score, norm = worst.iloc[i], (vector**2).sum()
+            far = np.inf if np.isnan(score) else np.sqrt(max(norm + most - 2 * score, 0))
+            out.append(np.setdiff1d(np.flatnonzero(least <= far + SLACK * (1 + np.sqrt(norm + most)) + 1e-6), near.iloc[i]).tolist())
+        return pd.Series(out)
+
+    @F.pandas_udf("array<struct<pivot:int,ring:int,part:int>>")
+    def blocks_of(annuli: pd.Series) -> pd.Series:
+        at = ring_table.value
+        pivot, ring, parts = (at[c].tolist() for c in ("pivot", "ring", "parts"))
+        return pd.Series([[{"pivot": pivot[j], "ring": ring[j], "part": p} for j in js for p in range(parts[j])] for js in annuli])
+
+    # stored, so that what is skipped later is what was read
+    asked = stored(asked.withColumn("near", nearest("q")), "asked")
 
     def multiply(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -180,9 +193,9 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
                     found.append(pd.DataFrame({"asker": asker, "query_id": qid, "vec_id": others[order], "score": row[order]}))
         return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("asker", "query_id", "vec_id", "score")})
 
-    def visit(queries: DataFrame, first: bool) -> DataFrame:
+    def visit(queries: DataFrame, annuli: str) -> DataFrame:
         # the asker goes into the exploded structs: beside the explode of a UDF's result, 4.1.2 loses columns
-        to = F.transform(annuli(first)("q", "worst"), lambda t: F.struct(F.col("asker").alias("asker"), F.xxhash64(t["pivot"], t["ring"], t["part"]).alias("block")))
+        to = F.transform(blocks_of(annuli), lambda t: F.struct(F.col("asker").alias("asker"), F.xxhash64(t["pivot"], t["ring"], t["part"]).alias("block")))
         visits = stored(queries.select(F.explode(to).alias("to")).select("to.asker", "to.block"), "visits")
         busy = visits.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > ASKED).withColumn("copies", F.ceil(F.col("n") / ASKED).cast("int"))
         busy = stored(busy, "busy")
@@ -194,10 +207,10 @@ def search(rows: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         copied = copied.withColumn("lot", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
         return sent.groupBy("block", "lot").cogroup(copied.groupBy("block", "lot")).applyInPandas(multiply, schema)
 
-    started = stored(_best(visit(asked.withColumn("worst", F.lit(None).cast("double")), True), k, "asker").drop("rank"), "first")
+    started = stored(_best(visit(asked, "near"), k, "asker").drop("rank"), "first")
     reached = started.groupBy("asker").agg(F.min("score").alias("least"), F.count("*").alias("n"))
     bounded = asked.join(reached, "asker", "left").withColumn("worst", F.when(F.col("n") >= k, F.col("least").cast("double")))
-    rest = visit(bounded.select("asker", "query_id", "q", "worst"), False)
+    rest = visit(bounded.withColumn("far", further("q", "worst", "near")), "far")
     best = _best(started.unionByName(rest), k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
