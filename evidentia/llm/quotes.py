@@ -16,10 +16,15 @@ quotes it.  No conversation is gathered in one task: the message before, and the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, hot_join, stored, table
+from .common import LOWER, UPPER, hot_join, small_batches, stored, table
 from .sketches import bound
 
 MARKS = r"^\s*((?:>\s?)+)"
@@ -70,22 +75,69 @@ def following(rows: DataFrame, group: list[str], column: str, name: str) -> Data
     return inside.join(starts, [*group, "range_"]).withColumn(name, F.coalesce("inside", "over")).drop("range_", "inside", "over")
 
 
+#: Window hashes are sums of word hashes times powers of a base, to three prime moduli of 31 bits: 93 bits in all.
+PRIMES = (2**31 - 1, 2**31 - 19, 2**31 - 61)
+BASES = (1_103_515_245, 1_664_525_017, 1_442_695_041)
+
+
+def _powers(base: int, n: int, prime: int) -> np.ndarray:
+    found = np.ones(1, dtype=np.int64)
+    while len(found) < n:
+        found = np.concatenate([found, found * pow(base, len(found), prime) % prime])
+    return found[:n]
+
+
+def window_keys(words: list[str], lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length that `words` have: (hash, check) of every window of so many words, in time that doesn't grow with the length."""
+    raw = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    sums, backs = [], []
+    for prime, base in zip(PRIMES, BASES, strict=True):
+        terms = (raw % np.uint64(prime)).astype(np.int64) * _powers(base, len(words), prime) % prime
+        sums.append(np.concatenate([[0], np.cumsum(terms)]))
+        backs.append(_powers(pow(base, -1, prime), len(words), prime))
+    for k in sorted(lengths):
+        if k <= len(words):
+            at = [(total[k:] - total[:-k]) % prime * back[: len(words) - k + 1] % prime for total, back, prime in zip(sums, backs, PRIMES, strict=True)]
+            yield (at[0] << 32) | at[1], at[2].astype(np.int32)
+
+
+def _passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, hashes, checks = [], [], []
+        for norm in batch.column("norm").to_pylist():
+            split = norm.split(" ")
+            hash_, check = next(window_keys(split, [len(split)]))
+            words.append(len(split))
+            hashes.append(hash_[0])
+            checks.append(check[0])
+        kept = ["conv_id", "turn", "nr", "level"]
+        arrays = [*(batch.column(c) for c in kept), pa.array(words, pa.int32()), pa.array(hashes, pa.int64()), pa.array(checks, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "words", "hash", "check"])
+
+
+def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, (said, lengths) in enumerate(zip(batch.column("said").to_pylist(), batch.column("lengths").to_pylist(), strict=True)):
+            for hash_, check in window_keys(said.split(" "), lengths):
+                same = pa.array(np.full(len(hash_), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in KEY), pa.array(hash_), pa.array(check)], names=[*KEY, "hash", "check"])
+
+
 def quoted_sources(messages: DataFrame) -> DataFrame:
     """conv_id, turn, nr, level and source (the turn that said it, or null) of every quoted passage that isn't blank."""
     cut = messages.select(*KEY, passages(F.col("text")).alias("ps"))
     all_ = cut.select(*KEY, F.posexplode("ps").alias("nr", "p")).where("p.level > 0 AND p.norm <> ''")
-    hashed = [F.xxhash64("norm").alias("hash"), F.hash("norm").alias("check")]
     quoted = all_.select(*KEY, "nr", F.col("p.level").alias("level"), F.col("p.norm").alias("norm"))
-    quoted = stored(quoted.select(*KEY, "nr", "level", F.size(F.split("norm", " ")).alias("words"), *hashed), "quoted")
+    types = ", ".join(f"{c} {messages.schema[c].dataType.simpleString()}" for c in KEY)
+    small_batches(messages.sparkSession)
+    quoted = stored(quoted.mapInArrow(_passage_keys, f"{types}, nr int, level int, words int, hash long, check int"), "quoted")
     lengths = quoted.groupBy("conv_id").agg(F.collect_set("words").alias("lengths"))
     wanted = stored(messages.groupBy("conv_id").agg(F.count("*").alias("n")).join(lengths, "conv_id"), "lengths")
     own = F.array_join(F.transform(F.filter("ps", lambda p: p["level"] == 0), lambda p: p["norm"]), " ")
-    words = cut.select(*KEY, F.split(normal(own), " ").alias("said"))
-    windows = hot_join(words, wanted, ["conv_id"]).select(*KEY, "said", F.explode("lengths").alias("words")).where("size(said) >= words")
-    starts = F.sequence(F.lit(1), F.size("said") - F.col("words") + 1)
-    windows = windows.select(*KEY, F.explode(F.transform(starts, lambda i: F.array_join(F.slice("said", i, F.col("words")), " "))).alias("norm"))
+    words = cut.select(*KEY, normal(own).alias("said"))
+    windows = hot_join(words, wanted, ["conv_id"]).select(*KEY, "said", "lengths").mapInArrow(_window_keys, f"{types}, hash long, check int")
     asked = quoted.select("conv_id", "hash", "check").distinct()
-    said = windows.select(*KEY, *hashed).join(asked, ["conv_id", "hash", "check"], "left_semi").distinct()
+    said = windows.join(asked, ["conv_id", "hash", "check"], "left_semi").distinct()
     marked = quoted.withColumn("said", F.lit(None).cast("long")).drop("words").unionByName(
         said.withColumns({"nr": F.lit(-1), "level": F.lit(0), "said": F.col("turn").cast("long")})
     )
@@ -171,15 +223,22 @@ def quoting(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", "turn", "role", F.concat_ws("\n", level3, level2, level1, "text").alias("text"))
 
 
+def quotation_links_as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`link` over the whole table as it stands, whatever it quotes; see there for nulls, repeats and empty tables."""
+    return link(table(spark, sf_dir, "conversations"))
+
+
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`link` over the whole table after `quoting`; see both for nulls, repeats and empty tables."""
     return link(quoting(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
 
 
-SQL = r"""
+_SAID = r"""
 WITH RECURSIVE said0 AS (
   SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
-), ends_ AS (SELECT conv_id, turn, string_split(text, chr(10))[1] AS head, string_split(text, chr(10))[-1] AS tail FROM said0),
+), """
+_MADE = r"""
+ends_ AS (SELECT conv_id, turn, string_split(text, chr(10))[1] AS head, string_split(text, chr(10))[-1] AS tail FROM said0),
 q0 AS (SELECT *, CASE WHEN turn > 0 AND (conv_id + turn) % 4 <> 0 THEN (5 * conv_id + 3 * turn) % turn END AS q FROM conversations),
 q1 AS (SELECT *, CASE WHEN q > 0 THEN (conv_id + turn) % q END AS r FROM q0),
 q2 AS (SELECT *, CASE WHEN r > 0 THEN r - 1 END AS s FROM q1),
@@ -187,7 +246,9 @@ m AS (
   SELECT q2.conv_id, q2.turn, role, concat_ws(chr(10), '> > >' || c.head, '>> ' || b.tail,
     CASE WHEN (q2.conv_id + q2.turn) % 4 = 1 THEN '> ' || reverse(a.head) ELSE '> ' || array_to_string(w[1:len(w) // 2], ' ') || chr(10) || '>  ' || translate(array_to_string(w[len(w) // 2 + 1:], '  '), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END, text) AS text
   FROM q2 LEFT JOIN (SELECT *, string_split(head, ' ') AS w FROM ends_) a ON a.conv_id = q2.conv_id AND a.turn = q LEFT JOIN ends_ b ON b.conv_id = q2.conv_id AND b.turn = r LEFT JOIN ends_ c ON c.conv_id = q2.conv_id AND c.turn = s
-), ln AS (
+), """
+_LINKED = r"""
+ln AS (
   SELECT conv_id, turn, unnest(range(1, len(parts) + 1)) AS nr, unnest(parts) AS line FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS parts FROM m)
 ), lv AS (
   SELECT *, length(regexp_extract(line, '^\s*((?:>\s?)+)', 1)) - length(replace(regexp_extract(line, '^\s*((?:>\s?)+)', 1), '>', '')) AS level, regexp_replace(line, '^\s*((?:>\s?)+)', '') AS bare FROM ln
@@ -208,3 +269,5 @@ SELECT m.conv_id, m.turn, m.role,
   t.reply_to, t.source IS NOT NULL AS linked, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_found, 0) AS n_found, CAST(coalesce(max_level, 0) AS INTEGER) AS max_level, CAST(coalesce(place, 1) AS INTEGER) AS place
 FROM m LEFT JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn LEFT JOIN counts c ON c.conv_id = m.conv_id AND c.turn = m.turn LEFT JOIN placed z ON z.conv_id = m.conv_id AND z.turn = m.turn
 """
+SQL = _SAID + _MADE + _LINKED
+SQL_AS_GIVEN = _SAID + "m AS (SELECT conv_id, turn, role, text FROM conversations), " + _LINKED

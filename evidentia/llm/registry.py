@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op6_url_filters": urls.op6_url_filters,
         "op7_lm_scoring": contexts.op7_lm_scoring,
         "op8_quotation_linking": quotes.op8_quotation_linking,
+        "quotation_links_as_given": quotes.quotation_links_as_given,
         "op9_sentencepiece": pieces.op9_sentencepiece,
         "op10_mixing": mixing.op10_mixing,
         "op11_byte_bpe": bytepairs.op11_byte_bpe,
@@ -30,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op8_quotation_linking": quotes.SQL, "op10_mixing": mixing.SQL, "op12_centroid_clustering": clusters.SQL, "op13_hard_negatives": negatives.SQL}
+    return {"op5_topk": topk.SQL, "op6_url_filters": urls.SQL, "op8_quotation_linking": quotes.SQL, "quotation_links_as_given": quotes.SQL_AS_GIVEN, "op10_mixing": mixing.SQL, "op12_centroid_clustering": clusters.SQL, "op13_hard_negatives": negatives.SQL}

@@ -717,3 +717,25 @@ def test_mixing_takes_rows_not_ids(spark, monkeypatch):
             want[0, r[0], n] += 1
         start += n
     assert got == want
+
+
+# --- window keys of quotations
+
+
+def test_window_keys_tell_windows_apart():
+    rng = random.Random(3)
+    words = [rng.choice("abc") for _ in range(300)]
+    seen = {}
+    for k, (hashes, checks) in zip((1, 2, 5, 300), quotes.window_keys(words, [300, 5, 2, 1, 301]), strict=True):
+        assert len(hashes) == 301 - k
+        for i, key in enumerate(zip(hashes.tolist(), checks.tolist(), strict=True)):
+            assert seen.setdefault(key, words[i : i + k]) == words[i : i + k]
+    assert len(seen) == sum(len({tuple(words[i : i + k]) for i in range(301 - k)}) for k in (1, 2, 5, 300))
+
+
+def test_long_quotation_is_found(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(9)}" for _ in range(20_000)]
+    rows = [(1, 0, "user", " ".join(words)), (1, 1, "user", "no"), (1, 2, "user", "> " + " ".join(words[5000:15_000]) + "\n>> " + " ".join([*words[:9000], "x"])), (1, 3, "user", "> NO\nyes")]
+    got = {r.turn: (r.reply_to, r.n_quoted, r.n_found) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, 0), 1: (0, 0, 0), 2: (0, 2, 1), 3: (1, 1, 1)}
