@@ -115,12 +115,21 @@ def _passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "words", "hash", "check"])
 
 
+#: Words of 64 bits that tell, for a conversation, which window hashes may be asked for; what passes is joined exactly.
+SLOTS = 256
+
+
 def _window_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, (said, lengths) in enumerate(zip(batch.column("said").to_pylist(), batch.column("lengths").to_pylist(), strict=True)):
+        columns = (batch.column(c).to_pylist() for c in ("said", "lengths", "slots", "bits"))
+        for i, (said, lengths, slots, bits) in enumerate(zip(*columns, strict=True)):
+            asked = np.zeros(SLOTS, dtype=np.uint64)
+            asked[slots] = np.array(bits, dtype=np.int64).view(np.uint64)
             for hash_, check in window_keys(said.split(" "), lengths):
-                same = pa.array(np.full(len(hash_), i))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in KEY), pa.array(hash_), pa.array(check)], names=[*KEY, "hash", "check"])
+                may = np.flatnonzero((asked[hash_ % SLOTS] >> (hash_ // SLOTS % 64).astype(np.uint64)) & np.uint64(1))
+                if len(may):
+                    same = pa.array(np.full(len(may), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in KEY), pa.array(hash_[may]), pa.array(check[may])], names=[*KEY, "hash", "check"])
 
 
 def quoted_sources(messages: DataFrame) -> DataFrame:
@@ -132,10 +141,15 @@ def quoted_sources(messages: DataFrame) -> DataFrame:
     small_batches(messages.sparkSession)
     quoted = stored(quoted.mapInArrow(_passage_keys, f"{types}, nr int, level int, words int, hash long, check int"), "quoted")
     lengths = quoted.groupBy("conv_id").agg(F.collect_set("words").alias("lengths"))
-    wanted = stored(messages.groupBy("conv_id").agg(F.count("*").alias("n")).join(lengths, "conv_id"), "lengths")
+    # a map of SLOTS x 64 bits of what a conversation asks for, so that windows that nobody quotes are not shuffled
+    bit = F.expr(f"shiftleft(1L, CAST(pmod(hash div {SLOTS}, 64) AS INT))")
+    slots = quoted.groupBy("conv_id", F.pmod("hash", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.bit_or(bit).alias("bits"))
+    asked_bits = slots.groupBy("conv_id").agg(F.collect_list("slot").alias("slots"), F.collect_list("bits").alias("bits"))
+    wanted = messages.groupBy("conv_id").agg(F.count("*").alias("n")).join(lengths, "conv_id").join(asked_bits, "conv_id")
+    wanted = stored(wanted, "lengths")
     own = F.array_join(F.transform(F.filter("ps", lambda p: p["level"] == 0), lambda p: p["norm"]), " ")
     words = cut.select(*KEY, normal(own).alias("said"))
-    windows = hot_join(words, wanted, ["conv_id"]).select(*KEY, "said", "lengths").mapInArrow(_window_keys, f"{types}, hash long, check int")
+    windows = hot_join(words, wanted, ["conv_id"]).select(*KEY, "said", "lengths", "slots", "bits").mapInArrow(_window_keys, f"{types}, hash long, check int")
     asked = quoted.select("conv_id", "hash", "check").distinct()
     said = windows.join(asked, ["conv_id", "hash", "check"], "left_semi").distinct()
     marked = quoted.withColumn("said", F.lit(None).cast("long")).drop("words").unionByName(
