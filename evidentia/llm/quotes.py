@@ -224,11 +224,15 @@ def quoting(messages: DataFrame) -> DataFrame:
     """
     said = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy(*KEY).agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     lines = F.split("text", "\n")
-    of = lambda n: said.select("conv_id", F.col("turn").alias(n), F.get(lines, F.lit(0)).alias(f"first_{n}"), F.element_at(lines, -1).alias(f"last_{n}"))
-    rows = messages.withColumn("q", F.expr("CASE WHEN turn > 0 AND (conv_id + turn) % 4 <> 0 THEN (5 * conv_id + 3 * turn) % turn END"))
-    rows = rows.withColumn("r", F.expr("CASE WHEN q > 0 THEN (conv_id + turn) % q END")).withColumn("s", F.expr("CASE WHEN r > 0 THEN r - 1 END"))
-    for n in ("q", "r", "s"):
-        rows = rows.join(of(n), ["conv_id", n], "left")
+    ends = said.select("conv_id", F.col("turn").alias("asked"), F.get(lines, F.lit(0)).alias("head"), F.element_at(lines, -1).alias("tail"))
+    # only what a message asks for travels to it: keys go out, single lines come back, and whole texts meet them once
+    asks = said.select(*KEY).withColumn("q", F.expr("CASE WHEN turn > 0 AND (conv_id + turn) % 4 <> 0 THEN (5 * conv_id + 3 * turn) % turn END"))
+    asks = asks.withColumn("r", F.expr("CASE WHEN q > 0 THEN (conv_id + turn) % q END")).withColumn("s", F.expr("CASE WHEN r > 0 THEN r - 1 END"))
+    asks = asks.select(*KEY, F.expr("stack(3, 1, q, 2, r, 3, s) AS (level, asked)")).where("asked IS NOT NULL")
+    line = F.when(F.col("level") == 2, F.col("tail")).otherwise(F.col("head"))
+    got = asks.join(ends, ["conv_id", "asked"]).select(*KEY, "level", line.alias("line")).groupBy(*KEY)
+    got = got.agg(*[F.max(F.when(F.col("level") == k, F.col("line"))).alias(name) for k, name in ((1, "first_q"), (2, "last_r"), (3, "first_s"))])
+    rows = messages.join(got, KEY, "left")
     words = F.split("first_q", " ")
     half = F.expr("size(split(first_q, ' ')) div 2")
     wide = F.translate(F.array_join(F.slice(words, half + 1, F.size(words)), "  "), LOWER, UPPER)
@@ -244,7 +248,7 @@ def quotation_links_as_given(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`link` over the whole table after `quoting`; see both for nulls, repeats and empty tables."""
-    return link(quoting(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    return link(stored(quoting(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), "quoting"))
 
 
 _SAID = r"""
