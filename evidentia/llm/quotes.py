@@ -16,7 +16,8 @@ quotes it.  No conversation is gathered in one task: the message before, and the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -164,24 +165,39 @@ def reply_order(tree: DataFrame) -> DataFrame:
     """conv_id, turn, place of a forest (conv_id, turn, parent): each message before its answers, those by turn, each with all below it.
 
     The message after one is its first answer, else the next answer to the nearest message above that has one more.
-    Both, and the number of messages after each, are found by pointer jumping.
+    Both, and the number of messages after each, are found by pointer jumping: round k reaches 2 ** k messages far, so
+    a conversation takes part in as many rounds as its own size asks for, whatever the size of the largest.
     """
-    roots = tree.where("parent IS NULL").select(*KEY, "parent")
-    siblings = following(tree.where("parent IS NOT NULL"), ["conv_id", "parent"], "turn", "sibling")
+    sizes = stored(tree.groupBy("conv_id").agg(F.count("*").alias("n")), "sizes")
+    sized = hot_join(tree.select(*KEY, "parent"), sizes, ["conv_id"])
+    roots = sized.where("parent IS NULL")
+    siblings = following(sized.where("parent IS NOT NULL"), ["conv_id", "parent"], "turn", "sibling")
     siblings = siblings.unionByName(following(roots, ["conv_id"], "turn", "sibling"))
     firsts = tree.where("parent IS NOT NULL").groupBy("conv_id", F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
-    ways = stored(siblings.select(*KEY, F.col("sibling").alias("leave"), F.when(F.col("sibling").isNull(), F.col("parent")).alias("up")), "ways")
-    while ways.where("up IS NOT NULL").take(1):
+
+    def climbed(ways: DataFrame) -> DataFrame:
         above = ways.select("conv_id", F.col("turn").alias("up"), F.col("leave").alias("up_leave"), F.col("up").alias("up_up"))
         joined = ways.join(above, ["conv_id", "up"], "left")
-        ways = stored(joined.select(*KEY, F.coalesce("leave", "up_leave").alias("leave"), F.when(F.col("up_leave").isNull(), F.col("up_up")).alias("up")), "ways")
-    after = ways.join(firsts, KEY, "left").select(*KEY, F.coalesce("child", "leave").alias("to"))
-    ranked = stored(after.withColumn("left_", F.col("to").isNotNull().cast("long")), "ranks")
-    while ranked.where("to IS NOT NULL").take(1):
+        return joined.select(*KEY, "n", F.coalesce("leave", "up_leave").alias("leave"), F.when(F.col("up_leave").isNull(), F.col("up_up")).alias("up"))
+
+    def counted(ranked: DataFrame) -> DataFrame:
         ahead = ranked.select("conv_id", F.col("turn").alias("to"), F.col("to").alias("far"), F.col("left_").alias("more"))
-        ranked = stored(ranked.join(ahead, ["conv_id", "to"], "left").select(*KEY, F.col("far").alias("to"), (F.col("left_") + F.coalesce("more", F.lit(0))).alias("left_")), "ranks")
-    sizes = stored(ranked.groupBy("conv_id").agg(F.count("*").alias("n")), "sizes")
-    return hot_join(ranked, sizes, ["conv_id"]).select(*KEY, (F.col("n") - F.col("left_")).cast("int").alias("place"))
+        return ranked.join(ahead, ["conv_id", "to"], "left").select(*KEY, "n", F.col("far").alias("to"), (F.col("left_") + F.coalesce("more", F.lit(0))).alias("left_"))
+
+    ways = siblings.select(*KEY, "n", F.col("sibling").alias("leave"), F.when(F.col("sibling").isNull(), F.col("parent")).alias("up"))
+    after = _jumped(ways, climbed, "up", "ways").join(firsts, KEY, "left").select(*KEY, "n", F.coalesce("child", "leave").alias("to"))
+    ranked = _jumped(after.withColumn("left_", F.col("to").isNotNull().cast("long")), counted, "to", "ranks")
+    return ranked.select(*KEY, (F.col("n") - F.col("left_")).cast("int").alias("place"))
+
+
+def _jumped(rows: DataFrame, step: Callable[[DataFrame], DataFrame], pointer: str, name: str) -> DataFrame:
+    """`rows` after rounds of `step` until no `pointer` is left; those with `n` of at most 2 ** k need k rounds, and take part in no more."""
+    live, reach, done = stored(rows, name), 1, []
+    while live.where(F.col(pointer).isNotNull()).take(1):
+        done.append(live.where(F.col("n") <= reach))
+        live = stored(step(live.where(F.col("n") > reach)), name)
+        reach *= 2
+    return reduce(DataFrame.unionByName, done, live)
 
 
 def link(messages: DataFrame) -> DataFrame:
