@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, lots, small_batches, stored, table, utf8
+from .common import hot_join, lots, small_batches, stored, table, unused, utf8
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Cells up to this many fingerprints are compared as one matrix, larger ones by search from one to the next.
@@ -366,10 +366,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the least id, rows without one last, then by hash of the text.
 
     Rows are told apart by a key of their own, so null and repeated ids are rows like any other.  Texts without
-    words are alike; an empty table gives no rows; columns `key`, `bands` or `group` of the table are kept.
+    words are alike; an empty table gives no rows; columns of the table named like any in here are kept.
     """
-    rows = stored(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed")
-    found = stored(alike_rows(rows.select(F.col("__key").alias("key"), "doc_id", "text")), "groups")
+    row = unused(docs, "__key")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = stored(alike_rows(rows.select(F.col(row).alias("key"), "doc_id", "text")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "body", "key")
-    keep = found.groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.key").alias("__key"))
-    return rows.join(keep, "__key", "left_semi").select(*docs.columns)
+    keep = found.groupBy("group").agg(F.min(order).alias("best")).select(F.col("best.key").alias(row))
+    return rows.join(keep, row, "left_semi").select(*docs.columns)

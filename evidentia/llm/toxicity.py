@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table, utf8
+from .common import held_out, small_batches, table, unused, utf8
 
 BUCKETS = 1 << 20
 MAX_TOXIC, MAX_CLEAN = 2_500, 12_500
@@ -257,9 +257,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold, columns as given, one named `score` too (but none may be named `__score`).
+    """Documents that score below the threshold, columns as given, those named `score` or like any column in here too.
 
     Null and empty texts stay; rows that repeat an id are judged row by row; an empty table gives no rows.
     """
     machine = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs.withColumnRenamed("score", "__score"), machine).where(F.col("score") < THRESHOLD).drop("score").withColumnRenamed("__score", "score")
+    aside = docs.withColumnRenamed("score", unused(docs, "__score"))
+    return score(aside, machine).where(F.col("score") < THRESHOLD).drop("score").toDF(*docs.columns)

@@ -217,6 +217,18 @@ def test_simhash_stage_keeps_rows_of_null_and_repeated_ids(spark):
     assert Counter(map(tuple, kept)) == Counter([(None, b), (None, c), (1, d), (1, e), (2, a), (4, None)])
 
 
+def test_stages_keep_columns_named_like_their_own(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    clashing = docs_.withColumns({"__score": F.lit("a"), "__score_": F.lit("b"), "score": F.lit(7), "__KEY": F.lit("c")})
+    for stage in (toxicity.stage, simhash.stage):
+        kept = stage(spark, clashing, sf_dir)
+        assert kept.columns == clashing.columns
+        rows = kept.collect()
+        assert {(r["__score"], r["__score_"], r["score"], r["__KEY"]) for r in rows} == {("a", "b", 7, "c")}
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stage(spark, docs_, sf_dir).collect())
+
+
 # --- suffixes
 
 
