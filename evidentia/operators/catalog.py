@@ -88,20 +88,52 @@ def search_predicate(query: str, columns: Sequence[str] = SEARCHED) -> Column:
     return reduce(lambda a, b: a & b, map(met, terms))
 
 
+def _title_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != ""))
+
+
+def _asked_words(queries: DataFrame) -> DataFrame:
+    """query_id, terms (sorted) of the queries that have any word; rows that repeat one another count once."""
+    terms = F.array_sort(F.slice(_title_words(F.col("query")), 1, MAX_TERMS))
+    return queries.select("query_id", terms.alias("terms")).where(F.size("terms") > 0).distinct()
+
+
+def _word_hits(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """terms, words, n: the distinct word sets of `index` (words, n) that hold all of each distinct `terms` of `asked`.
+
+    Only words that some query has are kept, and the rarest word of a query leads, so a frequent word makes no rows by itself.
+    """
+    often = index.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    led = asked.select("terms").distinct().select("terms", F.explode("terms").alias("word")).join(often, "word", "left")
+    led = led.groupBy("terms").agg(F.min_by("word", F.struct(F.coalesce("often", F.lit(0)), F.col("word"))).alias("word"))
+    hits = index.select("words", "n", F.explode("words").alias("word")).join(led, "word")
+    return hits.where(F.size(F.array_except("terms", "words")) == 0).select("terms", "words", "n")
+
+
+def _word_sets(pieces: DataFrame, column: str) -> DataFrame:
+    return pieces.select(F.array_sort(_title_words(F.col(column))).alias("words")).groupBy("words").agg(F.count("*").alias("n"))
+
+
 def batch_words(pieces: DataFrame, queries: DataFrame, column: str = "title") -> DataFrame:
     """(query_id, piece_id) of every hit of a table of queries (query_id, query): all words of a query are words of the column.
 
-    An inverted index join: both sides are cut to distinct words and met on them, then counted.  Only words that
-    some query has are kept, and the rarest word of a query leads, so a frequent word makes no rows by itself.
+    An inverted index join of the distinct word sets of both sides; queries and pieces that have them are joined to what was met.
+    """
+    asked = _asked_words(queries)
+    met = _word_hits(_word_sets(pieces, column), asked).select("terms", "words")
+    rows = pieces.select("piece_id", F.array_sort(_title_words(F.col(column))).alias("words"))
+    return met.join(rows, "words").join(asked, "terms").select("query_id", "piece_id")
+
+
+def batch_word_counts(pieces: DataFrame, queries: DataFrame, column: str = "title") -> DataFrame:
+    """query_id, hits: how many rows `batch_words` gives for each query that it gives any for.
+
+    Equal word sets are counted before they are met and no hit is written out, so work grows with the rows and with the different
+    sets that meet, not with the pairs.
     """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != ""))
-    asked = queries.select("query_id", F.slice(words(F.col("query")), 1, MAX_TERMS).alias("terms")).where(F.size("terms") > 0)
-    index = pieces.select("piece_id", words(F.col(column)).alias("words"))
-    often = index.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    led = asked.select("query_id", "terms", F.explode("terms").alias("word")).join(often, "word", "left")
-    led = led.groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"), F.first("terms").alias("terms"))
-    hits = index.select("piece_id", "words", F.explode("words").alias("word")).join(led, "word")
-    return hits.where(F.size(F.array_except("terms", "words")) == 0).select("query_id", "piece_id")
+    asked = _asked_words(queries)
+    found = _word_hits(_word_sets(pieces, column), asked).groupBy("terms").agg(F.sum("n").alias("hits"))
+    return asked.join(found, "terms").groupBy("query_id").agg(F.sum("hits").alias("hits"))
 
 
 #: Length of the grams of the inverted index, and the pieces of a gram that meet its queries in one task.
