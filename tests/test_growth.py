@@ -22,3 +22,17 @@ def test_copies_are_counted_without_being_paired(spark):
     many = spark.range(300_000)
     pieces, queries = many.select(F.col("id").alias("piece_id"), F.lit("red bolt").alias("title")), many.select(F.col("id").alias("query_id"), F.lit("bolt").alias("query"))
     assert catalog.batch_word_counts(pieces, queries).agg(F.sum("hits")).first()[0] == 300_000**2
+
+
+def test_a_query_or_piece_of_several_texts_is_met_by_each(spark):
+    pieces = spark.createDataFrame([(1, "a waltz", None, None, None), (2, "a sonata", None, None, None), (3, "a waltz", None, None, None), (3, "a sonata", None, None, None), (None, "a waltz", None, None, None)], PIECE)
+    queries = spark.createDataFrame([(1, "waltz"), (1, "sonata"), (2, "sonata"), (3, "Sonata "), (None, "waltz")], "query_id long, query string")
+    got = sorted(tuple(r) for r in catalog.batch_search(pieces, queries).collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 2), (3, 3)]
+
+
+def test_queries_and_pieces_that_are_alike_are_met_once(spark):
+    rows = spark.createDataFrame([(1, "x", 1), (2, "x", 1), (3, "y", 1), (3, "x", 1), (3, "x", 1), (4, "y", 1), (None, "x", 1)], "id long, a string, b int")
+    forms, members = catalog._alike(rows, "id", ["a", "b"], "test")
+    assert sorted((r.like, r.a) for r in forms.collect()) == [(1, "x"), (3, "x"), (3, "y"), (4, "y")]
+    assert sorted((r.id, r.like) for r in members.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
