@@ -305,11 +305,18 @@ def top_per_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column]
 def siblings(pieces: DataFrame, most: int = 50) -> DataFrame:
     """piece_id, sibling_id: other pieces of the same file, the first `most` by page.
 
-    The candidates of a file are its first `most` + 1 pieces, whatever the file's size.
+    The candidates of a file are its first `most` + 1 pieces, whatever the file's size; they travel to its pieces as one list, and each
+    piece cuts its own out of it, so pairs are neither shuffled nor sorted.  Only pieces that lie in several files are ranked over all of
+    them.  Rows that repeat a piece of a file count once, with their first page.
     """
-    first = top_per_group(pieces.select("file_id", "piece_id", "page_start"), ["file_id"], [F.col("page_start"), F.col("piece_id")], most + 1)
-    pairs = pieces.select("file_id", "piece_id").join(first.select("file_id", F.col("piece_id").alias("sibling_id"), F.col("place").alias("nth")), "file_id").where("piece_id <> sibling_id")
-    return top_per_group(pairs, ["piece_id"], [F.col("nth")], most).select("piece_id", "sibling_id")
+    own = pieces.groupBy("file_id", "piece_id").agg(F.min("page_start").alias("page_start"))
+    first = top_per_group(own, ["file_id"], [F.col("page_start"), F.col("piece_id")], most + 1)
+    lists = first.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("place", "page_start", F.col("piece_id").alias("sibling_id")))).alias("first"))
+    others = F.slice(F.filter("first", lambda s: s["sibling_id"] != F.col("piece_id")), 1, most)
+    files = own.select("file_id", "piece_id", F.count("*").over(Window.partitionBy("piece_id")).alias("files"))
+    rows = files.join(lists, "file_id").select("piece_id", "files", F.explode(others).alias("s")).select("piece_id", "files", "s.page_start", "s.sibling_id")
+    several = top_per_group(rows.where("files > 1"), ["piece_id"], [F.col("page_start"), F.col("sibling_id")], most)
+    return rows.where("files = 1").select("piece_id", "sibling_id").unionByName(several.select("piece_id", "sibling_id"))
 
 
 def folder(path: Column) -> Column:

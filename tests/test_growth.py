@@ -36,3 +36,20 @@ def test_queries_and_pieces_that_are_alike_are_met_once(spark):
     forms, members = catalog._alike(rows, "id", ["a", "b"], "test")
     assert sorted((r.like, r.a) for r in forms.collect()) == [(1, "x"), (3, "x"), (3, "y"), (4, "y")]
     assert sorted((r.id, r.like) for r in members.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+# --- siblings, decisions of folders, citations
+
+
+def test_siblings_of_repeated_pieces_and_of_several_files(spark):
+    rows = [(1, p, p) for p in range(1, 7)] + [(1, 2, 2), (2, 3, 0), (2, 9, 7), (3, 11, 1), (None, 12, 1), (None, 13, 1)]
+    got = {}
+    for r in catalog.siblings(spark.createDataFrame(rows, "file_id int, piece_id int, page_start int"), 3).collect():
+        got.setdefault(r.piece_id, []).append(r.sibling_id)
+    assert {p: sorted(s) for p, s in got.items()} == {1: [2, 3, 4], 2: [1, 3, 4], 3: [1, 2, 4], 4: [1, 2, 3], 5: [1, 2, 3], 6: [1, 2, 3], 9: [3]}
+
+
+def test_siblings_of_a_large_file(spark):
+    pieces = spark.range(3000).select((F.col("id") % 2).alias("file_id"), F.col("id").alias("piece_id"), F.col("id").alias("page_start"))
+    wide = catalog.siblings(pieces).groupBy("piece_id").agg(F.count("*").alias("n"), F.min("sibling_id").alias("least")).where("piece_id IN (0, 1, 2, 2999)").collect()
+    assert {(r.piece_id, r.n, r.least) for r in wide} == {(0, 50, 2), (1, 50, 3), (2, 50, 0), (2999, 50, 1)}
