@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.catalog import folder, holds
+from evidentia.operators.catalog import folder, holds, top_per_group
 from evidentia.operators.corrections import apply_decisions
 from evidentia.operators.resolve import recompute, reviewed_route, valid
 from evidentia.schema import REQUIRED_FIELDS
@@ -160,11 +160,18 @@ def propose(stored: DataFrame, new: DataFrame, pieces: DataFrame) -> tuple[DataF
 
 
 def decide_folder(pieces: DataFrame, decisions: DataFrame, scope: str = "folder") -> DataFrame:
-    """Decisions (piece_id, field, value, source, seq) on a piece made for all its pending siblings too; nothing is approved."""
+    """Decisions (piece_id, field, value, source, seq) on a piece made for all its pending siblings too; nothing is approved.
+
+    A piece follows the last decision of a folder that isn't its own: the last of all, or the last of another piece.  So these two of each
+    folder and field are all that its pieces are joined to.
+    """
     keyed = pieces.withColumn("key", folder(F.col("rel_path")) if scope == "folder" else F.col("file_id").cast("string"))
     # decisions go to their folder first: siblings of pieces that nothing was decided on are never paired
     cols = ["field", "value", "source", "seq"]
     sent = decisions.join(keyed.select("piece_id", "key"), "piece_id").select("key", F.col("piece_id").alias("from_id"), *cols)
+    later = [F.col("seq").desc(), F.col("value").asc()]
+    of_piece = top_per_group(sent, ["key", "field", "from_id"], later, 1).drop("place")
+    sent = top_per_group(of_piece, ["key", "field"], later, 2).drop("place")
     pending = keyed.where("review_state = 'pending'").select("key", "piece_id")
     spread = sent.join(pending, "key").where("piece_id <> from_id").select("piece_id", *cols)
     both = decisions.select("piece_id", *cols).unionByName(spread)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import catalog
+from evidentia.operators import catalog, curation
 
 # --- batch search
 
@@ -53,3 +53,20 @@ def test_siblings_of_a_large_file(spark):
     pieces = spark.range(3000).select((F.col("id") % 2).alias("file_id"), F.col("id").alias("piece_id"), F.col("id").alias("page_start"))
     wide = catalog.siblings(pieces).groupBy("piece_id").agg(F.count("*").alias("n"), F.min("sibling_id").alias("least")).where("piece_id IN (0, 1, 2, 2999)").collect()
     assert {(r.piece_id, r.n, r.least) for r in wide} == {(0, 50, 2), (1, 50, 3), (2, 50, 0), (2999, 50, 1)}
+
+
+def test_a_folder_of_many_decisions_is_not_paired(spark):
+    n = 60_000
+    pieces = spark.range(n).select(F.col("id").alias("piece_id"), F.lit(1).alias("file_id"), F.lit("a/b.pdf").alias("rel_path"), F.when(F.col("id") % 5 == 0, "accepted").otherwise("pending").alias("review_state"))
+    made = spark.range(n).where("id % 2 = 0").select(F.col("id").alias("piece_id"), F.lit("title").alias("field"), F.col("id").cast("string").alias("value"), F.lit("user").alias("source"), F.col("id").alias("seq"))
+    got = {r.piece_id: r.value for r in curation.decide_folder(pieces, made).select("piece_id", "value").collect()}
+    last = n - 2
+    want = {i: str(last) if i == last or i % 5 else str(i) for i in range(n) if i % 2 == 0 or i % 5}
+    assert got == want
+
+
+def test_the_last_decision_of_another_piece_counts(spark):
+    pieces = spark.createDataFrame([(i, 1, "a/x.pdf", "pending") for i in range(4)], "piece_id int, file_id int, rel_path string, review_state string")
+    made = spark.createDataFrame([(0, "title", "late", "u", 9), (0, "title", "later", "u", 10), (1, "title", "b", "u", 5), (1, "key", "c", "u", None), (2, "key", "d", "u", 1)], "piece_id int, field string, value string, source string, seq int")
+    got = {(r.piece_id, r.field): r.value for r in curation.decide_folder(pieces, made).collect()}
+    assert got == {(i, "title"): "later" for i in range(4)} | {(i, "key"): "d" for i in range(4)}
