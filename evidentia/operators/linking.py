@@ -54,14 +54,20 @@ def cited(works: DataFrame, external: DataFrame) -> DataFrame:
     are taken out of the titles first and the words of title and credits beside them, so the match is an equi join on
     (system, number, suffix, last word of the composer's name), never a scan of titles for each work, nor of all works
     that share a number.  A work without a composer is met by every entry of its number.  Entries that aren't movements come first, then those of a better place.
+
+    The order of entries does not depend on the work, so the best entry of each key is picked before works are joined: many works
+    and many entries of one key are never paired.
     """
     named = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "title", "credits")), r"[\s(),;:/\[\]]+"))
     found = external.select("entry_id", "title", "place", F.explode(citations(F.col("title"))).alias("c"), named.alias("named"))
     found = found.select("entry_id", "title", "place", F.col("c.system").alias("system"), F.col("c.number").alias("number"), F.col("c.suffix").alias("suffix"), F.explode(F.array_append("named", F.lit(""))).alias("last"))
     wanted = works.select("work_id", F.lower(surname(F.col("composer_name"))).alias("last"), F.lower("system").alias("system"), "number", F.lower(F.coalesce("suffix", F.lit(""))).alias("suffix"))
-    named = wanted.join(found.distinct(), ["system", "number", "suffix", "last"])
-    best = Window.partitionBy("work_id").orderBy(is_movement(F.col("title")).cast("int"), F.col("place").asc_nulls_last(), "entry_id")
-    return named.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("work_id", "entry_id", "title")
+    key = ["system", "number", "suffix", "last"]
+    order = F.struct(is_movement(F.col("title")).cast("int"), F.col("place").isNull(), F.col("place"), F.col("entry_id"), F.col("title"))
+    best = found.groupBy(*key).agg(F.min_by(F.struct("entry_id", "title"), order).alias("best"), F.min(order).alias("order"))
+    # a work that stands there several times takes the best of what all its rows cite
+    met = wanted.distinct().join(best, key).groupBy("work_id").agg(F.min_by("best", "order").alias("best"))
+    return met.select("work_id", "best.entry_id", "best.title")
 
 
 @F.pandas_udf(T.DoubleType())

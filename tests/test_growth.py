@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import catalog, curation
+from evidentia.operators import catalog, curation, linking
 
 # --- batch search
 
@@ -70,3 +70,11 @@ def test_the_last_decision_of_another_piece_counts(spark):
     made = spark.createDataFrame([(0, "title", "late", "u", 9), (0, "title", "later", "u", 10), (1, "title", "b", "u", 5), (1, "key", "c", "u", None), (2, "key", "d", "u", 1)], "piece_id int, field string, value string, source string, seq int")
     got = {(r.piece_id, r.field): r.value for r in curation.decide_folder(pieces, made).collect()}
     assert got == {(i, "title"): "later" for i in range(4)} | {(i, "key"): "d" for i in range(4)}
+
+
+def test_works_and_entries_of_one_citation_are_not_paired(spark):
+    n = 40_000
+    works = spark.range(n).select(F.col("id").alias("work_id"), F.lit("Ada Linde").alias("composer_name"), F.lit("Op").alias("system"), F.lit(7).alias("number"), F.lit("").alias("suffix"))
+    entries = spark.range(n).select((F.col("id") + 5).alias("entry_id"), F.lit("Work, Op. 7 (Ada Linde)").alias("title"), F.lit(None).cast("string").alias("credits"), F.when(F.col("id") == 8, 1).otherwise(F.when(F.col("id") > 8, 2)).alias("place"))
+    got = linking.cited(works, entries)
+    assert [tuple(r) for r in got.groupBy("entry_id").count().collect()] == [(13, n)]
