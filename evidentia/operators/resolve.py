@@ -9,7 +9,7 @@ combined a piece is as sure as its weakest required field.
 
 The first step aggregates before any shuffle, so that repeats of one hot piece meet early.  After it all rows of
 a piece are brought together once, and every later aggregation and window has piece_id among its keys
-and reuses that partitioning.
+and reuses that partitioning.  Spellings that are merged inside one row are scored and ranked there too.
 """
 
 from __future__ import annotations
@@ -49,7 +49,9 @@ def rounded(sure: Column) -> Column:
 
 def best_per_source(candidates: DataFrame, folds: Folds = FOLDS) -> DataFrame:
     """piece_id, field, key, source, weight, value (longest spelling, first of equals) and seq (first seen)."""
-    keyed = candidates.withColumn("key", fold_by_field(F.col("field"), F.col("value"), folds)).where("key <> ''")
+    # equal values of a source meet first: numbers alone are aggregated, so Spark hashes instead of sorting, and each value is folded once
+    met = candidates.where("value IS NOT NULL").groupBy("piece_id", "field", "value", "source").agg(F.max("weight").alias("weight"), F.min("seq").alias("seq"))
+    keyed = met.repartition("piece_id").withColumn("key", fold_by_field(F.col("field"), F.col("value"), folds)).where("key <> ''")
     spelling = F.max_by("value", F.struct(F.length("value"), -F.col("seq")))
     return keyed.groupBy("piece_id", "field", "key", "source").agg(F.max("weight").alias("weight"), spelling.alias("value"), F.min("seq").alias("seq"))
 
@@ -71,14 +73,17 @@ def merge_spellings(best: DataFrame, by_index: bool = False) -> DataFrame:
     in keys that have its rarest word, so it is compared with those alone, and no row ever holds them all.  Both give the same roots; the
     index is for pieces with thousands of values and costs two more joins.
     """
-    return _merged_by_index(best) if by_index else _merged_in_rows(best)
+    if by_index:
+        return _merged_by_index(best)
+    return _merged_lists(best).select("piece_id", "field", F.inline("rows")).select(*best.columns, "root")
 
 
 def _sorted_words(key: Column) -> Column:
     return F.array_join(F.array_sort(F.split(key, " ")), " ")
 
 
-def _merged_in_rows(best: DataFrame) -> DataFrame:
+def _merged_lists(best: DataFrame) -> DataFrame:
+    """piece_id, field, rows: all rows of a field with their root."""
     kept = [c for c in best.columns if c not in ("piece_id", "field")]
     lists = best.groupBy("piece_id", "field").agg(F.collect_list(F.struct(*kept, _sorted_words(F.col("key")).alias("same"))).alias("all"))
 
@@ -106,8 +111,9 @@ def _merged_in_rows(best: DataFrame) -> DataFrame:
     roots = ups.withColumn("up_of", F.when(F.col("ups").isNotNull(), F.aggregate(turns, F.col("ups"), lambda m, _: F.transform_values(m, lambda k, up: F.try_element_at(m, up)))))
     survivor = lambda same: F.get(F.filter("values", lambda x: x["same"] == same), F.lit(0))["v"]["key"]
     root = lambda r: F.when(one, r["key"]).otherwise(let(survivor(r["same"]), lambda k: F.coalesce(F.try_element_at("up_of", k), k)))
-    rows = roots.select("piece_id", "field", F.transform("all", lambda r: F.struct(*[r[c].alias(c) for c in kept], root(r).alias("root"))).alias("rows"))
-    return rows.select("piece_id", "field", F.inline("rows")).select(*best.columns, "root")
+    alone = F.transform("all", lambda r: F.struct(*[r[c].alias(c) for c in kept], r["key"].alias("root")))
+    merged = F.transform("all", lambda r: F.struct(*[r[c].alias(c) for c in kept], root(r).alias("root")))
+    return roots.select("piece_id", "field", F.when(F.size("all") == 1, alone).otherwise(merged).alias("rows"))
 
 
 def _merged_by_index(best: DataFrame) -> DataFrame:
@@ -132,31 +138,62 @@ def _merged_by_index(best: DataFrame) -> DataFrame:
     return out.select(*best.columns, F.coalesce("up", "survivor").alias("root"))
 
 
-def resolve_fields(candidates: DataFrame, folds: Folds = FOLDS, merge: bool = True, by_index: bool = False) -> DataFrame:
-    """One row per (piece_id, field): value, confidence, conflict, sources, alternatives (up to three).
-
-    Null and empty values have no say.  Rows that repeat a source count once, with their best weight.  Equal scores
-    are ordered by what was seen first.  `merge` off compares folded values as they are; `by_index` is for pieces of thousands of values.
-    """
-    best = best_per_source(candidates, folds).repartition("piece_id")
-    rooted = merge_spellings(best, by_index) if merge else best.withColumn("root", F.col("key"))
-    sources = rooted.groupBy("piece_id", "field", "root", "source").agg(
-        F.max("weight").alias("weight"),
-        F.max(F.struct(F.length("value").alias("n"), (F.col("key") == F.col("root")).alias("own"), (-F.col("seq")).alias("s"), F.col("value").alias("value"))).alias("shown"),
-        F.min("seq").alias("seq"),
-    )
+def _fields_of_lists(lists: DataFrame) -> DataFrame:
+    """piece_id, field, value, score, rival, sources, alternatives, all worked out inside the row that holds a field's spellings."""
+    rows = F.col("rows")
+
+    def scored(group: Column) -> Column:
+        """A value of several rows, in the order of ranks: the best score first, then what was seen first."""
+        said = F.array_sort(F.array_distinct(F.transform(group, lambda r: r["source"])))
+        weights = F.array_compact(F.transform(said, lambda s: F.array_max(F.transform(F.filter(group, lambda r: r["source"].eqNullSafe(s)), lambda r: r["weight"]))))
+        doubt = F.when(F.size(weights) > 0, F.aggregate(weights, F.lit(1.0), lambda d, w: d * (F.lit(1.0) - w)))
+        shown = F.array_max(F.transform(group, lambda r: F.struct(F.length(r["value"]).alias("n"), (r["key"] == r["root"]).alias("own"), (-r["seq"]).alias("s"), r["value"].alias("value"))))
+        score = F.least(F.lit(1.0) - doubt, F.lit(CERTAIN))
+        return F.struct((-score).alias("below"), F.array_min(F.transform(group, lambda r: r["seq"])).alias("seq"), score.alias("score"), shown["value"].alias("value"), F.array_compact(said).alias("sources"))
+
+    only = rows[0]
+    single = F.array(F.struct(F.lit(0.0).alias("below"), only["seq"].alias("seq"), F.least(F.lit(1.0) - (F.lit(1.0) - only["weight"]), F.lit(CERTAIN)).alias("score"), only["value"].alias("value"), F.array_compact(F.array(only["source"])).alias("sources")))
+    several = F.transform(F.array_distinct(F.transform(rows, lambda r: r["root"])), lambda k: let(F.filter(rows, lambda r: r["root"] == k), scored))
+    ranked = lists.select("piece_id", "field", F.slice(F.when(F.size(rows) == 1, single).otherwise(F.array_sort(several)), 1, 4).alias("ranked"))
+    row = lambda v, i: F.struct((i + 1).alias("rank"), v["value"].alias("value"), rounded(v["score"]).alias("score"), v["sources"].alias("sources"))
+    others = F.filter(F.transform("ranked", row), lambda v: v["rank"] > 1)
+    first, second = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    return ranked.select("piece_id", "field", first["value"].alias("value"), first["score"].alias("score"), second["score"].alias("rival"), first["sources"].alias("sources"), others.alias("alternatives"))
+
+
+def _fields_of_rows(rooted: DataFrame, merged: bool) -> DataFrame:
+    """The same by aggregations, for pieces of any number of values."""
+    shown = F.struct(F.length("value").alias("n"), (F.col("key") == F.col("root")).alias("own"), (-F.col("seq")).alias("s"), F.col("value").alias("value"))
+    if merged:
+        sources = rooted.groupBy("piece_id", "field", "root", "source").agg(F.max("weight").alias("weight"), F.max(shown).alias("shown"), F.min("seq").alias("seq"))
+    else:
+        # one row a key and source already
+        sources = rooted.withColumn("shown", shown)
     values = sources.groupBy("piece_id", "field", "root").agg(noisy_or(F.col("weight")).alias("score"), F.max("shown").alias("shown"), F.min("seq").alias("seq"), F.array_sort(F.collect_set("source")).alias("sources"))
     order = Window.partitionBy("piece_id", "field").orderBy(F.col("score").desc(), "seq")
     ranked = values.withColumn("rank", F.row_number().over(order)).where("rank <= 4")
     pick = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
     row = F.struct("rank", F.col("shown.value").alias("value"), rounded(F.col("score")).alias("score"), "sources")
-    fields = ranked.groupBy("piece_id", "field").agg(
+    return ranked.groupBy("piece_id", "field").agg(
         F.max(F.when(F.col("rank") == 1, F.col("shown.value"))).alias("value"),
         pick("score", 1).alias("score"),
         pick("score", 2).alias("rival"),
         F.max(F.when(F.col("rank") == 1, F.col("sources"))).alias("sources"),
         F.array_sort(F.collect_list(F.when(F.col("rank") > 1, row))).alias("alternatives"),
     )
+
+
+def resolve_fields(candidates: DataFrame, folds: Folds = FOLDS, merge: bool = True, by_index: bool = False) -> DataFrame:
+    """One row per (piece_id, field): value, confidence, conflict, sources, alternatives (up to three).
+
+    Null and empty values have no say.  Rows that repeat a source count once, with their best weight.  Equal scores
+    are ordered by what was seen first.  `merge` off compares folded values as they are; `by_index` is for pieces of thousands of values.
+    """
+    best = best_per_source(candidates, folds)
+    if merge and not by_index:
+        fields = _fields_of_lists(_merged_lists(best))
+    else:
+        fields = _fields_of_rows(merge_spellings(best, by_index) if merge else best.withColumn("root", F.col("key")), merge)
     conflict = F.coalesce(F.col("rival") >= F.col("score") * CONFLICT_RATIO, F.lit(False))
     sure = F.when(conflict, F.least("score", F.lit(CONFLICT_CAP))).otherwise(F.col("score"))
     return fields.select("piece_id", "field", "value", rounded(sure).alias("confidence"), conflict.alias("conflict"), "sources", "alternatives")

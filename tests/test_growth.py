@@ -1,8 +1,11 @@
 """Work that must grow with the rows, not with the pairs of rows that are alike."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import catalog, curation, linking
+from evidentia.operators import catalog, curation, linking, resolve
 
 # --- batch search
 
@@ -78,3 +81,23 @@ def test_works_and_entries_of_one_citation_are_not_paired(spark):
     entries = spark.range(n).select((F.col("id") + 5).alias("entry_id"), F.lit("Work, Op. 7 (Ada Linde)").alias("title"), F.lit(None).cast("string").alias("credits"), F.when(F.col("id") == 8, 1).otherwise(F.when(F.col("id") > 8, 2)).alias("place"))
     got = linking.cited(works, entries)
     assert [tuple(r) for r in got.groupBy("entry_id").count().collect()] == [(13, n)]
+
+
+# --- evidence resolution
+
+
+def test_fields_weighed_in_rows_equal_those_of_aggregations(spark):
+    rng = random.Random(11)
+    words = ["prelude", "fugue", "in", "g", "Prelude", "no", "x"]
+    rows = [(p, f, rng.choice([None, "", *(" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(9))]), rng.choice(["a", "b", "c", None]), rng.choice([0.2, 0.5, 0.7, 1.0]), rng.randrange(10**6)) for p in range(60) for f in ("title", "form") for _ in range(rng.randrange(7))]
+    said = spark.createDataFrame(rows, "piece_id int, field string, value string, source string, weight double, seq long")
+    plain = lambda df: sorted(repr(tuple(r)) for r in df.collect())
+    got, want = resolve.resolve_fields(said), resolve.resolve_fields(said, by_index=True)
+    assert plain(got) == plain(want) and got.count() > 80
+
+
+def test_spellings_are_sorted_once(spark):
+    """Rows of a field are not regrouped once they are together: an aggregation over sources, values and ranks each sorted them anew."""
+    said = spark.createDataFrame([(1, "form", "a", "s", 0.5, 1)], "piece_id int, field string, value string, source string, weight double, seq long")
+    plan = resolve.resolve_fields(said)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Window") == 0 and plan.count("Sort [") <= 2 and plan.count("Exchange") <= 3
