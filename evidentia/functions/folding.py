@@ -20,6 +20,11 @@ NUMBER_WORDS = {
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćČčĎďĒēĖėĘęĚěĞğĪīĮįŃńŇňŌōŐőŘřŚśŞşŠšŤťŪūŮůŰűŲųŸŹźŻżŽž"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyAaAaAaCcCcDdEeEeEeEeGgIiIiNnNnOoOoRrSsSsSsTtUuUuUuUuYZzZzZz"
 
+#: Spaces that folding takes off: at an end or in a row.
+LOOSE = r"^ | \z|  "
+#: Lower case by `translate` is that of `lower` for plain letters, which takes every text through ICU.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def plain_latin(text: Column) -> Column:
     """Accented Latin letters without their accents; combining marks dropped.  Runs in the JVM."""
@@ -37,10 +42,12 @@ def fold(value: Column, unicode: bool = False) -> Column:
 
     `unicode` folds every script through an Arrow UDF; without it Latin letters are folded in the JVM.
     """
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    text = decomposed(text) if unicode else plain_latin(text)
+    given = F.coalesce(value.cast("string"), F.lit(""))
+    text = decomposed(given) if unicode else plain_latin(given)
     text = F.regexp_replace(text, r"(?U)[^\w\s]+", " ")
-    return F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    text = F.lower(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")))
+    # an Arrow UDF is run for all rows, whatever the branch
+    return text if unicode else F.when(F.rlike(given, F.lit(f"[^0-9A-Za-z ]|{LOOSE}")), text).otherwise(F.translate(given, CAPITALS, CAPITALS.lower()))
 
 
 @dataclass(frozen=True)
@@ -58,18 +65,22 @@ SHORT = {"maj": "major", "min": "minor", "mi": "minor"}
 ORDINALS = ["number", "num", "nr", "no", "#"]
 
 
+#: Words to what stands for them: number words, short modes, and keys in one word such as eflat.
+REPLACED = {w: str(n) for w, n in NUMBER_WORDS.items()} | SHORT | {f"{c}flat": f"{c}b" for c in "abcdefg"} | {f"{c}sharp": c for c in "abcdefg"}
+#: What titles and keys have to be read word by word for; words of plain letters beside these stand for themselves.
+TOLD = rf"[^A-Za-z ]|{LOOSE}|(?i)(?<![a-z])(?:{'|'.join([*REPLACED, 'flat', 'sharp'])})(?![a-z])"
+
+
 def _replaced() -> Column:
-    """Words to what stands for them: number words, short modes, and keys in one word such as eflat."""
-    pairs = {w: str(n) for w, n in NUMBER_WORDS.items()} | SHORT | {f"{c}flat": f"{c}b" for c in "abcdefg"} | {f"{c}sharp": c for c in "abcdefg"}
-    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
+    return F.create_map(*[F.lit(x) for pair in REPLACED.items() for x in pair])
 
 
 def folded(value: Column, title: Column, unicode: bool = False) -> Column:
     """`fold` of a title or key, and in the same pass over its words: number words to digits, modes written out, E-flat as eb; where
     `title` holds, No. 1, Nr 1 and #1 as n1.
     """
-    text = F.coalesce(value.cast("string"), F.lit(""))
-    text = F.lower(decomposed(text) if unicode else plain_latin(text))
+    given = F.coalesce(value.cast("string"), F.lit(""))
+    text = F.lower(decomposed(given) if unicode else plain_latin(given))
     tokens = F.regexp_extract_all(text, F.lit(r"(?U)\w+|#|-|[^\w\s#-]+"), F.lit(0))
     replaced = _replaced()
 
@@ -96,7 +107,8 @@ def folded(value: Column, title: Column, unicode: bool = False) -> Column:
 
         return F.array_join(F.filter(F.transform(ts, word), lambda w: w != ""), " ")
 
-    return F.rtrim(F.replace(F.get(F.transform(F.array(tokens), read), F.lit(0)), F.lit("  "), F.lit(" ")))
+    said = F.rtrim(F.replace(F.get(F.transform(F.array(tokens), read), F.lit(0)), F.lit("  "), F.lit(" ")))
+    return F.when(F.rlike(given, F.lit(TOLD)), said).otherwise(F.translate(given, CAPITALS, CAPITALS.lower()))
 
 
 def fold_title(value: Column, unicode: bool = False) -> Column:

@@ -51,9 +51,11 @@ def best_per_source(candidates: DataFrame, folds: Folds = FOLDS) -> DataFrame:
     """piece_id, field, key, source, weight, value (longest spelling, first of equals) and seq (first seen)."""
     # equal values of a source meet first: numbers alone are aggregated, so Spark hashes instead of sorting, and each value is folded once
     met = candidates.where("value IS NOT NULL").groupBy("piece_id", "field", "value", "source").agg(F.max("weight").alias("weight"), F.min("seq").alias("seq"))
-    keyed = met.repartition("piece_id").withColumn("key", fold_by_field(F.col("field"), F.col("value"), folds)).where("key <> ''")
+    keyed = met.repartition("piece_id").withColumn("key", fold_by_field(F.col("field"), F.col("value"), folds))
     spelling = F.max_by("value", F.struct(F.length("value"), -F.col("seq")))
-    return keyed.groupBy("piece_id", "field", "key", "source").agg(F.max("weight").alias("weight"), spelling.alias("value"), F.min("seq").alias("seq"))
+    best = keyed.groupBy("piece_id", "field", "key", "source").agg(F.max("weight").alias("weight"), spelling.alias("value"), F.min("seq").alias("seq"), F.max(F.length("key")).alias("letters"))
+    # a filter on the key itself would be moved below the shuffle and fold every value once more there
+    return best.where("letters > 0").drop("letters")
 
 
 def _contains(long_: Column, short: Column) -> Column:

@@ -101,3 +101,12 @@ def test_spellings_are_sorted_once(spark):
     said = spark.createDataFrame([(1, "form", "a", "s", 0.5, 1)], "piece_id int, field string, value string, source string, weight double, seq long")
     plan = resolve.resolve_fields(said)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Window") == 0 and plan.count("Sort [") <= 2 and plan.count("Exchange") <= 3
+
+
+def test_values_are_folded_once_and_after_equal_ones_met(spark):
+    """A filter on the folded key was moved to the scan, where every row was folded for it once more."""
+    said = spark.createDataFrame([(1, "form", "a", "s", 0.5, 1)], "piece_id int, field string, value string, source string, weight double, seq long")
+    plan = resolve.best_per_source(said)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    empty = spark.createDataFrame([(1, "form", v, "s", 0.5, 1) for v in ("", "...", " ", None)], said.schema)
+    assert resolve.best_per_source(empty).count() == 0
