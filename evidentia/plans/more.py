@@ -13,6 +13,7 @@ from evidentia.operators import catalog, corrections, curation, integrity, linki
 from evidentia.plans.queries import CAT, EV, candidate_table, catalogue, composers, events, read, registered, view
 from evidentia.plans.queries import EVENTS as EVENTS_SQL
 from evidentia.sources import files
+from evidentia.sources.scratch import stored
 from evidentia.streaming import feeds
 
 # --- lists, orders, joins
@@ -258,7 +259,8 @@ def event_pieces(spark, d):
 @registered("j9_recompute", EV + f"SELECT s.piece_id, dec.value AS title, CASE WHEN review_state = 'accepted' THEN 'accept' WHEN dec.value IS NOT NULL THEN 'accept' ELSE 'hold' END AS route FROM ({STATES}) s LEFT JOIN dec ON dec.piece_id = s.piece_id WHERE dec.value IS NOT NULL OR s.piece_id NOT IN (SELECT piece_id FROM up)")
 def recomputed(spark, d):
     """Pieces with a decision, or without any candidate, after their columns are derived anew; a title alone is required."""
-    table = corrections.apply_decisions(candidate_table(spark, d), events(spark, d, "decide").select("piece_id", "field", "value", "source", "seq"))
+    # written once: all that follows would else read the events anew
+    table = stored(corrections.apply_decisions(candidate_table(spark, d), events(spark, d, "decide").select("piece_id", "field", "value", "source", "seq")), "candidates")
     composer = table.where("accepted").select("piece_id", F.lit("composer").alias("field"), F.lit("x").alias("value"), "source", F.lit(1.0).alias("weight"), "seq", "note", "adapter", "accepted")
     got = resolve.recompute(table.unionByName(composer), event_pieces(spark, d))
     silent = event_pieces(spark, d).join(table.select("piece_id"), "piece_id", "left_anti").select("piece_id")

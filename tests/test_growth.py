@@ -1,5 +1,6 @@
 """Work that must grow with the rows, not with the pairs of rows that are alike."""
 
+import os
 import random
 
 import pytest
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import catalog, curation, linking, resolve
 
+DATA = "/root/testdata/sf0.001"
+
 # --- batch search
 
 PIECE = "piece_id long, title string, composer_name string, catalog_display string, music_key string"
@@ -110,3 +113,12 @@ def test_values_are_folded_once_and_after_equal_ones_met(spark):
     assert plan.count("regexp_extract_all") == 1
     empty = spark.createDataFrame([(1, "form", v, "s", 0.5, 1) for v in ("", "...", " ", None)], said.schema)
     assert resolve.best_per_source(empty).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_events_are_read_for_their_candidates_once(spark):
+    from evidentia.plans import more
+
+    plan = more.recomputed(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # what is left are the pieces, which two joins read
+    assert sum("Relation" in line and "event_id#" in line for line in plan.splitlines()) <= 2
