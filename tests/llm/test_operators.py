@@ -308,6 +308,18 @@ def test_suffix_dedup_of_nothing(spark, docs):
     assert suffixes.dedup(docs.limit(0)).count() == 0
 
 
+def test_without_frequent_keys_one_plain_join_is_planned(spark):
+    from evidentia.llm import common
+
+    left = spark.createDataFrame([(k, i) for k in range(4) for i in range(3)], "k long, i long")
+    right = common.stored(left.groupBy("k").agg(F.count("*").alias("n")).where("k < 3"), "right")
+    for how, ks in (("inner", {0, 1, 2}), ("left_semi", {0, 1, 2}), ("left_anti", {3})):
+        joined = common.hot_join(left, right, ["k"], how=how)
+        assert joined._jdf.queryExecution().analyzed().toString().count("Join") == 1
+        assert Counter(r.k for r in joined.collect()) == {k: 3 for k in ks}
+    assert common.hot_join(left, right.limit(0), ["k"]).count() == 0
+
+
 def test_frequent_keys_are_joined_apart(spark, monkeypatch):
     from evidentia.llm import common
 
