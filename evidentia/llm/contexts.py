@@ -9,13 +9,14 @@ never in UTF-8), so that the probabilities of all texts sum to one; -log2 P over
 Model and base speak of the same text: A-Z lower-cased, its words joined by single spaces.
 
 Counts come from every training text, as counts of (DEPTH + 1)-grams summed by Spark.  A context is a node of
-the tree if it covers at least total bytes ** (2/3) / `PRUNE` of them, two at least: the number of contexts grows with the corpus
-as its cube root times `PRUNE` at most, the memory of a task with it.  The contexts of a node that are not kept are together one
+the tree if it covers at least `LEAST` of them, whatever the size of the corpus: all are kept but those met once, of which
+only one byte is known.  The contexts of a node that are not kept are together one
 more child of it: its counts are what the kept children leave, its block probability is theirs, and its estimate
 starts from the node's own.  So pruning never makes the deeper side look better than it is.
 
 The tree is grown by Spark, from the deepest contexts up: one aggregation a depth gives each node its children's counts
-and weighted probabilities.  The driver only passes the finished arrays on to the tasks.
+and weighted probabilities.  Its nodes are dealt by ranges and written as sorted arrays to the shared folder, each range by
+the task that has it; tasks map those files to memory.  The driver knows the first key and the path of each range alone.
 
 The unigram base needs the count of every word: frequent words (at least 1 / `SHARE_WORDS` of the tokens, so
 no more than that many) are looked up in the tasks, the others are joined.
@@ -24,10 +25,13 @@ no more than that many) are looked up in the tasks, the others are joined.
 from __future__ import annotations
 
 import math
+import os
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
@@ -36,9 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, stored, table, utf8
+from .common import held_out, scratch_dir, small_batches, stored, table, utf8
 
-DEPTH, PRUNE, SHARE_WORDS = 5, 2000, 1 << 20
+DEPTH, LEAST, SHARE_WORDS = 5, 2, 1 << 20
 END = b"\xff"
 #: Bytes that a task turns to grams at a time, and distinct grams and words it holds before it hands them on.
 PIECE, HELD_GRAMS, HELD_WORDS = 4 << 20, 3_000_000, 400_000
@@ -99,12 +103,47 @@ def weighed(n0: np.ndarray, n1: np.ndarray, c0: np.ndarray, c1: np.ndarray, belo
 
 @dataclass
 class Tree:
-    """For each depth: sorted keys (context << 8 | decision node) and what `weighed` says of the nodes."""
+    """For each depth the (first key, path) of its ranges, ascending.
 
-    keys: list[np.ndarray] = field(default_factory=list)
-    ones: list[np.ndarray] = field(default_factory=list)
-    stop: list[np.ndarray] = field(default_factory=list)
-    rest: list[np.ndarray] = field(default_factory=list)
+    Beside a path lie two files: sorted keys (context << 8 | decision node), and what `weighed` says of the nodes (one, stop, rest).
+    """
+
+    ranges: list[list[tuple[int, str]]]
+
+    def __reduce__(self):
+        return Tree, (self.ranges,)
+
+    @cached_property
+    def maps(self) -> list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
+        """For each depth the first keys of its ranges, and their mapped files."""
+        return [
+            (np.array([f for f, _ in per], np.uint64), [np.asarray(np.memmap(f"{p}.keys", "<u8", "r")) for _, p in per], [np.asarray(np.memmap(f"{p}.values", "<f4", "r")).reshape(-1, 3) for _, p in per])
+            for per in self.ranges
+        ]
+
+    @property
+    def keys(self) -> list[np.ndarray]:
+        return [k for _, keys, _ in self.maps for k in keys]
+
+    def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are nodes, and one, stop and rest of each that is."""
+        firsts, keys, values = self.maps[depth]
+        which = firsts.searchsorted(key, "right") if len(keys) > 1 else np.ones(1, np.int64)
+        lo, hi = max(int(which.min()) - 1, 0), max(int(which.max()) - 1, 0)
+        if lo == hi:
+            at = np.minimum(keys[lo].searchsorted(key), len(keys[lo]) - 1)
+            known = keys[lo][at] == key
+            return known, values[lo][at[known]]
+        known, found = np.zeros(len(key), bool), np.zeros((len(key), 3), np.float32)
+        order = np.argsort(which.astype(np.min_scalar_type(len(keys))), kind="stable")
+        ends = np.searchsorted(which[order], np.arange(lo + 1, hi + 3))
+        ends[0] = 0  # keys before the first range are looked for there
+        for k in range(lo, hi + 1):
+            mine = order[ends[k - lo] : ends[k - lo + 1]]
+            if len(mine):
+                at = np.minimum(keys[k].searchsorted(key[mine]), len(keys[k]) - 1)
+                known[mine], found[mine] = keys[k][at] == key[mine], values[k][at]
+        return known, found[known]
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 P(last byte | bytes before) of distinct sorted grams."""
@@ -115,16 +154,13 @@ class Tree:
             one = ((symbol >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
             # from the root down while the context is known; `carry` is the weight of what lies below
             p, carry, last, live = np.zeros(len(g)), np.ones(len(g)), np.full(len(g), 0.5), np.arange(len(g))
-            for d, keys in enumerate(self.keys):
-                if not len(live) or not len(keys):
+            for d, per in enumerate(self.ranges):
+                if not len(live) or not per:
                     break
-                key = ((context[live] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | node[live]
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                known = keys[at] == key
-                live, at = live[known], at[known]
-                own, rest = self.ones[d][at].astype(np.float64), self.rest[d][at].astype(np.float64)
+                known, found = self.find(d, ((context[live] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | node[live])
+                live = live[known]
+                own, share, rest = found.T.astype(np.float64)
                 own, rest = np.where(one[live], own, 1 - own), np.where(one[live], rest, 1 - rest)
-                share = self.stop[d][at].astype(np.float64)
                 last[live] = rest  # if no deeper context is known
                 p[live] += carry[live] * share * own
                 carry[live] *= 1 - share
@@ -244,11 +280,6 @@ class Model:
         return self.tokens + self.distinct + 1
 
 
-def least_cover(total: int) -> int:
-    """Bytes that a context covers at least to be kept, in a corpus of `total` bytes."""
-    return max(2, int(total ** (2 / 3) / PRUNE))
-
-
 def kept_levels(all_grams: DataFrame, least: int, depth: int = DEPTH) -> list[DataFrame]:
     """For each depth (g, n): grams of kept contexts with one more byte, and their counts."""
     levels = []
@@ -291,17 +322,40 @@ def grown(levels: list[DataFrame]) -> list[DataFrame]:
 
 
 def tree_of(nodes: list[DataFrame]) -> Tree:
-    """The arrays of all nodes, 20 bytes each, on the driver."""
-    tree = Tree()
-    for per in nodes:
-        got = per.select("key", "one", "stop", "rest").toArrow()
-        key = got.column("key").to_numpy()
-        order = np.argsort(key)
-        tree.keys.append(key[order].astype(np.uint64))
-        for into, name in ((tree.ones, "one"), (tree.stop, "stop"), (tree.rest, "rest")):
-            into.append(got.column(name).to_numpy()[order])
-        del got
-    return tree
+    """The nodes as sorted arrays in the shared folder, 20 bytes each; a range of them is written by the task that has it."""
+    spark = nodes[0].sparkSession
+    folder = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
+    if re.match(r"(?!file:)\w+:", folder):
+        raise ValueError("the tree's files are mapped to memory: spark.checkpoint.dir has to be a mounted folder")
+    folder = re.sub(r"^file:/*", "/", folder)
+    os.makedirs(folder)
+    columns = ["one", "stop", "rest"]
+    rows = reduce(DataFrame.unionByName, [per.select(F.lit(d).alias("depth"), "key", *columns) for d, per in enumerate(nodes)])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, tuple[int, str]] = {}
+        current, files = None, []
+        for batch in batches:
+            depth, key = batch.column("depth").to_numpy(), batch.column("key").to_numpy()
+            values = np.column_stack([batch.column(c).to_numpy() for c in columns]).astype("<f4")
+            for d in np.unique(depth).tolist():
+                here = depth == d
+                if d != current:
+                    for f in files:
+                        f.close()
+                    current, made[d] = d, (int(key[here][0]), f"{folder}/{uuid.uuid4().hex}")
+                    files = [open(f"{made[d][1]}.{what}", "wb") for what in ("keys", "values")]
+                for f, x in zip(files, (key.astype("<u8"), values), strict=True):
+                    f.write(x[here].tobytes())
+        for f in files:
+            f.close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([m[0] for m in made.values()], pa.int64()), pa.array([m[1] for m in made.values()], pa.string())], names=["depth", "first", "path"])
+
+    dealt = rows.repartitionByRange("depth", "key").sortWithinPartitions("depth", "key").mapInArrow(write, "depth int, first long, path string")
+    ranges: list[list[tuple[int, str]]] = [[] for _ in nodes]
+    for depth, first, path in sorted(map(tuple, dealt.collect())):
+        ranges[depth].append((first, path))
+    return Tree(ranges)
 
 
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
@@ -315,8 +369,7 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     distinct = words.count() + (1 if texts else 0)
     often = words.where(F.col("c") >= max(2, tokens // SHARE_WORDS)).toPandas().sort_values("word")
     all_grams = summed.where("kind = 0").select("key", "n")
-    least = least_cover(all_grams.agg(F.sum("n")).first()[0] or 0)
-    tree = tree_of(grown(kept_levels(all_grams, least)))
+    tree = tree_of(grown(kept_levels(all_grams, LEAST)))
     return Model(tree, texts, tokens, distinct, often["word"].to_numpy(np.int64), often["c"].to_numpy(np.int64)), words
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -534,6 +535,16 @@ def test_log_gamma():
     assert np.allclose(contexts.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-10)
 
 
+def test_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
+    """`qxzjk` comes twice, in a corpus of any size; the tree is neither sent to the tasks nor held by the driver."""
+    rare, other = [(i, "qxzjkq") for i in range(2)], [(i, "0123456789 abcdefgh " * 600) for i in range(2, 60)]
+    context = int.from_bytes(b"qxzjk", "big") << 8 | 1
+    for rows in (rare, rare + other):
+        model, _ = contexts.train(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert any(context in k for k in model.tree.keys)
+        assert len(pickle.dumps(model)) < 20_000
+
+
 def test_lm_scoring(spark, docs):
     from evidentia.llm.common import held_out
 
