@@ -90,11 +90,13 @@ def named_by(stem: Column) -> Column:
 def readings(signals: DataFrame, codes: DataFrame) -> DataFrame:
     """One row a file: composer, form (of folder and stem), title and its weight, movement, number, scoring."""
     parts = F.split("rel_path", "/")
-    f = file_rows(signals).withColumns({"top": F.lower(F.when(F.size(parts) > 1, parts[0]).otherwise("")), "inner": F.lower(F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise(""))})
+    files = file_rows(signals)
+    f = files.withColumns({"top": F.lower(F.when(F.size(parts) > 1, parts[0]).otherwise("")), "inner": F.lower(F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise(""))})
     for kind, key, name in (("composer", "top", "composer"), ("form", "inner", "folder_form"), ("instrument", "inner", "scoring"), ("work", "inner", "work")):
         f = f.join(of_kind(codes, kind).select(F.col("code").alias(key), F.col("value").alias(name)), key, "left")
-    f = f.join(stem_forms(f, codes).withColumnRenamed("value", "stem_form"), "file_key", "left")
-    stems = f.select("file_key", F.lit(0).alias("turn"), F.lower(F.trim("stem")).alias("text"))
+    # stems are read from the files as given: from `f` each reading would join the codes of folders once more
+    f = f.join(stem_forms(files, codes).withColumnRenamed("value", "stem_form"), "file_key", "left")
+    stems = files.select("file_key", F.lit(0).alias("turn"), F.lower(F.trim("stem")).alias("text"))
     f = f.join(longest(stems, of_kind(codes, "work_stem")).withColumnRenamed("value", "work_by_stem"), "file_key", "left")
     form = F.coalesce("folder_form", "stem_form")
     f = f.withColumns({"form": form, "n": stem_numbers(F.col("stem")), "one_work": F.coalesce(F.when(F.col("work") != "", F.col("work")).when(F.col("work") == "", form), F.col("work_by_stem"))})

@@ -98,7 +98,7 @@ def shapes(spark, d):
     two = view(spark, d, CODED, "part").where("p_partkey % 3 = 2").withColumn("rel_path", F.regexp_replace("rel_path", r"\.pdf$", ".PDF"))
     signals = signals_of(zero, F.lit(0), F.lit(4), subject, broken).unionByName(signals_of(one, F.lit(1), F.lit(2), nothing, broken)).unionByName(signals_of(two, F.lit(2), F.lit(3), nothing, broken))
     collections = spark.sql("SELECT * FROM VALUES (0L, NULL, 0.9D, NULL, NULL), (1L, NULL, NULL, 0.5D, map('form', 'Song')), (2L, 'paths', 0.7D, 0.6D, map('instrumentation', 'solo piano')) AS t(collection_id, adapter, auto_accept, review_floor, defaults)")
-    aliases = part.select(fold_name(F.col("p_brand")).alias("alias"), F.col("p_brand").alias("canonical")).distinct()
+    aliases = part.select(F.col("p_brand").alias("canonical")).distinct().select(fold_name(F.col("canonical")).alias("alias"), "canonical")
     return signals.drop("p_partkey"), collections, Sides(codes=view(spark, d, CODES, "part"), aliases=aliases)
 
 

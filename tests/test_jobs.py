@@ -143,3 +143,10 @@ def test_a_hundred_spellings_and_thousands_of_values(spark):
     assert got[1].value == chain[-1][2] and len(got[1].sources) == 100 and not got[1].conflict
     assert got[2].value == "value17 of3 whole" and got[2].sources == ["s", "t"] and got[2].conflict
     assert resolve.resolve_fields(df.where("piece_id = 1")).first().value == chain[-1][2]
+
+
+def test_stems_are_read_without_joining_the_codes_of_folders_again(spark):
+    signals = spark.createDataFrame([], SIGNALS)
+    codes = spark.createDataFrame([], "kind string, code string, value string")
+    # four kinds of folders, the forms of stems by prefix behind a tag and from the start, works by stem, and the two joins that add them
+    assert paths.readings(signals, codes)._jdf.queryExecution().analyzed().toString().count("Join ") == 9
