@@ -37,8 +37,8 @@ LEAST_ROWS = 4
 SHRINK, DEVIATION = 12.0, 4.0
 #: The least value of a term, so that frequent ones can still matter in pairs.
 LEAST_VALUE = 0.5
-#: At least so many epochs and steps; blocks of so many rows; pull of additive weights to 0, decay of factors, their start.
-FACTORS, EPOCHS, STEPS, BLOCK_ROWS, RATE, SPARSE, DECAY, START, SEED = 4, 20, 400, 500, 0.01, 2e-4, 1e-2, 0.05, 7
+#: At least so many epochs and steps; blocks of so many rows; pull of additive weights to 0, decay of factors at full share, their start.
+FACTORS, EPOCHS, STEPS, BLOCK_ROWS, RATE, SPARSE, DECAY, START, SEED = 4, 20, 400, 500, 0.01, 5e-4, 5e-3, 0.05, 7
 THRESHOLD = 0.3
 #: Words a worker remembers the terms of.
 MEMO = 400_000
@@ -161,6 +161,8 @@ def fit(rows: Iterable[tuple[int, bytes | list[int]]]) -> Machine:
     rng = np.random.default_rng(SEED)
     w, v = first_weights(kept, seen, toxic, share, len(y)) / value, rng.normal(0, START, (FACTORS, len(kept))).astype(np.float32)
     slopes = [np.zeros((2, len(kept)), np.float32) for _ in range(FACTORS + 1)]
+    # the rows that have both terms teach a pair: factors of rare terms would fit single rows, so they are held near 0
+    decay = (DECAY * len(y) / seen[kept]).clip(max=1).astype(np.float32)
     step = 0
 
     def moved(theta: np.ndarray, at: np.ndarray, slope: np.ndarray, state: np.ndarray, pull: float) -> None:
@@ -190,7 +192,7 @@ def fit(rows: Iterable[tuple[int, bytes | list[int]]]) -> Machine:
             moved(w, block.slots, of_rows * block.x, slopes[0], SPARSE)
             for f in range(FACTORS):
                 own = v[f, block.slots] * block.x
-                moved(v[f], block.slots, block.x * (block.by_slot(off * totals[f]) - of_rows * own) + DECAY * v[f, block.slots], slopes[f + 1], 0.0)
+                moved(v[f], block.slots, block.x * (block.by_slot(off * totals[f]) - of_rows * own) + decay[block.slots] * v[f, block.slots], slopes[f + 1], 0.0)
     return Machine({int(k): i for i, k in enumerate(kept)}, value.astype(np.float64), bias, w.astype(np.float64), v.T.astype(np.float64))
 
 

@@ -71,6 +71,20 @@ def test_terms_that_matter_only_in_pairs_are_kept_and_learnt():
     assert min(one, other) > 0 > both
 
 
+def test_rare_terms_of_long_texts_do_not_drown_strong_ones():
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(3000):
+        bad = rng.random() < 0.15
+        rows.append((int(bad), np.unique(np.concatenate([rng.integers(1000, 61_000, 600), rng.integers(0, 4, 2) if bad else []]).astype(np.int32))))
+    m = toxicity.fit(rows[:2400])
+    held = rows[2400:]
+    raw_ = m.raw([np.array([m.slot[b] for b in bs.tolist() if b in m.slot], dtype=int) for _, bs in held])
+    found = 1 / (1 + np.exp(-raw_)) >= toxicity.THRESHOLD
+    label = np.array([y for y, _ in held], dtype=bool)
+    assert found[label].mean() > 0.93 and found[~label].mean() < 0.02
+
+
 def test_score_is_the_sum_over_pairs():
     rng = np.random.default_rng(3)
     m = toxicity.Machine({}, rng.random(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
