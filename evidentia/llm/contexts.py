@@ -18,8 +18,8 @@ The tree is grown by Spark, from the deepest contexts up: one aggregation a dept
 and weighted probabilities.  Its nodes are dealt by ranges and written as sorted arrays to the shared folder, each range by
 the task that has it; tasks map those files to memory.  The driver knows the first key and the path of each range alone.
 
-The unigram base needs the count of every word: frequent words (at least 1 / `SHARE_WORDS` of the tokens, so
-no more than that many) are looked up in the tasks, the others are joined.
+In the same way are written the probability of every gram of the training texts, which is so worked out once and not by each
+task that meets the gram, and the count of every word, for the unigram base.  Grams that no training text has go through the tree.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import os
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
@@ -42,13 +42,15 @@ from pyspark.sql import functions as F
 
 from .common import held_out, scratch_dir, small_batches, stored, table, utf8
 
-DEPTH, LEAST, SHARE_WORDS = 5, 2, 1 << 20
+DEPTH, LEAST = 5, 2
 END = b"\xff"
 #: Bytes that a task turns to grams at a time, and distinct grams and words it holds before it hands them on.
 PIECE, HELD_GRAMS, HELD_WORDS = 4 << 20, 3_000_000, 400_000
-#: Grams whose probability, and words whose id, a worker remembers.
-KNOWN_GRAMS, KNOWN_WORDS = 2_000_000, 400_000
+#: Words whose id a worker remembers.
+KNOWN_WORDS = 400_000
 WORD_SEED = 0
+#: Rows of numbers that go to Python in one Arrow batch, and what makes a word's id, a signed number, an unsigned one in the same order.
+NUMBER_ROWS, FLIP = 1 << 16, 1 << 63
 
 
 def grams(text: bytes, depth: int = DEPTH) -> Iterator[np.ndarray]:
@@ -67,7 +69,12 @@ def grams(text: bytes, depth: int = DEPTH) -> Iterator[np.ndarray]:
 
 
 def word_id(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, WORD_SEED) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(word, WORD_SEED) - FLIP
+
+
+def number_batches(spark: SparkSession) -> None:
+    """Batches for rows of a few numbers, which are too many for those of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(NUMBER_ROWS))
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -102,39 +109,38 @@ def weighed(n0: np.ndarray, n1: np.ndarray, c0: np.ndarray, c1: np.ndarray, belo
 
 
 @dataclass
-class Tree:
-    """For each depth the (first key, path) of its ranges, ascending.
-
-    Beside a path lie two files: sorted keys (context << 8 | decision node), and what `weighed` says of the nodes (one, stop, rest).
-    """
+class Files:
+    """Sorted keys and `width` numbers of `kind` for each, in ranges: their (first key, path), ascending.  Beside a path lie two files."""
 
-    ranges: list[list[tuple[int, str]]]
+    ranges: list[tuple[int, str]]
+    kind: str
+    width: int = 1
 
     def __reduce__(self):
-        return Tree, (self.ranges,)
+        return Files, (self.ranges, self.kind, self.width)
 
     @cached_property
-    def maps(self) -> list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-        """For each depth the first keys of its ranges, and their mapped files."""
-        return [
-            (np.array([f for f, _ in per], np.uint64), [np.asarray(np.memmap(f"{p}.keys", "<u8", "r")) for _, p in per], [np.asarray(np.memmap(f"{p}.values", "<f4", "r")).reshape(-1, 3) for _, p in per])
-            for per in self.ranges
-        ]
-
-    @property
-    def keys(self) -> list[np.ndarray]:
-        return [k for _, keys, _ in self.maps for k in keys]
-
-    def find(self, depth: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are nodes, and one, stop and rest of each that is."""
-        firsts, keys, values = self.maps[depth]
+    def maps(self) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The first keys of the ranges, and their mapped files."""
+        values = [np.asarray(np.memmap(f"{p}.values", self.kind, "r")) for _, p in self.ranges]
+        return (
+            np.array([f for f, _ in self.ranges], np.uint64),
+            [np.asarray(np.memmap(f"{p}.keys", "<u8", "r")) for _, p in self.ranges],
+            [v.reshape(-1, self.width) for v in values] if self.width > 1 else values,
+        )
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are here, and the numbers of each that is."""
+        firsts, keys, values = self.maps
+        if not keys or not len(key):
+            return np.zeros(len(key), bool), np.zeros((0, self.width) if self.width > 1 else 0, self.kind)
         which = firsts.searchsorted(key, "right") if len(keys) > 1 else np.ones(1, np.int64)
         lo, hi = max(int(which.min()) - 1, 0), max(int(which.max()) - 1, 0)
         if lo == hi:
             at = np.minimum(keys[lo].searchsorted(key), len(keys[lo]) - 1)
             known = keys[lo][at] == key
             return known, values[lo][at[known]]
-        known, found = np.zeros(len(key), bool), np.zeros((len(key), 3), np.float32)
+        known, found = np.zeros(len(key), bool), np.zeros((len(key), *values[0].shape[1:]), self.kind)
         order = np.argsort(which.astype(np.min_scalar_type(len(keys))), kind="stable")
         ends = np.searchsorted(which[order], np.arange(lo + 1, hi + 3))
         ends[0] = 0  # keys before the first range are looked for there
@@ -145,6 +151,17 @@ class Tree:
                 known[mine], found[mine] = keys[k][at] == key[mine], values[k][at]
         return known, found[known]
 
+
+@dataclass
+class Tree:
+    """For each depth what `weighed` says of the nodes (one, stop, rest), by key (context << 8 | decision node)."""
+
+    depths: list[Files]
+
+    @property
+    def keys(self) -> list[np.ndarray]:
+        return [k for per in self.depths for k in per.maps[1]]
+
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 P(last byte | bytes before) of distinct sorted grams."""
         total = np.zeros(len(g))
@@ -154,10 +171,10 @@ class Tree:
             one = ((symbol >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
             # from the root down while the context is known; `carry` is the weight of what lies below
             p, carry, last, live = np.zeros(len(g)), np.ones(len(g)), np.full(len(g), 0.5), np.arange(len(g))
-            for d, per in enumerate(self.ranges):
-                if not len(live) or not per:
+            for d, per in enumerate(self.depths):
+                if not len(live) or not per.ranges:
                     break
-                known, found = self.find(d, ((context[live] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | node[live])
+                known, found = per.find(((context[live] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8)) | node[live])
                 live = live[known]
                 own, share, rest = found.T.astype(np.float64)
                 own, rest = np.where(one[live], own, 1 - own), np.where(one[live], rest, 1 - rest)
@@ -168,43 +185,6 @@ class Tree:
         return total
 
 
-class Scorer:
-    """Probabilities of grams by a tree, remembered."""
-
-    def __init__(self, tree: Tree):
-        self.tree, self.keys, self.values = tree, np.zeros(0, np.uint64), np.zeros(0)
-
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        """For each gram, repeats included."""
-        codes, distinct = pd.factorize(g)
-        order = np.argsort(distinct)
-        asked = distinct[order]
-        at = np.minimum(np.searchsorted(self.keys, asked), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != asked if len(self.keys) else np.ones(len(asked), bool)
-        out = np.empty(len(asked))
-        out[~new] = self.values[at[~new]] if len(self.keys) else 0
-        if new.any():
-            out[new] = self.tree.log10(asked[new])
-            if len(self.keys) > KNOWN_GRAMS:
-                self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
-            place = np.searchsorted(self.keys, asked[new])
-            self.keys, self.values = np.insert(self.keys, place, asked[new]), np.insert(self.values, place, out[new])
-        by_code = np.empty(len(asked))
-        by_code[order] = out
-        return by_code[codes]
-
-
-#: The scorer of the model last used in a worker, kept from task to task.
-_SCORERS: dict[str, Scorer] = {}
-
-
-def scorer_of(key: str, tree: Tree) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(tree)
-    return _SCORERS[key]
-
-
 class WordIds(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= KNOWN_WORDS:
@@ -219,6 +199,7 @@ def _training_counts(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         raw: list[np.ndarray] = []
+        pending = 0
         words: Counter[bytes] = Counter()
         texts = tokens = 0
 
@@ -246,8 +227,10 @@ def _training_counts(documents: DataFrame) -> DataFrame:
                 found = text.lower().split()
                 for g in grams(b" ".join(found)):
                     raw.append(g)
-                    if sum(map(len, raw)) > PIECE:
+                    pending += len(g)
+                    if pending > PIECE:
                         gathered()
+                        pending = 0
                 words.update(found)
                 texts += 1
                 tokens += len(found) + 1
@@ -269,16 +252,29 @@ def _training_counts(documents: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     tree: Tree
+    grams: Files  # log10 P of the grams of the training texts
     texts: int
     tokens: int
     distinct: int
-    frequent: np.ndarray  # sorted word ids
-    counts: np.ndarray
 
     @property
     def denominator(self) -> int:
         return self.tokens + self.distinct + 1
 
+    def log10(self, g: np.ndarray) -> np.ndarray:
+        """log10 P(last byte | bytes before) of each gram, repeats included."""
+        codes, distinct = pd.factorize(g)
+        order = np.argsort(distinct)
+        asked = distinct[order]
+        known, found = self.grams.find(asked)
+        out = np.empty(len(asked))
+        out[known] = found
+        if not known.all():
+            out[~known] = self.tree.log10(asked[~known])
+        by_code = np.empty(len(asked))
+        by_code[order] = out
+        return by_code[codes]
+
 
 def kept_levels(all_grams: DataFrame, least: int, depth: int = DEPTH) -> list[DataFrame]:
     """For each depth (g, n): grams of kept contexts with one more byte, and their counts."""
@@ -321,23 +317,25 @@ def grown(levels: list[DataFrame]) -> list[DataFrame]:
     return nodes[::-1]
 
 
-def tree_of(nodes: list[DataFrame]) -> Tree:
-    """The nodes as sorted arrays in the shared folder, 20 bytes each; a range of them is written by the task that has it."""
-    spark = nodes[0].sparkSession
-    folder = f"{scratch_dir(spark)}/tree-{uuid.uuid4().hex}"
+def filed(rows: DataFrame, numbers: Callable[[pa.RecordBatch], np.ndarray], kind: str, width: int = 1, depths: int = 1, flip: int = 0) -> list[Files]:
+    """For each depth the `rows` (depth, key, ...), `numbers` of them with `flip` in their keys, as sorted arrays in the shared folder.
+
+    A range of them is written by the task that has it.
+    """
+    spark = rows.sparkSession
+    number_batches(spark)
+    folder = f"{scratch_dir(spark)}/sorted-{uuid.uuid4().hex}"
     if re.match(r"(?!file:)\w+:", folder):
-        raise ValueError("the tree's files are mapped to memory: spark.checkpoint.dir has to be a mounted folder")
+        raise ValueError("sorted files are mapped to memory: spark.checkpoint.dir has to be a mounted folder")
     folder = re.sub(r"^file:/*", "/", folder)
     os.makedirs(folder)
-    columns = ["one", "stop", "rest"]
-    rows = reduce(DataFrame.unionByName, [per.select(F.lit(d).alias("depth"), "key", *columns) for d, per in enumerate(nodes)])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, tuple[int, str]] = {}
         current, files = None, []
         for batch in batches:
             depth, key = batch.column("depth").to_numpy(), batch.column("key").to_numpy()
-            values = np.column_stack([batch.column(c).to_numpy() for c in columns]).astype("<f4")
+            values = numbers(batch).astype(kind)
             for d in np.unique(depth).tolist():
                 here = depth == d
                 if d != current:
@@ -345,17 +343,24 @@ def tree_of(nodes: list[DataFrame]) -> Tree:
                         f.close()
                     current, made[d] = d, (int(key[here][0]), f"{folder}/{uuid.uuid4().hex}")
                     files = [open(f"{made[d][1]}.{what}", "wb") for what in ("keys", "values")]
-                for f, x in zip(files, (key.astype("<u8"), values), strict=True):
+                for f, x in zip(files, (key.view(np.uint64) ^ np.uint64(flip), values), strict=True):
                     f.write(x[here].tobytes())
         for f in files:
             f.close()
         yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([m[0] for m in made.values()], pa.int64()), pa.array([m[1] for m in made.values()], pa.string())], names=["depth", "first", "path"])
 
     dealt = rows.repartitionByRange("depth", "key").sortWithinPartitions("depth", "key").mapInArrow(write, "depth int, first long, path string")
-    ranges: list[list[tuple[int, str]]] = [[] for _ in nodes]
+    ranges: list[list[tuple[int, str]]] = [[] for _ in range(depths)]
     for depth, first, path in sorted(map(tuple, dealt.collect())):
-        ranges[depth].append((first, path))
-    return Tree(ranges)
+        ranges[depth].append((first % (1 << 64) ^ flip, path))
+    return [Files(per, kind, width) for per in ranges]
+
+
+def tree_of(nodes: list[DataFrame]) -> Tree:
+    """The nodes in files, 20 bytes each."""
+    columns = ["one", "stop", "rest"]
+    rows = reduce(DataFrame.unionByName, [per.select(F.lit(d).alias("depth"), "key", *columns) for d, per in enumerate(nodes)])
+    return Tree(filed(rows, lambda batch: np.column_stack([batch.column(c).to_numpy() for c in columns]), "<f4", 3, len(nodes)))
 
 
 def train(documents: DataFrame) -> tuple[Model, DataFrame]:
@@ -367,27 +372,29 @@ def train(documents: DataFrame) -> tuple[Model, DataFrame]:
     texts, tokens = totals.get(0, 0), totals.get(1, 0)
     words = summed.where("kind = 1").select(F.col("key").alias("word"), F.col("n").alias("c"))
     distinct = words.count() + (1 if texts else 0)
-    often = words.where(F.col("c") >= max(2, tokens // SHARE_WORDS)).toPandas().sort_values("word")
     all_grams = summed.where("kind = 0").select("key", "n")
+    number_batches(spark)
     tree = tree_of(grown(kept_levels(all_grams, LEAST)))
-    return Model(tree, texts, tokens, distinct, often["word"].to_numpy(np.int64), often["c"].to_numpy(np.int64)), words
+    [per_gram] = filed(all_grams.select(F.lit(0).alias("depth"), "key"), lambda batch: tree.log10(batch.column("key").to_numpy().view(np.uint64)), "<f8")
+    small_batches(spark)
+    return Model(tree, per_gram, texts, tokens, distinct), words
 
 
 def score(documents: DataFrame, model: Model, words: DataFrame) -> DataFrame:
-    """`doc_id`, `held`, n_tokens, n_known, base_score and score of each row of `documents` (doc_id, held, text)."""
+    """`doc_id`, `held_out`, n_tokens, n_known, base_score and score of each row of `documents` (doc_id, held, text)."""
     spark = documents.sparkSession
+    [counts] = filed(words.select(F.lit(0).alias("depth"), F.col("word").alias("key"), "c"), lambda batch: batch.column("c").to_numpy(), "<i8", flip=FLIP)
     small_batches(spark)
-    sent, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast((model, counts))  # paths and first keys alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = sent.value
-        names = ["rid", "doc_id", "held", "n_tokens", "known", "base", "score", "word", "n"]
-
-        scorer, word_ids = scorer_of(name, m.tree), WordIds()
+        m, of_words = sent.value
+        word_ids = WordIds()
+        end = math.log10((m.texts + 1) / m.denominator)
 
         def unfold(parts: list[tuple[int, np.ndarray]], scores: np.ndarray) -> None:
             if parts:
-                values = scorer.log10(np.concatenate([g for _, g in parts]))
+                values = m.log10(np.concatenate([g for _, g in parts]))
                 starts = np.cumsum([0] + [len(g) for _, g in parts[:-1]])
                 np.add.at(scores, [i for i, _ in parts], np.add.reduceat(values, starts))
                 parts.clear()
@@ -415,31 +422,18 @@ def score(documents: DataFrame, model: Model, words: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 n_tokens.append(sum(found.values()) + 1)
             unfold(parts, scores)
-            owner = np.repeat(np.arange(count), sizes)
-            word, n = np.array(ids, dtype=np.int64), np.array(often, dtype=np.int64)
-            at = np.minimum(np.searchsorted(m.frequent, word), max(len(m.frequent) - 1, 0))
-            hit = (m.frequent[at] == word) if len(m.frequent) else np.zeros(len(word), bool)
-            value = np.log10((m.counts[at[hit]] + 1) / m.denominator) if len(m.frequent) else np.zeros(0)
-            base = np.bincount(owner[hit], weights=n[hit] * value, minlength=count) + math.log10((m.texts + 1) / m.denominator)
-            known = np.bincount(owner[hit], weights=n[hit], minlength=count).astype(np.int64) + (1 if m.texts else 0)
-            none = pa.nulls(count, pa.int64())
-            rid = batch.column("rid").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("held"), pa.array(n_tokens, pa.int64()), pa.array(known), pa.array(base), pa.array(scores), none, none], names=names)
-            rest = ~hit
-            k = int(rest.sum())
-            empty = [pa.nulls(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays([pa.array(rid[owner[rest]]), *empty, pa.array(word[rest]), pa.array(n[rest])], names=names)
-
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held", "text")
-    rows = rows.mapInArrow(run, "rid long, doc_id long, held boolean, n_tokens long, known long, base double, score double, word long, n long")
-    part = rows.join(words, "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    base = F.coalesce("base", F.col("n") * F.log10((c + 1) / F.lit(model.denominator)))
-    known = F.coalesce("known", F.when(c > 0, F.col("n")), F.lit(0))
-    part = part.select("rid", "doc_id", "held", "n_tokens", known.alias("known"), base.alias("base"), "score")
-    return part.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.max("score").alias("score")
-    ).drop("rid")
+            owner, n = np.repeat(np.arange(count), sizes), np.array(often, dtype=np.int64)
+            word, where = np.unique(np.array(ids, dtype=np.int64).view(np.uint64) ^ np.uint64(FLIP), return_inverse=True)
+            c = np.zeros(len(word), np.int64)
+            met, c_met = of_words.find(word)
+            c[met] = c_met
+            base = np.bincount(owner, weights=n * np.log10((c + 1) / m.denominator)[where], minlength=count) + end
+            known = np.bincount(owner, weights=n * (c > 0)[where], minlength=count).astype(np.int64) + (1 if m.texts else 0)
+            columns = [batch.column("doc_id"), batch.column("held"), pa.array(n_tokens, pa.int64()), pa.array(known), pa.array(base), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "held", "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -559,6 +559,16 @@ def test_contexts_are_kept_whatever_the_size_of_the_corpus(spark):
         assert len(pickle.dumps(model)) < 20_000
 
 
+def test_training_grams_are_scored_once_and_texts_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(i, f"text {i} of words", i == 0) for i in range(6)], "doc_id long, text string, held boolean")
+    model, words = contexts.train(rows.where("NOT held"))
+    met = np.unique(np.concatenate([g for i in range(1, 6) for g in contexts.grams(b"text %d of words" % i)]))
+    known, found = model.grams.find(met)
+    assert known.all() and np.allclose(found, model.tree.log10(met), atol=1e-12)
+    plan = contexts.score(rows, model, words)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_lm_scoring(spark, docs):
     from evidentia.llm.common import held_out
 
