@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import catalog, curation, linking, resolve
+from evidentia.sources import scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -37,6 +38,37 @@ def test_a_query_or_piece_of_several_texts_is_met_by_each(spark):
     assert got == [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 2), (3, 3)]
 
 
+def _common(spark, n, like):
+    none = [F.lit(None).cast("string").alias(c) for c in ("composer_name", "catalog_display", "music_key")]
+    return spark.range(n).select(F.col("id").alias("piece_id"), F.concat(F.lit("common song "), (F.col("id") % like).cast("string")).alias("title"), *none)
+
+
+def test_no_table_of_hits_is_stored_or_shuffled(spark, tmp_path, monkeypatch):
+    """Every query finds every piece: 3,000 x 48 hits, from tables of a few thousand rows at most."""
+    monkeypatch.setattr(scratch, "shared_dir", lambda session: str(tmp_path))
+    letters = F.lit("abcdefghijklmnopqrstuvwxyz")
+    queries = spark.range(48).select(F.col("id").alias("query_id"), F.concat(F.lit("song  "), F.substr(letters, (F.col("id") % 24 + 1).cast("int"), F.lit(3))).alias("query"))
+    found = catalog.batch_search(_common(spark, 3_000, 3_000).withColumn("title", F.concat("title", F.lit(" "), letters)), queries)
+    assert found.distinct().count() == found.count() == 3_000 * 48
+    assert 3_000 <= max(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir()) <= 3_000 * 2
+    # from the top of the plan down to where queries and pieces meet rows are only written out
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    met = plan[: plan.index("Join")]
+    assert "Generate explode" in met and "Exchange" not in met and "Scan" not in met
+
+
+def test_lists_of_keys_are_cut_and_parts_of_both_sides_meet_once(spark, monkeypatch):
+    for name, most in (("PIECE_KEYS", 3), ("QUERY_KEYS", 2), ("LOT", 4), ("SLOT", 2), ("TESTS", 5)):
+        monkeypatch.setattr(catalog, name, most)
+    queries = spark.createDataFrame([(i, ["common", "SONG", "walzer song", "song  common", "song 1"][i % 5]) for i in range(25)], "query_id long, query string")
+    pieces = _common(spark, 60, 4).withColumn("title", F.when(F.col("piece_id") % 2 == 0, F.concat("title", F.lit(" valse waltz"))).otherwise(F.col("title")))
+    got = sorted(tuple(r) for r in catalog.batch_search(pieces, queries).collect())
+    ones = {1: lambda p: True, 0: lambda p: True, 2: lambda p: p % 2 == 0, 3: lambda p: True, 4: lambda p: p % 4 == 1}
+    assert got == [(q, p) for q in range(25) for p in range(60) if ones[q % 5](p)]
+    monkeypatch.setattr(catalog, "_small", lambda df, most=0: False)
+    assert sorted(tuple(r) for r in catalog.batch_search(pieces, queries).collect()) == got
+
+
 def test_queries_and_pieces_that_are_alike_are_met_once(spark):
     rows = spark.createDataFrame([(1, "x", 1), (2, "x", 1), (3, "y", 1), (3, "x", 1), (3, "x", 1), (4, "y", 1), (None, "x", 1)], "id long, a string, b int")
     forms, members = catalog._alike(rows, "id", ["a", "b"], "test")
